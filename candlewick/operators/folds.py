@@ -1,0 +1,48 @@
+"""Ordered folds over sorted partitions, one small state per key.
+
+The shuffle and the sort are Spark's.  A task streams its sorted rows once and
+keeps a single state, so memory does not grow with the size of a key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def ordered_fold(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    step: Callable[[dict | None, dict], tuple[dict, dict | None]],
+    schema: T.StructType,
+    finish: Callable[[dict], dict | None] | None = None,
+) -> DataFrame:
+    """Run ``step(state, row) -> (state, output row or None)`` along each key.
+
+    ``finish(state)`` may emit one closing row per key.  The state is ``None`` at
+    the first row of a key.
+    """
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = None, None
+        for batch in batches:
+            emitted = []
+            for row in batch.to_dict("records"):
+                here = tuple(row[k] for k in keys)
+                if here != key:
+                    if finish is not None and state is not None:
+                        emitted.append(finish(state))
+                    state, key = None, here
+                state, out = step(state, row)
+                if out is not None:
+                    emitted.append(out)
+            yield pd.DataFrame(emitted, columns=names)
+        if finish is not None and state is not None:
+            yield pd.DataFrame([finish(state)], columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
