@@ -88,3 +88,75 @@ conf AS (
          CASE WHEN v.raw_color = c.color THEN 'STABLE' WHEN v.raw_color = c.pending THEN 'CONFIRMED_' || v.raw_color
               ELSE 'PENDING_' || v.raw_color END
   FROM conf c JOIN valid v ON v.symbol = c.symbol AND v.k = c.k + 1)"""
+
+
+def adaptive_cte(bars: str = "bars") -> str:
+    """``dec`` = the adaptive model replayed row by row (needs RECURSIVE)."""
+    sign = lambda x: f"CASE WHEN {x} > 1e-15 THEN 1 WHEN {x} < -1e-15 THEN -1 ELSE 0 END"
+    clip = lambda x, lo, hi: f"least(greatest({x}, {lo}), {hi})"
+    columns = (
+        "symbol rn interval_start market_snapshot_id event_time ref scale volref level velocity acceleration curvature residual innovation influence "
+        "q mult class coherence strength persistence uncertainty reversal half alpha gap clipped hit"
+    ).split()
+    step = f"""
+  SELECT symbol, o_rn AS rn, o_start AS interval_start, o_snap AS market_snapshot_id, o_time AS event_time,
+    CASE WHEN o_rn = 1 THEN price ELSE p_ref + 0.05 * (price - p_ref) END AS ref,
+    CASE WHEN o_rn = 1 THEN 1.0 ELSE greatest(1e-4, 0.95 * p_scale + 0.05 * abs(price - ref)) END AS scale,
+    0.95 * p_volref + 0.05 * vol AS volref,
+    (price - ref) / greatest(scale, 1e-8) AS level,
+    CASE WHEN o_rn = 1 THEN 1.0 ELSE greatest(0, o_time - p_time) END AS dt,
+    (level - p_level) / (greatest(1e-6, dt) + 1e-8) AS v_free, {clip('v_free', -50, 50)} AS velocity,
+    (velocity - p_velocity) / (greatest(1e-6, dt) + 1e-8) AS a_free, {clip('a_free', -200, 200)} AS acceleration,
+    acceleration / pow(1 + velocity * velocity, 1.5) AS k_free, {clip('k_free', -200, 200)} AS curvature,
+    level - (p_level + p_velocity * dt) AS residual,
+    sqrt(residual * residual / greatest(dt + 1e-8, 1e-8)) AS innovation,
+    {clip('ln(1 + vol / greatest(volref, 1e-8)) + ln(1 + greatest(vol, 0)) / 10', 0, 3)} AS influence,
+    {clip('innovation / (1 + innovation)', 0, 1)} AS q, {clip('1 + q * 0.5', 0.8, 1.5)} AS mult,
+    {sign('p_level')} AS s1, CASE WHEN s1 <> 0 THEN s1 ELSE {sign('p_velocity')} END AS sd,
+    {sign('residual')} AS e1, CASE WHEN e1 <> 0 THEN e1 ELSE {sign('(velocity - p_velocity)')} END AS ed,
+    CASE WHEN q <= sqrt(1e-8) THEN 'NONE' WHEN sd = 0 OR ed = 0 THEN 'STRUCTURAL/UNKNOWN' WHEN ed = sd THEN 'REINFORCING'
+         WHEN ({sign('velocity')}) = -sd THEN 'REVERSING' ELSE 'CONTRADICTING' END AS class,
+    class NOT IN ('NONE', 'REINFORCING') AS adverse,
+    abs(level) + abs(velocity) + 0.8 * abs(acceleration) + 0.7 * influence AS den,
+    CASE WHEN den <= 1e-8 THEN 0 ELSE {clip('abs(level + velocity + 0.8 * acceleration + 0.7 * influence) / (den + 1e-8)', 0, 1)} END AS coherence,
+    1 / (1 + exp(-(-0.25 + 0.8 * influence + 0.35 * abs(velocity) + 0.2 * abs(acceleration) + coherence - 1.1 * p_uncertainty))) AS strength,
+    {clip("(CASE WHEN velocity * p_velocity >= 0 THEN 1 ELSE 0 END) - 0.25 * least(1, abs(acceleration) / (1 + abs(acceleration))) - (CASE WHEN adverse THEN 0.4 ELSE 0 END)", 0, 1)} AS agreement,
+    0.8 * p_persistence + 0.2 * agreement AS persistence,
+    1 / (1 + exp(-(innovation + 0.8 * (1 - coherence) + CASE WHEN class = 'STRUCTURAL/UNKNOWN' THEN 0.8 ELSE 0 END + 0.5 * least(1, abs(residual)) - 1))) AS uncertainty,
+    1 / (1 + exp(-(CASE WHEN velocity * acceleration < 0 THEN 1 ELSE 0 END + CASE WHEN adverse THEN 0.8 ELSE 0 END + 0.7 * (1 - persistence)
+         + 0.8 * least(1, abs(level) / 4) + 0.6 * uncertainty - 1.2))) AS reversal,
+    {clip("p_half * " + clip('1 + persistence * strength * 0.2', 1, 1.35) + " * " + clip('1 - 0.35 * uncertainty', 0.5, 1) + " * CASE WHEN adverse THEN 0.75 ELSE 1 END", 15, 900)} AS half,
+    p_alpha + {clip('0.005 * greatest(0.2, 1 - uncertainty) * greatest(0.5, strength) * mult', 1e-4, 0.05)} * (strength - uncertainty) * 0.1 AS a_prop,
+    {clip('a_prop', 0.001, 0.2)} AS alpha,
+    p_gap OR (o_rn > 1 AND dt > 5) AS gap, p_clipped OR v_free <> velocity OR a_free <> acceleration OR k_free <> curvature AS clipped,
+    p_hit OR alpha <> a_prop AS hit"""
+    prior = ", ".join(f"{c} AS p_{c}" for c in columns if c not in ("symbol", "interval_start", "market_snapshot_id", "event_time"))
+    keep = ", ".join(columns)
+    return f"""
+obs AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY interval_start) AS o_rn, interval_start AS o_start, market_snapshot_id AS o_snap,
+        epoch_us(interval_start) / 1e6 AS o_time, close AS price, CAST(volume AS DOUBLE) AS vol FROM {bars}),
+adp AS (
+  SELECT {keep} FROM ({step}
+    FROM (SELECT *, NULL::DOUBLE AS p_time, 0::DOUBLE AS p_ref, 1::DOUBLE AS p_scale, 1::DOUBLE AS p_volref, 0::DOUBLE AS p_level, 0::DOUBLE AS p_velocity,
+                 0.15::DOUBLE AS p_uncertainty, 0::DOUBLE AS p_persistence, 120::DOUBLE AS p_half, 0.05::DOUBLE AS p_alpha,
+                 false AS p_gap, false AS p_clipped, false AS p_hit FROM obs WHERE o_rn = 1) f)
+  UNION ALL
+  SELECT {keep} FROM ({step}
+    FROM (SELECT symbol, event_time AS p_time, {prior} FROM adp) a JOIN obs o USING (symbol) WHERE o.o_rn = a.p_rn + 1) g),
+shape AS (SELECT *,
+    {clip('60 * (0.7 + 0.6 * persistence) * (0.7 + 0.6 * strength) * (1.1 - 0.8 * uncertainty) * (1 - 0.35 * q)', 10, 600)} AS len,
+    list_transform(range(1, 9), lambda i: level + velocity * (len * pow(i / 8.0, 1.8)) + 0.5 * acceleration * pow(len * pow(i / 8.0, 1.8), 2) - level) AS moves,
+    moves[8] AS term, list_max(list_transform(moves, lambda m: abs(m))) AS mx,
+    CASE WHEN term > 0 THEN 'UPWARD' WHEN term < 0 THEN 'DOWNWARD' ELSE 'FLAT' END AS path_direction,
+    CASE WHEN mx = 0 THEN 0 ELSE abs(term) / mx END AS q_g, pow(strength * coherence * persistence, 1 / 3.0::DOUBLE) AS q_s,
+    sqrt((1 - uncertainty) * (1 - reversal)) AS q_r, q_g * q_s * q_r AS c FROM adp),
+ctx AS (SELECT *, CASE WHEN rn > 15 THEN quantile_disc(c, 0.5) OVER w END AS prior_median_c, lag(c) OVER (PARTITION BY symbol ORDER BY rn) AS prior_c,
+    CASE WHEN rn > 15 THEN min(c) OVER w END AS prior_min_c, CASE WHEN rn > 15 THEN max(c) OVER w END AS prior_max_c,
+    count(*) FILTER (path_direction = 'UPWARD') OVER w AS up_count, count(*) FILTER (path_direction = 'DOWNWARD') OVER w AS down_count,
+    count(*) FILTER (path_direction = 'FLAT') OVER w AS flat_count FROM shape
+    WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)),
+dec0 AS (SELECT *, CASE WHEN rn <= 15 THEN NULL WHEN path_direction = 'UPWARD' AND c >= prior_median_c AND up_count >= down_count THEN 'BUY'
+    WHEN path_direction = 'DOWNWARD' AND c >= prior_median_c AND down_count >= up_count THEN 'SELL' ELSE 'HOLD' END AS side FROM ctx),
+dec AS (SELECT *, CASE WHEN side IS NULL THEN NULL ELSE coalesce(last_value(CASE side WHEN 'BUY' THEN 'LONG' WHEN 'SELL' THEN 'SHORT' END IGNORE NULLS)
+    OVER (PARTITION BY symbol ORDER BY rn), 'FLAT') END AS emitter_position,
+    CASE WHEN gap THEN 'DEGRADED_DATA' WHEN clipped OR hit THEN 'DEGRADED_NUMERICAL' WHEN q > 0.7 THEN 'PERTURBED' ELSE 'HEALTHY' END AS model_health FROM dec0)"""
