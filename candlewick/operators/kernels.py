@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -61,7 +62,7 @@ def _first_rows(table: pa.Table, groups: list[str]) -> np.ndarray:
     for name in groups:
         column = table.column(name).combine_chunks()
         if table.num_rows > 1:
-            differs = pa.compute.not_equal(column.slice(1), column.slice(0, table.num_rows - 1))
+            differs = pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1))
             changed[1:] |= differs.to_numpy(zero_copy_only=False).astype(bool)
     return np.flatnonzero(changed)
 

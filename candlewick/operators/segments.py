@@ -133,16 +133,19 @@ def carry_last(df: DataFrame, layout: Layout, values: dict[str, Column], inclusi
     """Running "latest non-NULL value" over the whole key.
 
     ``values`` maps an output name to the expression that is remembered.  With
-    ``inclusive=False`` the current row's own value is not seen.  Halo rows must
-    already be gone.
+    ``inclusive=False`` the current row's own value is not seen.  At most one halo
+    row per segment may still be present.
     """
     frame = so_far(layout.window) if inclusive else before(layout.window)
-    tagged = df.withColumns({f"_v_{name}": expr for name, expr in values.items()})
+    # A halo row was judged without its own predecessor; its true value arrives
+    # with the summary of the segment it belongs to.
+    own = ~F.col("halo") if "halo" in df.columns else F.lit(True)
+    tagged = df.withColumns({f"_v_{name}": F.when(own, expr) for name, expr in values.items()})
     inside = {name: F.last(f"_v_{name}", ignorenulls=True).over(frame) for name in values}
     spent = [f"_v_{name}" for name in values]
     if layout.whole:
         return tagged.withColumns(inside).drop(*spent)
-    ends = tagged.groupBy(*layout.groups).agg(
+    ends = tagged.filter(own).groupBy(*layout.groups).agg(
         *[
             F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col("rn"))).alias(f"_e_{name}")
             for name in values
