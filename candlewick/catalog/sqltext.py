@@ -160,3 +160,116 @@ dec0 AS (SELECT *, CASE WHEN rn <= 15 THEN NULL WHEN path_direction = 'UPWARD' A
 dec AS (SELECT *, CASE WHEN side IS NULL THEN NULL ELSE coalesce(last_value(CASE side WHEN 'BUY' THEN 'LONG' WHEN 'SELL' THEN 'SHORT' END IGNORE NULLS)
     OVER (PARTITION BY symbol ORDER BY rn), 'FLAT') END AS emitter_position,
     CASE WHEN gap THEN 'DEGRADED_DATA' WHEN clipped OR hit THEN 'DEGRADED_NUMERICAL' WHEN q > 0.7 THEN 'PERTURBED' ELSE 'HEALTHY' END AS model_health FROM dec0)"""
+
+
+def price_cte(bars: str = "bars", terms: int = 36) -> str:
+    """``px`` = price numbers per evaluated bar, by normal equations, Cramer's rule,
+    power series and the closed cubic formula (needs RECURSIVE)."""
+    det = "({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    def d3(*m: str) -> str:
+        return det.format(**dict(zip("abcdefghi", m)))
+
+    den = d3("n", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4")
+    num_b = d3("n", "t0", "s2", "s1", "t1", "s3", "s2", "t2", "s4")
+    num_a = d3("n", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2")
+    ridge = ("31", "30 * c12", "30 * c13", "30 * c12", "31", "30 * c23", "30 * c13", "30 * c23", "31")
+
+    def solve(k: int) -> str:
+        m = list(ridge)
+        for row in range(3):
+            m[row * 3 + k] = f"j{row + 1}"
+        return f"{d3(*m)} / {d3(*ridge)}"
+
+    value = lambda t: f"list_sum(list_transform(a, lambda x, i: x * pow({t}, i - 1)))"
+    slope = lambda t: f"list_sum(list_transform(a[2:], lambda x, i: x * i * pow({t}, i - 1)))"
+    bend = lambda t: f"list_sum(list_transform(a[3:], lambda x, i: x * (i + 1) * i * pow({t}, i - 1)))"
+    return f"""
+pb AS (SELECT symbol, interval_start, epoch_ms(interval_start) / 60000.0::DOUBLE AS m, close AS y,
+       row_number() OVER (PARTITION BY symbol ORDER BY interval_start) AS rn FROM {bars}),
+pspan AS (SELECT *, m - lag(m, 14) OVER (PARTITION BY symbol ORDER BY rn) AS span FROM pb),
+psum AS (SELECT a.symbol, a.rn, any_value(a.y) AS y, any_value(a.span) AS span, 15.0::DOUBLE AS n, sum(u) AS s1, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4,
+    sum(w) AS t0, sum(w * u) AS t1, sum(w * u * u) AS t2
+  FROM (SELECT a.symbol, a.rn, a.y, a.span, (b.m - a.m) / a.span AS u, b.y - a.y AS w FROM pspan a JOIN pspan b
+        ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 14 AND a.rn WHERE a.rn >= 15) a GROUP BY a.symbol, a.rn),
+pder AS (SELECT symbol, rn, y AS p, {num_b} / {den} / span AS p1, 2 * {num_a} / {den} / span / span AS p2 FROM psum),
+pjp AS (SELECT *, p2 - lag(p2) OVER (PARTITION BY symbol ORDER BY rn) AS jp FROM pder),
+pfrm AS (SELECT a.symbol, a.rn, any_value(a.p) AS p, any_value(a.p1) AS p1, any_value(a.p2) AS p2, any_value(a.jp) AS jp,
+    avg(b.p) AS m1, avg(b.p1) AS m2, avg(b.p2) AS m3, avg(b.jp) AS mj,
+    stddev_pop(b.p) AS d1, stddev_pop(b.p1) AS d2, stddev_pop(b.p2) AS d3, min(b.p) AS l1, max(b.p) AS h1, min(b.p1) AS l2, max(b.p1) AS h2, min(b.p2) AS l3, max(b.p2) AS h3,
+    covar_pop(b.p, b.p1) / d1 / d2 AS c12, covar_pop(b.p, b.p2) / d1 / d3 AS c13, covar_pop(b.p1, b.p2) / d2 / d3 AS c23,
+    30 * covar_pop(b.p, b.jp) / d1 AS j1, 30 * covar_pop(b.p1, b.jp) / d2 AS j2, 30 * covar_pop(b.p2, b.jp) / d3 AS j3
+  FROM pjp a JOIN pjp b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn WHERE a.rn >= 45 GROUP BY a.symbol, a.rn),
+pfit AS (SELECT *, {solve(0)} / d1 AS k1, {solve(1)} / d2 AS k2, {solve(2)} / d3 AS k3, mj - k1 * m1 - k2 * m2 - k3 * m3 AS k0,
+    sqrt((c12 * c12 + c13 * c13 + c23 * c23) / 3) AS pp, acos(least(1, greatest(-1, c12 * c13 * c23 / (pp * pp * pp)))) / 3 AS phi,
+    sqrt(greatest(1 + 2 * pp * cos(phi), 1) / least(1 + 2 * pp * cos(phi + 2 * pi() / 3), 1)) AS condition_number,
+    -k2 - k3 * k3 / 3 AS e_p, -2 * k3 * k3 * k3 / 27 - k2 * k3 / 3 - k1 AS e_q, e_q * e_q / 4 + e_p * e_p * e_p / 27 AS e_d,
+    CASE WHEN e_d > 0 THEN cbrt(-e_q / 2 + sqrt(e_d)) + cbrt(-e_q / 2 - sqrt(e_d)) END AS e_z,
+    CASE WHEN e_d > 0 THEN greatest(e_z, -e_z / 2) + k3 / 3
+         ELSE 2 * sqrt(-e_p / 3) * cos(acos(least(1, greatest(-1, 3 * e_q / (2 * e_p) * sqrt(-3 / e_p)))) / 3) + k3 / 3 END AS max_real_eigenvalue
+  FROM pfrm),
+pser AS (
+  SELECT symbol, rn, v, 0 AS k, k1, k2, k3, CASE WHEN v = 0 THEN k0 ELSE 0 END AS kc,
+         CASE v WHEN 0 THEN [p, p1, p2 / 2] WHEN 1 THEN [1.0::DOUBLE, 0, 0] WHEN 2 THEN [0.0::DOUBLE, 1, 0] ELSE [0.0::DOUBLE, 0, 0.5] END AS a
+  FROM pfit, (SELECT unnest(range(0, 4)) AS v)
+  UNION ALL
+  SELECT symbol, rn, v, k + 1, k1, k2, k3, kc,
+         list_append(a, ((CASE WHEN k = 0 THEN kc ELSE 0 END) + k1 * a[k + 1] + k2 * (k + 1) * a[k + 2] + k3 * (k + 2) * (k + 1) * a[k + 3]) / ((k + 3) * (k + 2) * (k + 1)))
+  FROM pser WHERE k < {terms}),
+pend AS (SELECT *, {value('1.0')} AS y0, {slope('1.0')} AS y1, {bend('1.0')} AS y2 FROM pser WHERE k = {terms}),
+pamp AS (SELECT symbol, rn, max(sqrt(y0 * y0 + y1 * y1 + y2 * y2)) AS perturbation_amplification FROM pend WHERE v > 0 GROUP BY ALL),
+pgrid AS (SELECT symbol, rn, g, {value('(g / 10.0)')} AS z0, {slope('(g / 10.0)')} AS z1, {bend('(g / 10.0)')} AS z2 FROM pend, (SELECT unnest(range(0, 11)) AS g) WHERE v = 0),
+pexit AS (SELECT t.symbol, t.rn, max(sqrt(pow((z0 - m1) / d1, 2) + pow((z1 - m2) / d2, 2) + pow((z2 - m3) / d3, 2))) AS local_distance,
+    min(g) FILTER (z0 < l1 - 1e-12 OR z0 > h1 + 1e-12 OR z1 < l2 - 1e-13 OR z1 > h2 + 1e-13 OR z2 < l3 - 1e-15 OR z2 > h3 + 1e-15) AS first_g,
+    arg_min(concat_ws('|', CASE WHEN z0 < l1 - 1e-12 OR z0 > h1 + 1e-12 THEN 'P' END, CASE WHEN z1 < l2 - 1e-13 OR z1 > h2 + 1e-13 THEN 'P1' END,
+      CASE WHEN z2 < l3 - 1e-15 OR z2 > h3 + 1e-15 THEN 'P2' END), g)
+      FILTER (z0 < l1 - 1e-12 OR z0 > h1 + 1e-12 OR z1 < l2 - 1e-13 OR z1 > h2 + 1e-13 OR z2 < l3 - 1e-15 OR z2 > h3 + 1e-15) AS exit_dimension
+  FROM pgrid t JOIN pfit f ON f.symbol = t.symbol AND f.rn = t.rn GROUP BY ALL),
+px AS (SELECT f.*, e.y0 AS projected_p, e.y1 AS projected_p1, e.y2 AS projected_p2, perturbation_amplification, local_distance, first_g / 10.0::DOUBLE AS first_exit_time, exit_dimension,
+    first_g IS NOT NULL AS domain_exit
+  FROM pfit f JOIN (SELECT * FROM pend WHERE v = 0) e ON e.symbol = f.symbol AND e.rn = f.rn JOIN pamp m ON m.symbol = f.symbol AND m.rn = f.rn
+  JOIN pexit q ON q.symbol = f.symbol AND q.rn = f.rn)"""
+
+
+def policy_cte() -> str:
+    """``em`` = emission labels and the two state machines, replayed row by row."""
+    eps = "0.0035332071428566536"
+    return f"""
+lab0 AS (SELECT *, CASE WHEN abs(p1) <= {eps} THEN CASE WHEN projected_p1 > {eps} THEN 'TURNING_UP' WHEN projected_p1 < -{eps} THEN 'TURNING_DOWN' ELSE 'NEAR_STATIONARY' END
+    WHEN p1 > {eps} AND projected_p1 <= -{eps} THEN 'TURNING_DOWN' WHEN p1 < -{eps} AND projected_p1 >= {eps} THEN 'TURNING_UP'
+    WHEN p1 > 0 THEN CASE WHEN p2 > 0 THEN 'UP_ACCELERATING' ELSE 'UP_DECELERATING' END
+    ELSE CASE WHEN p2 > 0 THEN 'DOWN_DECELERATING' ELSE 'DOWN_ACCELERATING' END END AS trajectory_phase,
+  CASE WHEN p1 > {eps} AND projected_p1 <= -{eps} THEN 'TURNING_DOWN' WHEN p1 < -{eps} AND projected_p1 >= {eps} THEN 'TURNING_UP'
+    WHEN p1 > {eps} AND p2 < 0 AND projected_p1 < p1 THEN 'DETERIORATING_TOWARD_TURN' WHEN p1 < -{eps} AND p2 > 0 AND projected_p1 > p1 THEN 'RECOVERING_TOWARD_TURN'
+    WHEN p2 * projected_p2 < 0 THEN 'PROJECTED_P2_REVERSAL' ELSE 'NONE' END AS turning_tendency,
+  CASE WHEN domain_exit THEN 'LOW' WHEN condition_number <= 7.835779770603297 AND max_real_eigenvalue <= 0.42217565243576405 AND perturbation_amplification <= 2.2423650649621742 THEN 'HIGH'
+    WHEN condition_number <= 13.040323846425492 AND max_real_eigenvalue <= 0.6449378901835623 AND perturbation_amplification <= 2.6637448484678754 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_state,
+  CASE WHEN domain_exit THEN 'OUT_OF_DOMAIN' ELSE 'IN_DOMAIN' END AS domain_state,
+  CASE WHEN max_real_eigenvalue > 0 THEN 'LOCALLY_EXPANSIVE' ELSE 'STABLE' END AS stability_state,
+  CASE WHEN p1 > {eps} THEN 'UP' WHEN p1 < -{eps} THEN 'DOWN' ELSE 'NEAR_ZERO' END AS raw_direction,
+  CASE WHEN abs(p1) <= {eps} THEN 'NEAR_STATIONARY' WHEN p1 > {eps} THEN CASE WHEN p2 > 0 AND projected_p1 >= p1 THEN 'UP_ACCELERATING' WHEN p2 < 0 AND projected_p1 < p1 THEN 'UP_DECELERATING' ELSE 'UP_STABLE' END
+    WHEN p2 < 0 AND projected_p1 <= p1 THEN 'DOWN_ACCELERATING' WHEN p2 > 0 AND projected_p1 > p1 THEN 'DOWN_DECELERATING' ELSE 'DOWN_STABLE' END AS motion,
+  abs(projected_p1) / greatest(abs(p1), abs(projected_p1), {eps}) AS p1_zero_proximity,
+  (CASE WHEN p1 > {eps} THEN greatest(0, p1 - projected_p1) WHEN p1 < -{eps} THEN greatest(0, projected_p1 - p1) ELSE 0 END) / greatest(abs(p1), {eps}) AS deceleration_strength,
+  CASE WHEN p1 > {eps} AND p2 < 0 AND projected_p1 < p1 THEN 'DOWN' WHEN p1 < -{eps} AND p2 > 0 AND projected_p1 > p1 THEN 'UP' ELSE '' END AS opposing,
+  CASE WHEN p1 > {eps} AND projected_p1 <= 0 THEN 'DOWN' WHEN p1 < -{eps} AND projected_p1 >= 0 THEN 'UP' ELSE '' END AS crossing FROM px),
+lab AS (SELECT *, CASE WHEN confidence_state = 'LOW' THEN 'AMBER' WHEN trajectory_phase IN ('UP_ACCELERATING', 'TURNING_UP') AND projected_p1 > {eps} THEN 'GREEN'
+    WHEN trajectory_phase IN ('DOWN_ACCELERATING', 'TURNING_DOWN') AND projected_p1 < -{eps} THEN 'RED' ELSE 'AMBER' END AS raw_color,
+  CASE WHEN crossing <> '' THEN crossing WHEN opposing <> '' AND p1_zero_proximity <= 0.9 AND deceleration_strength >= 0.05 THEN opposing ELSE '' END AS candidate,
+  row_number() OVER (PARTITION BY symbol ORDER BY rn) AS e FROM lab0),
+fold AS (
+  SELECT symbol, 0::BIGINT AS e, '' AS color, '' AS pending, false AS held, '' AS opp, 0 AS opp_n, '' AS cand, 0 AS cand_n, '' AS cockpit, false AS direct FROM (SELECT DISTINCT symbol FROM lab)
+  UNION ALL
+  SELECT l.symbol, l.e,
+    CASE WHEN ((f.color = 'GREEN' AND l.raw_color = 'RED') OR (f.color = 'RED' AND l.raw_color = 'GREEN')) AND f.pending <> l.raw_color THEN 'AMBER' ELSE l.raw_color END,
+    CASE WHEN ((f.color = 'GREEN' AND l.raw_color = 'RED') OR (f.color = 'RED' AND l.raw_color = 'GREEN')) AND f.pending <> l.raw_color THEN l.raw_color ELSE '' END,
+    ((f.color = 'GREEN' AND l.raw_color = 'RED') OR (f.color = 'RED' AND l.raw_color = 'GREEN')) AND f.pending <> l.raw_color,
+    l.opposing, CASE WHEN l.opposing = '' THEN 0 WHEN l.opposing = f.opp THEN f.opp_n + 1 ELSE 1 END,
+    l.candidate, CASE WHEN l.candidate = '' THEN 0 WHEN l.candidate = f.cand THEN f.cand_n + 1 ELSE 1 END,
+    CASE WHEN l.raw_direction = 'NEAR_ZERO' OR l.candidate <> '' OR (f.cockpit = 'GREEN' AND l.raw_direction = 'DOWN') OR (f.cockpit = 'RED' AND l.raw_direction = 'UP') THEN 'AMBER'
+         WHEN l.raw_direction = 'DOWN' THEN 'RED' ELSE 'GREEN' END,
+    l.candidate = '' AND ((f.cockpit = 'GREEN' AND l.raw_direction = 'DOWN') OR (f.cockpit = 'RED' AND l.raw_direction = 'UP'))
+  FROM fold f JOIN lab l ON l.symbol = f.symbol AND l.e = f.e + 1),
+em AS (SELECT l.*, f.color, f.held, f.opp_n AS persistence_count, f.cand_n AS candidate_age, f.cockpit AS cockpit_color, f.direct AS direct_change,
+    CASE WHEN l.raw_direction = 'NEAR_ZERO' THEN 'NEAR_STATIONARY' WHEN l.candidate <> '' THEN 'TURN_' || l.candidate || '_CANDIDATE' WHEN f.direct THEN 'DIRECTION_CHANGE_TRANSITION' ELSE l.motion END AS refined_state
+  FROM lab l JOIN fold f ON f.symbol = l.symbol AND f.e = l.e)"""
