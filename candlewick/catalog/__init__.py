@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("volume", "ingest", "adaptive", "price")
+TOPICS = ("volume", "ingest", "adaptive", "price", "changes")
 
 
 def _collect(attribute: str) -> dict:

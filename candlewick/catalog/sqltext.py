@@ -273,3 +273,51 @@ fold AS (
 em AS (SELECT l.*, f.color, f.held, f.opp_n AS persistence_count, f.cand_n AS candidate_age, f.cockpit AS cockpit_color, f.direct AS direct_change,
     CASE WHEN l.raw_direction = 'NEAR_ZERO' THEN 'NEAR_STATIONARY' WHEN l.candidate <> '' THEN 'TURN_' || l.candidate || '_CANDIDATE' WHEN f.direct THEN 'DIRECTION_CHANGE_TRANSITION' ELSE l.motion END AS refined_state
   FROM lab l JOIN fold f ON f.symbol = l.symbol AND f.e = l.e)"""
+
+
+def beats_cte() -> str:
+    return """beats0 AS (
+  SELECT date_trunc('hour', ts) AS beat, max(value) * 10 AS rtt_ms, count(*) FILTER (event_type = 'error') AS misses,
+         count(*) FILTER (event_type = 'signup') AS signups, count(*) AS n FROM events GROUP BY ALL),
+beats1 AS (SELECT *, CASE WHEN signups = 0 THEN 'RECOVERING' WHEN misses = 2 THEN 'FAILED' ELSE 'HEALTHY' END AS reported FROM beats0),
+beats AS (SELECT *, CASE WHEN reported = 'RECOVERING' THEN 'RECOVERING' WHEN rtt_ms > 1500 OR misses >= 3 OR reported = 'FAILED' THEN 'FAILED'
+                         ELSE 'HEALTHY' END AS feed_state,
+  CASE WHEN misses = 1 OR feed_state = 'RECOVERING' THEN 'RECOVERING' WHEN feed_state = 'FAILED' THEN 'NOT_READY' WHEN n >= 10 THEN 'OBSERVE_INFER' ELSE 'OBSERVE_ONLY' END AS capability
+  FROM beats1)"""
+
+
+STATE = (
+    "kind feed_state capability side skip_reason model_status emitter_position pricing_status color trajectory_phase domain_state confidence_state domain_exit"
+).split()
+
+
+def changes_cte() -> str:
+    """``chg`` = transitions of all four stages over hourly bars (needs RECURSIVE)."""
+    def row(**given: str) -> str:
+        return ", ".join(f"{given.get(n, 'false' if n == 'domain_exit' else 'NULL::VARCHAR')} AS {n}" for n in STATE)
+
+    different = " OR ".join(f"{n} IS DISTINCT FROM lag({n}) OVER w" for n in STATE)
+    status = "CASE WHEN b.rn <= 15 THEN 'WARMUP_DERIVATIVE' WHEN b.rn <= 45 THEN 'WARMUP_F4' ELSE 'EMITTED' END"
+    return f"""{bars_cte()}, {adaptive_cte()}, {price_cte()}, {policy_cte()}, {beats_cte()},
+evs AS (
+  SELECT 'P03_ADAPTIVE' AS stage_id, symbol AS entity_id, rn AS position, interval_start AS effective_time, market_snapshot_id, rn - 1 AS accepted_sequence, interval_start AS bar_start,
+    CASE WHEN side IS NULL THEN 'SKIP:INITIALIZING' ELSE 'DECISION:' || side END AS code,
+    {row(kind="CASE WHEN side IS NULL THEN 'SKIP' ELSE 'DECISION' END", side="side", skip_reason="CASE WHEN side IS NULL THEN 'INITIALIZING' END",
+         model_status="CASE WHEN side IS NULL THEN 'INITIALIZING' ELSE 'ACTIONABLE' END", emitter_position="emitter_position")} FROM dec
+  UNION ALL
+  SELECT 'P04_PRICE_ENGINE', b.symbol, b.rn, CASE WHEN b.rn > 45 THEN a.interval_start ELSE b.interval_start END, s.market_snapshot_id, greatest(b.rn - 1, 1), b.interval_start,
+    CASE WHEN b.rn > 45 THEN 'EMITTED:' || color ELSE 'SKIP:' || {status} END,
+    {row(kind="'PRICING'", pricing_status=status, color="color", trajectory_phase="trajectory_phase", domain_state="domain_state", confidence_state="confidence_state",
+         skip_reason=f"nullif({status}, 'EMITTED')", domain_exit="coalesce(domain_exit, false)")}
+  FROM pb b JOIN bars s ON s.symbol = b.symbol AND s.interval_start = b.interval_start
+  LEFT JOIN pb a ON a.symbol = b.symbol AND a.rn = b.rn - 1 LEFT JOIN em x ON x.symbol = b.symbol AND x.rn = b.rn - 1
+  UNION ALL
+  SELECT 'P01_MARKET_FEED', 'GLOBAL', CAST(epoch(beat) AS BIGINT), beat, NULL, 0, NULL, feed_state, {row(kind="'FEED'", feed_state="feed_state")} FROM beats
+  UNION ALL
+  SELECT 'P02_INGESTION', 'GLOBAL', CAST(epoch(beat) AS BIGINT), beat, NULL, 0, NULL, capability, {row(kind="'INGESTION'", capability="capability")} FROM beats),
+diff AS (SELECT *, lag(code) OVER w AS prev_code, lag(kind) OVER w AS prev_kind, lag(side) OVER w AS prev_side, lag(color) OVER w AS prev_color,
+    {", ".join(f"{n} IS DISTINCT FROM lag({n}) OVER w AS chg_{n}" for n in STATE)},
+    lag(position) OVER w IS NULL OR {different} AS changed
+  FROM evs WINDOW w AS (PARTITION BY stage_id, entity_id ORDER BY position)),
+chg AS (SELECT *, row_number() OVER (PARTITION BY stage_id, entity_id ORDER BY position) AS sequence,
+    stage_id || ':' || entity_id || ':' || row_number() OVER (PARTITION BY stage_id, entity_id ORDER BY position) AS transition_id FROM diff WHERE changed)"""

@@ -266,8 +266,9 @@ def adaptive_kernel(block: Block) -> dict[str, np.ndarray]:
 # --- Spark side ---------------------------------------------------------------
 
 
-def adaptive_observations(bars: DataFrame) -> DataFrame:
+def adaptive_observations(bars: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return bars.select(
+        *(extra or []),
         "symbol",
         "interval_start",
         "source_timestamp",
@@ -453,7 +454,7 @@ def adaptive_steps(bars: DataFrame, layout: G.Layout | None = None) -> tuple[Dat
     Rows marked ``halo`` are the 15 context rows in front of a segment.
     """
     layout = layout or G.Layout.of(bars, ["symbol"])
-    obs = admit(adaptive_observations(bars))
+    obs = admit(adaptive_observations(bars, [k for k in layout.keys if k != "symbol"]))
     laid = G.lay_out(obs, layout, WARM_ROWS)
     stepped = run_segments(laid, layout.groups, "rn", adaptive_kernel, STATE_FIELDS)
     if not layout.whole:

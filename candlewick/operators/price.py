@@ -34,8 +34,9 @@ POLICY = PricePolicy()
 _SIX = ("p", "p1", "p2", "projected_p", "projected_p1", "projected_p2")
 
 
-def price_observations(bars: DataFrame) -> DataFrame:
+def price_observations(bars: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return bars.select(
+        *(extra or []),
         "symbol",
         "interval_start",
         "source_timestamp",
@@ -49,7 +50,7 @@ def price_observations(bars: DataFrame) -> DataFrame:
 def price_numbers(bars: DataFrame, layout: G.Layout | None = None) -> tuple[DataFrame, G.Layout]:
     """Kernel output per triggering bar, plus its status."""
     layout = layout or G.Layout.of(bars, ["symbol"])
-    laid = G.lay_out(price_observations(bars), layout, K.HALO)
+    laid = G.lay_out(price_observations(bars, [k for k in layout.keys if k != "symbol"]), layout, K.HALO)
     df = run_segments(laid, layout.groups, "rn", K.price_kernel, K.FIELDS)
     prev = F.lag(F.struct("interval_start", "source_timestamp")).over(layout.window)
     df = df.withColumn("_active", prev).filter(~F.col("halo"))
@@ -328,7 +329,7 @@ def price_events(bars: DataFrame, layout: G.Layout | None = None, policy: PriceP
         numbers = stage(numbers)
     colored = with_colors(with_emission(numbers.filter("emitted"), policy), layout, policy)
     base = [
-        "symbol", "interval_start", "source_timestamp", "market_snapshot_id", "source", "status", "emitted", "projected",
+        *layout.keys, "interval_start", "source_timestamp", "market_snapshot_id", "source", "status", "emitted", "projected",
         "domain_exit", "active_interval_start", "active_source_timestamp", "accepted_sequence", "exit_dimension",
         "first_exit_time", "local_distance",
     ]
