@@ -10,6 +10,7 @@ from candlewick.operators import audit as U
 from candlewick.operators import ingest as I
 from candlewick.operators import transitions as T
 from candlewick.plans import changes as C
+from candlewick.session import stage
 from candlewick.sources.arrivals import heartbeats
 from candlewick.sources.ticks import event_bars
 
@@ -23,7 +24,8 @@ def beats(spark, d):
 
 
 def changes(spark, d):
-    return T.transitions(C.all_events(event_bars(spark, d), beats(spark, d)))
+    """The transition table; written once, because every audit reads it several times."""
+    return stage(T.transitions(C.all_events(event_bars(spark, d), beats(spark, d))))
 
 
 def damaged(spark, d):
