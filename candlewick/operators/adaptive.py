@@ -90,17 +90,18 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-v))
 
 
-def _faded(values: np.ndarray, alpha: float, restart: np.ndarray, initial: np.ndarray) -> np.ndarray:
-    """Exponential average per segment; ``initial`` is the value before the first row."""
-    out, x, keep = [], 0.0, 1.0 - alpha
-    for value, first, start in zip(values.tolist(), restart.tolist(), initial.tolist()):
-        x = keep * (start if first else x) + alpha * value
+def _faded(values: np.ndarray, alpha: float, restart: np.ndarray, initial: float, x: float) -> np.ndarray:
+    """Exponential average per segment; ``initial`` is the value before a first row,
+    ``x`` the value to continue from where the block does not begin with one."""
+    out, keep = [], 1.0 - alpha
+    for value, first in zip(values.tolist(), restart.tolist()):
+        x = keep * (initial if first else x) + alpha * value
         out.append(x)
     return np.array(out)
 
 
-def _reference_and_scale(price: np.ndarray, restart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    refs, scales, ref, scale = [], [], 0.0, 1.0
+def _reference_and_scale(price: np.ndarray, restart: np.ndarray, ref: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    refs, scales = [], []
     for p, first in zip(price.tolist(), restart.tolist()):
         if first:
             ref, scale = p, 1.0
@@ -145,25 +146,38 @@ def _composed_sums(d: np.ndarray, restart: np.ndarray, lo: float, hi: float):
     return tuple(np.array(x) for x in (shifts, los, his, mins, maxs))
 
 
-def adaptive_kernel(block: Block) -> dict[str, np.ndarray]:
-    """All per-row state of complete segments, vectorised except four short scans."""
+#: What one row leaves behind for the next one.
+CARRIED = ("reference", "scale", "volume_reference", "level", "velocity", "uncertainty", "persistence", "event_time")
+FRESH = {
+    "reference": 0.0, "scale": 1.0, "volume_reference": 1.0, "level": 0.0, "velocity": 0.0,
+    "uncertainty": INITIAL_UNCERTAINTY, "persistence": 0.0, "event_time": 0.0,
+}
+
+
+def adaptive_kernel(block: Block, carried: dict[str, float] | None = None) -> dict[str, np.ndarray]:
+    """All per-row state of complete segments, vectorised except four short scans.
+
+    With ``carried`` the block is one piece of a single history that continues
+    from those values.
+    """
+    past = carried or FRESH
     price, volume, at = block.floats("price"), block.floats("v_raw"), block.floats("event_time")
     quality, true_first = np.clip(block.floats("source_quality"), 0, 1), block.ints("rn") == 1
-    start = block.position == 0
+    start = (block.position == 0) & (carried is None)
     own = ~block.mask("halo")
     own_first = own & (block.lag(own.astype("float64"), 0.0) == 0)
 
-    reference, scale = _reference_and_scale(price, start)
-    volume_reference = _faded(volume, VOLUME_ALPHA, start, np.ones(block.rows))
-    gap = np.where(start, 1.0, np.maximum(0.0, at - block.lag(at, 0.0)))
+    reference, scale = _reference_and_scale(price, start, past["reference"], past["scale"])
+    volume_reference = _faded(volume, VOLUME_ALPHA, start, FRESH["volume_reference"], past["volume_reference"])
+    gap = np.where(start, 1.0, np.maximum(0.0, at - block.lag(at, past["event_time"])))
     dt = np.maximum(DT_FLOOR, gap) + EPSILON
 
     level = (price - reference) / np.maximum(scale, EPSILON)
-    prev_level = block.lag(level, 0.0)
+    prev_level = block.lag(level, past["level"])
     free = (level - prev_level) / dt
     velocity = np.clip(free, -VELOCITY_BOUND, VELOCITY_BOUND)
     clipped = (np.abs(free) > VELOCITY_BOUND).astype("int64")
-    prev_velocity = block.lag(velocity, 0.0)
+    prev_velocity = block.lag(velocity, past["velocity"])
     free = (velocity - prev_velocity) / dt
     acceleration = np.clip(free, -ACCELERATION_BOUND, ACCELERATION_BOUND)
     clipped += np.abs(free) > ACCELERATION_BOUND
@@ -211,11 +225,11 @@ def adaptive_kernel(block: Block) -> dict[str, np.ndarray]:
         + STRENGTH["velocity"] * np.abs(velocity)
         + STRENGTH["acceleration"] * np.abs(acceleration)
         + STRENGTH["coherence"] * coherence
-        - STRENGTH["uncertainty"] * block.lag(uncertainty, INITIAL_UNCERTAINTY)
+        - STRENGTH["uncertainty"] * block.lag(uncertainty, past["uncertainty"])
     )
     penalty = np.minimum(1.0, np.abs(acceleration) / (1.0 + np.abs(acceleration)))
     agreement = np.clip((velocity * prev_velocity >= 0.0) - penalty * 0.25 - np.where(adverse, 0.4, 0.0), 0.0, 1.0)
-    persistence = _faded(agreement, PERSISTENCE_ALPHA, start, np.zeros(block.rows))
+    persistence = _faded(agreement, PERSISTENCE_ALPHA, start, FRESH["persistence"], past["persistence"])
     reversal = _sigmoid(
         REVERSAL["oppose"] * (velocity * acceleration < 0.0)
         + REVERSAL["contradict"] * adverse
