@@ -68,10 +68,13 @@ def _first_rows(table: pa.Table, groups: list[str]) -> np.ndarray:
 
 
 def run_segments(df: DataFrame, groups: list[str], order: str, kernel: Kernel, fields: list[T.StructField]) -> DataFrame:
-    """Append the kernel's columns to every row."""
+    """Append the kernel's columns to every row.
+
+    ``df`` comes from ``segments.lay_out``: it is already partitioned by segment.
+    """
     schema = T.StructType([*df.schema.fields, *fields])
     arrow_fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in fields]
-    laid_out = df.repartition(*groups).sortWithinPartitions(*groups, order)
+    laid_out = df.sortWithinPartitions(*groups, order)
 
     def emit(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         results = kernel(Block(table, starts))

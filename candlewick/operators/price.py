@@ -205,15 +205,29 @@ def with_colors(emissions: DataFrame, layout: G.Layout, policy: PricePolicy = PO
     how long the same opposing direction, the same turn candidate, or an unbroken
     chain of direct GREEN/RED flips has lasted.
     """
-    em_layout = layout if layout.whole else G.Layout(layout.keys, "interval_start", False, layout.rows, layout.bucket_seconds)
-    # Positions count emitted rows only; the bar's own position is kept aside.
-    df = G.lay_out(emissions.withColumnRenamed("rn", "bar_rn").drop("seg"), em_layout, 1).withColumn("em", F.col("rn"))
-    w = em_layout.window
-    df = df.withColumns({"_raw0": F.lag("raw_color").over(w), "_opp0": F.lag("opposing").over(w)})
-    flip = (F.lit(policy.debounce)) & _opposite(F.col("_raw0"), F.col("raw_color"), "GREEN", "RED")
+    if layout.whole:
+        # All rows stay in one sorted pass; only emitted ones are counted and seen.
+        em_layout, w, own = layout, layout.window, F.col("emitted")
+        df = emissions.withColumn("em", F.count_if(own).over(G.so_far(w)))
+
+        def previous(name: str) -> Column:
+            seen = F.when(own, F.struct(F.col(name).alias("v")))
+            return F.last(seen, ignorenulls=True).over(G.before(w))["v"]
+
+    else:
+        # Positions count emitted rows only; the bar's own position is kept aside.
+        em_layout = G.Layout(layout.keys, "interval_start", False, layout.rows, layout.bucket_seconds)
+        w = em_layout.window
+        df = G.lay_out(emissions.withColumnRenamed("rn", "bar_rn").drop("seg"), em_layout, 1).withColumn("em", F.col("rn"))
+
+        def previous(name: str) -> Column:
+            return F.lag(name).over(w)
+
+    df = df.withColumns({"_raw0": previous("raw_color"), "_opp0": previous("opposing")})
+    flip = F.lit(policy.debounce) & _opposite(F.col("_raw0"), F.col("raw_color"), "GREEN", "RED")
     df = df.withColumn("_flip", flip)
     df = G.carry_last(
-        df, em_layout, {"_calm": F.when(~F.col("_flip"), F.col("em")), "_opp_from": _run_start("opposing", "_opp0")}
+        df, em_layout, {"_calm": F.when(F.col("emitted") & ~F.col("_flip"), F.col("em")), "_opp_from": _run_start("opposing", "_opp0")}
     )
     held = _odd_in_run(F.col("_flip"), F.col("_calm"))
     df = df.withColumns(
@@ -241,12 +255,14 @@ def with_colors(emissions: DataFrame, layout: G.Layout, policy: PricePolicy = PO
         .otherwise("GREEN")
     )
     df = df.withColumn("_base", base)
-    df = df.withColumns({"_base0": F.lag("_base").over(w), "_cand0": F.lag("candidate").over(w)})
+    df = df.withColumns({"_base0": previous("_base"), "_cand0": previous("candidate")})
     turned = F.col("candidate").isNull() & _opposite(F.col("_base0"), F.col("raw_direction"), "UP", "DOWN")
     df = df.withColumn("_turn", turned)
     df = G.carry_last(
-        df, em_layout, {"_steady": F.when(~F.col("_turn"), F.col("em")), "_cand_from": _run_start("candidate", "_cand0")}
-    ).filter(~F.col("halo"))
+        df, em_layout, {"_steady": F.when(F.col("emitted") & ~F.col("_turn"), F.col("em")), "_cand_from": _run_start("candidate", "_cand0")}
+    )
+    if not layout.whole:
+        df = df.filter(~F.col("halo")).drop("rn", "halo").withColumnRenamed("bar_rn", "rn")
     direct = _odd_in_run(F.col("_turn"), F.col("_steady"))
     near_zero = F.col("raw_direction") == "NEAR_ZERO"
     has = F.col("candidate").isNotNull()
@@ -293,8 +309,7 @@ def with_colors(emissions: DataFrame, layout: G.Layout, policy: PricePolicy = PO
             .otherwise(F.array(F.lit("RK_FAILURE"))),
         }
     )
-    spent = [c for c in df.columns if c.startswith("_")]
-    return df.drop("rn", "seg", "halo", "em", *spent).withColumnRenamed("bar_rn", "rn")
+    return df.drop("seg", "em", *[c for c in df.columns if c.startswith("_")])
 
 
 EMISSION = [
@@ -309,12 +324,19 @@ COCKPIT = [
 ]
 
 
+def colored(bars: DataFrame, layout: G.Layout | None, policy: PricePolicy) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Rows with colours, and the remaining rows where those were split off."""
+    numbers, layout = price_numbers(bars, layout)
+    if layout.whole:
+        return with_colors(with_emission(numbers, policy), layout, policy), None, list(layout.keys)
+    numbers = stage(numbers)
+    loud = with_colors(with_emission(numbers.filter("emitted"), policy), layout, policy)
+    return loud, numbers.filter(~F.col("emitted")), list(layout.keys)
+
+
 def emissions(bars: DataFrame, layout: G.Layout | None = None, policy: PricePolicy = POLICY) -> DataFrame:
     """Emitted rows with policy colours and cockpit."""
-    numbers, layout = price_numbers(bars, layout)
-    if not layout.whole:
-        numbers = stage(numbers)
-    return with_colors(with_emission(numbers.filter("emitted"), policy), layout, policy)
+    return colored(bars, layout, policy)[0].filter("emitted")
 
 
 def price_events(bars: DataFrame, layout: G.Layout | None = None, policy: PricePolicy = POLICY) -> DataFrame:
@@ -324,19 +346,18 @@ def price_events(bars: DataFrame, layout: G.Layout | None = None, policy: PriceP
     (previous) bar for emissions; the snapshot id and source stay those of the
     triggering bar, whose own start is ``trigger_interval_start``.
     """
-    numbers, layout = price_numbers(bars, layout)
-    if not layout.whole:
-        numbers = stage(numbers)
-    colored = with_colors(with_emission(numbers.filter("emitted"), policy), layout, policy)
+    loud, quiet, keys = colored(bars, layout, policy)
     base = [
-        *layout.keys, "interval_start", "source_timestamp", "market_snapshot_id", "source", "status", "emitted", "projected",
+        *keys, "interval_start", "source_timestamp", "market_snapshot_id", "source", "status", "emitted", "projected",
         "domain_exit", "active_interval_start", "active_source_timestamp", "accepted_sequence", "exit_dimension",
-        "first_exit_time", "local_distance",
+        "first_exit_time", "local_distance", "rn",
     ]
-    quiet = numbers.filter(~F.col("emitted")).select(*base, "rn")
-    loud = colored.select(*base, "rn", F.struct(*EMISSION).alias("emission"), F.struct(*COCKPIT).alias("cockpit"))
-    both = loud.unionByName(quiet, allowMissingColumns=True)
     own = F.col("emitted")
+    both = loud.select(
+        *base, F.when(own, F.struct(*EMISSION)).alias("emission"), F.when(own, F.struct(*COCKPIT)).alias("cockpit")
+    )
+    if quiet is not None:
+        both = both.unionByName(quiet.select(*base), allowMissingColumns=True)
     return both.withColumns(
         {
             "trigger_interval_start": F.col("interval_start"),

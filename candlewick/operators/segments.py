@@ -95,11 +95,18 @@ def number_rows(df: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+def task_count(df: DataFrame) -> int:
+    """Width of a shuffle.  Named explicitly where work per byte is high, because
+    adaptive execution would merge such partitions by their size alone."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def lay_out(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
-    """Add ``rn``, ``seg`` and ``halo``."""
-    numbered = number_rows(df, layout)
+    """Add ``rn``, ``seg`` and ``halo``; rows arrive partitioned by key and segment."""
     if layout.whole:
+        numbered = number_rows(df.repartition(task_count(df), *layout.keys), layout)
         return numbered.withColumns({"seg": F.lit(0).cast("long"), "halo": F.lit(False)})
+    numbered = number_rows(df, layout)
     rows = layout.rows
     if rows < halo:
         raise ValueError("a segment must be at least as long as its halo")
@@ -108,7 +115,7 @@ def lay_out(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
     here = F.struct(own.alias("seg"), F.lit(False).alias("halo"))
     ahead = F.struct((own + 1).alias("seg"), F.lit(True).alias("halo"))
     placed = F.when(in_tail, F.array(here, ahead)).otherwise(F.array(here))
-    return numbered.select("*", F.inline(placed))
+    return numbered.select("*", F.inline(placed)).repartition(task_count(df), *layout.groups)
 
 
 def last_rows(w: WindowSpec, n: int) -> WindowSpec:
