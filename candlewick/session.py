@@ -14,6 +14,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables.
 
@@ -23,9 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _fallback[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
