@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from candlewick.llm import line_dedup
+from candlewick.llm import fingerprint, langid, line_dedup, mixing, neighbours, packing, pii
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_nearest": neighbours.op2_nearest,
+    "op3_pii": pii.op3_pii,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_packing": packing.op7_packing,
+    "op8_language_id": langid.op8_language_id,
 }
 
 #: the other operators cannot be said in SQL and are tested against brute force
