@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from candlewick.session import shared_dir
@@ -69,9 +70,9 @@ def rows_in(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tupl
             yield from zip(*(c.to_pylist() for c in part.columns))
 
 
-def map_rows(df: DataFrame, rows, schema: str) -> DataFrame:
+def map_rows(df: DataFrame, rows, schema: str | T.StructType) -> DataFrame:
     """``rows`` maps an iterator of input tuples to an iterator of output tuples."""
-    kind = df.sparkSession.createDataFrame([], schema).schema
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):

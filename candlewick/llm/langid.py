@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.llm.common import map_rows, table
 
@@ -227,8 +228,8 @@ def learn(docs: DataFrame) -> Model:
     return Model.fit(langs, counts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, spans array<struct<start, end, lang>>), a row per row of ``docs``.
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns, lang_pred, score, spans array<struct<start, end, lang>>; a row per row of ``docs``.
 
     Only the text counts.  NULL, empty or letterless text gives ``und``, score 0 and no spans.
     The model, of a fixed size per language, is broadcast.
@@ -237,11 +238,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(stream):
         scorer = Scorer(sent.value)
-        for doc_id, text in stream:
+        for text, *carried in stream:
             lang, score, spans = identify(text, scorer)
-            yield doc_id, lang, score, [{"start": a, "end": b, "lang": x} for a, b, x in spans]
+            yield *carried, lang, score, [{"start": a, "end": b, "lang": x} for a, b, x in spans]
 
-    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+    found = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+    return map_rows(docs.select("text", *carry), rows, T.StructType([*docs.select(*carry).schema.fields, *found.fields]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import struct
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import BLANKS, batches_of, lower_ascii, rows_in, staged, table, width
+from candlewick.llm.common import BLANKS, lower_ascii, map_rows, staged, table, width
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1 << 18
@@ -162,15 +161,15 @@ def _probe(batches, min_docs: int):
                     yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(heavy)), pa.array(keys[heavy]), pa.array(largest[heavy])], schema=out)
 
 
-def shared_line_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped) per row of ``docs`` (needs doc_id and text; other columns are ignored).
+def shared_line_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, *carry) per row of ``docs`` (needs doc_id and text; columns not carried are ignored).
 
     A NULL text is one empty line.  Rows with equal ids are separate documents
     and keep or lose a line alike.  A NULL id never is the largest; lines found
     only in documents without id stay.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     # Documents are grouped into blocks, so that a line of a third of all documents is one row per block.
     blocks = max(64, 4 * width(spark))
     block = F.expr(f"CAST(pmod(xxhash64(doc_id), {blocks}) AS INT)")
@@ -189,22 +188,22 @@ def shared_line_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     arrays = index.select("shard", F.lit(0).alias("kind"), none("int").alias("block"), none("long").alias("hash"), "blob")
 
     hits = arrays.unionByName(probes).repartition(width(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda batches: _probe(batches, min_docs), "block int, hash long, largest long")
-    return _apply(docs.withColumn("block", block), hits, min_chars)
+    out = _apply(docs.withColumn("block", block), hits, min_chars)
+    return out.select("doc_id", "text", "n_lines", "n_dropped", *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
 def _apply(docs: DataFrame, hits: DataFrame, min_chars: int) -> DataFrame:
     """Documents meet the hits of their block: hits first, then texts, one after the other."""
     none = lambda kind: F.lit(None).cast(kind)
-    left = hits.select("block", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "hash", "largest")
-    right = docs.select("block", F.lit(1).alias("kind"), "doc_id", "text", none("long").alias("hash"), none("long").alias("largest"))
+    left = hits.select("block", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "hash", "largest", none(docs.schema["carried"].dataType).alias("carried"))
+    right = docs.select("block", F.lit(1).alias("kind"), "doc_id", "text", none("long").alias("hash"), none("long").alias("largest"), "carried")
     both = left.unionByName(right).repartition(width(docs.sparkSession), "block").sortWithinPartitions("block", "kind")
-    both = both.select("block", "kind", "doc_id", "text", "hash", "largest", F.when(F.col("kind") == 1, line_hashes(F.col("text"), min_chars)).alias("hashes"))
-    kind = T.StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long")
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    both = both.select("block", "kind", "doc_id", "text", "hash", "largest", F.when(F.col("kind") == 1, line_hashes(F.col("text"), min_chars)).alias("hashes"), "carried")
+    kind = T.StructType([*T.StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long").fields, docs.schema["carried"]])
 
     def rows(stream):
         at, largest_of = None, {}
-        for block, is_doc, doc_id, text, hash_, largest, hashes in stream:
+        for block, is_doc, doc_id, text, hash_, largest, hashes, carried in stream:
             if block != at:
                 at, largest_of = block, {}
             if not is_doc:
@@ -212,9 +211,9 @@ def _apply(docs: DataFrame, hits: DataFrame, min_chars: int) -> DataFrame:
                 continue
             lines = text.split("\n")
             kept = [line for line, h in zip(lines, hashes) if not _loses(largest_of.get(h) if h is not None else None, doc_id)]
-            yield doc_id, "\n".join(kept), len(lines), len(lines) - len(kept)
+            yield doc_id, "\n".join(kept), len(lines), len(lines) - len(kept), carried
 
-    return both.mapInArrow(lambda batches: batches_of(rows(rows_in(batches)), out, 500), kind)
+    return map_rows(both, rows, kind)
 
 
 def _loses(largest: int | None, doc_id: int | None) -> bool:

@@ -17,7 +17,7 @@ from candlewick.llm.common import staged, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_RATIO = 1.5, 2.0
-STEPS, TOLERANCE = 60, 1e-7
+STEPS, TOLERANCE = 60, 1e-6
 BUCKETS = 256
 SMALL_TABLE = 20_000
 
@@ -142,15 +142,15 @@ def cell_copies(cells: DataFrame, state: DataFrame, small: bool, max_ratio: floa
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """(doc_id, skey, size, source_size, target, copies, taken), a row per row of ``docs``.
+    """(doc_id, text_key, skey, size, source_size, target, copies, taken), a row per row of ``docs``.
 
     Needs doc_id, text and source; other columns are ignored.  NULL text has size 0; documents
     of size 0 take one copy of no words.  A NULL source is a source of its own.  Documents of equal
     source and size are told apart by a hash of their id, so reruns agree; equal rows are
-    interchangeable.  An empty table gives no rows.
+    interchangeable; text_key is a hash of the text.  An empty table gives no rows.
     """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    sized = staged(docs.select("doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), bucket.alias("bucket")))
+    sized = staged(docs.select("doc_id", F.xxhash64("text").alias("text_key"), source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), bucket.alias("bucket")))
     fine = sized.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     cells = staged(fine.groupBy("skey", "size").agg(F.sum("n").alias("n")))
     state, small = balance(cells, staged(source_targets(cells, weights, share, max_ratio)), max_ratio)
@@ -159,12 +159,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_ratio: float
     order = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = fine.withColumn("offset", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     offsets = offsets.join(copies, ["skey", "size"])
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text_key"))
     ranked = sized.withColumn("rank", rank).join(offsets, ["skey", "size", "bucket"])
     each = F.floor(F.col("copies") / F.col("n"))
     extra = F.col("copies") - each * F.col("n")
     own = each + F.when(F.col("offset") + F.col("rank") <= extra, 1).otherwise(0)
-    return ranked.select("doc_id", "skey", "size", "source_size", "target", own.cast("int").alias("copies"), (own * F.col("size")).cast("long").alias("taken"))
+    return ranked.select("doc_id", "text_key", "skey", "size", "source_size", "target", own.cast("int").alias("copies"), (own * F.col("size")).cast("long").alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
