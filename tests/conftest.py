@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,6 +12,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from candlewick.session import local_session
 
-    session = local_session(8, "tests")
+    session = local_session(os.environ.get("CANDLEWICK_CORES", "8"), "tests")
     yield session
     session.stop()
