@@ -30,7 +30,7 @@ def user_bars(spark, d):
 
 def split(bars):
     """The layout used where a symbol may be long, forced here to be measured."""
-    return segments.Layout.of(bars, ["symbol"], rows=8192, whole=False)
+    return segments.Layout.of(["symbol"], rows=8192)
 
 
 QUERIES = {

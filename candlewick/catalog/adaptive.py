@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candlewick.catalog.helpers import pick, plain, r
-from candlewick.catalog.sqltext import adaptive_cte, bars_cte
+from candlewick.catalog.sqltext import adaptive_cte, arrivals_cte, bars_cte
 from candlewick.functions import scalars as S
 from candlewick.operators import adaptive as A
 from candlewick.operators.segments import Layout
+from candlewick.sources.arrivals import feed_arrivals
 from candlewick.sources.ticks import event_bars
 
 KEY = ["symbol", "interval_start"]
@@ -24,20 +25,20 @@ def _decisions(*cols):
 
 def capturability(spark, d):
     steps, _ = A.adaptive_steps(event_bars(spark, d))
-    return plain(steps.select(*KEY, "h", r("q_g"), r("q_s"), r("q_r"), r("c"), S.join_pipe(F.col("capture_reasons")).alias("reasons")))
+    return plain(steps.filter(~F.col("halo")).select(*KEY, "h", r("q_g"), r("q_s"), r("q_r"), r("c"), S.join_pipe(F.col("capture_reasons")).alias("reasons")))
 
 
 def capturability_stale(spark, d):
-    """The same shapes judged five minutes later and with a closed market."""
+    """The same shapes judged one minute later and with a closed market."""
     steps, _ = A.adaptive_steps(event_bars(spark, d))
-    judged = A.with_capturability(steps, F.col("event_time") + 60, F.col("symbol") != "error")
+    judged = A.with_capturability(steps.filter(~F.col("halo")), F.col("event_time") + 60, F.col("symbol") != "error")
     return plain(judged.select(*KEY, "h", r("c"), S.join_pipe(F.col("capture_reasons")).alias("reasons")))
 
 
 def decisions_split(spark, d):
     """The same decisions computed from short segments joined by carried state."""
     bars = event_bars(spark, d, "1 minute")
-    layout = Layout.of(bars, ["symbol"], rows=1100, whole=False)
+    layout = Layout.of(["symbol"], rows=1100)
     return pick(A.decisions(bars, layout), *KEY, "c:7", "side", "emitter_position", "forward_half_life:6", "ref_alpha:8", "model_health")
 
 
@@ -51,9 +52,16 @@ def samples(spark, d):
     return pick(A.forward_samples(A.decisions(event_bars(spark, d))), *KEY, "sample", *[f"{c}:6" for c in cols])
 
 
+def admitted(spark, d):
+    """Every arrival in order, with the reason why the model refuses it: times that repeat or go back."""
+    arrivals = feed_arrivals(spark, d)
+    obs = A.adaptive_observations(arrivals, ["arrival"])
+    return plain(A.admission(obs, "arrival").select("symbol", "interval_start", "arrival", "skip_reason"))
+
+
 QUERIES = {
     "adaptive_obs": lambda s, d: plain(A.adaptive_observations(event_bars(s, d)).select(*KEY, "event_time", "price", "v_raw", "source_quality")),
-    "adaptive_admit": lambda s, d: plain(A.admit(A.adaptive_observations(event_bars(s, d))).groupBy("symbol").agg(F.count("*").alias("admitted"))),
+    "adaptive_admit": admitted,
     "ref_scale": _steps("reference:9", "scale:9"),
     "kinematics": _steps("level:9", "velocity:9", "acceleration:9", "curvature:9"),
     "innovation": _steps("residual:9", "innovation:9"),
@@ -98,7 +106,14 @@ _RULE = f"CASE side WHEN 'BUY' THEN '{A.RULES['BUY']}' WHEN 'SELL' THEN '{A.RULE
 
 ORACLE = {
     "adaptive_obs": f"WITH {bars_cte()} SELECT symbol, interval_start, epoch_us(interval_start) / 1e6 AS event_time, close AS price, CAST(volume AS DOUBLE) AS v_raw, 1.0::DOUBLE AS source_quality FROM bars",
-    "adaptive_admit": f"WITH {bars_cte()} SELECT symbol, count(*) AS admitted FROM bars GROUP BY symbol",
+    "adaptive_admit": f"""WITH RECURSIVE {arrivals_cte()},
+queue AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY arrival) AS k FROM arrivals),
+walk AS (
+  SELECT symbol, 0::BIGINT AS k, NULL::TIMESTAMP AS before, NULL::TIMESTAMP AS last FROM (SELECT DISTINCT symbol FROM queue)
+  UNION ALL
+  SELECT q.symbol, q.k, w.last, greatest(q.interval_start, w.last) FROM walk w JOIN queue q ON q.symbol = w.symbol AND q.k = w.k + 1)
+SELECT q.symbol, q.interval_start, q.arrival, CASE WHEN q.interval_start <= w.before THEN 'DUPLICATE_OR_REGRESSION' END AS skip_reason
+FROM walk w JOIN queue q USING (symbol, k)""",
     "ref_scale": _sql("round(ref, 9) AS reference, round(scale, 9) AS scale"),
     "kinematics": _sql(_rounded(level=9, velocity=9, acceleration=9, curvature=9)),
     "innovation": _sql(_rounded(residual=9, innovation=9)),

@@ -29,8 +29,11 @@ def changes(spark, d):
 
 
 def damaged(spark, d):
-    """The stream as a lossy subscriber would have it: SELL rows never arrived."""
-    return changes(spark, d).filter(~F.col("current.code").isin("DECISION:SELL", "EMITTED:GREEN"))
+    """The stream as a careless writer would log it: every 50th row twice, three numbers left out before the 40th."""
+    c = changes(spark, d).withColumn("position", F.col("position") * 2)
+    twice = c.filter(F.col("sequence") % 50 == 0).withColumn("position", F.col("position") + 1)
+    jumped = F.when(F.col("sequence") >= 40, F.col("sequence") + 3).otherwise(F.col("sequence"))
+    return c.unionByName(twice).withColumn("sequence", jumped)
 
 
 def all_transitions(spark, d):
@@ -85,9 +88,11 @@ QUERIES = {
 
 _BASE = f"WITH RECURSIVE {changes_cte()}"
 _FIELDS = ", ".join(T.COMPARED)
-_LOST = f"""{_BASE}, lost AS (SELECT *, lag(sequence) OVER w AS seq0, lag(code) OVER w AS code0, lag(transition_id) OVER w AS id0,
+_LOST = f"""{_BASE}, logged AS (SELECT * REPLACE (CASE WHEN sequence >= 40 THEN sequence + 3 ELSE sequence END AS sequence, position * 2 AS position) FROM chg
+  UNION ALL SELECT * REPLACE (CASE WHEN sequence >= 40 THEN sequence + 3 ELSE sequence END AS sequence, position * 2 + 1 AS position) FROM chg WHERE sequence % 50 = 0),
+lost AS (SELECT *, lag(sequence) OVER w AS seq0, lag(code) OVER w AS code0, lag(transition_id) OVER w AS id0,
   lag(({_FIELDS})) OVER w AS state0, ({_FIELDS}) AS state1
-  FROM chg WHERE code NOT IN ('DECISION:SELL', 'EMITTED:GREEN') WINDOW w AS (PARTITION BY stage_id, entity_id ORDER BY position))"""
+  FROM logged WINDOW w AS (PARTITION BY stage_id, entity_id ORDER BY position))"""
 _NAMES = "CASE stage_id WHEN 'P01_MARKET_FEED' THEN 'Market Feed' WHEN 'P02_INGESTION' THEN 'Ingestion' WHEN 'P03_ADAPTIVE' THEN 'Adaptive Model' ELSE 'Price Engine' END"
 _LABELS = [(label, name) for label, name in T._LINES]
 _PRICE_CHANGED = " UNION ALL ".join(
@@ -106,10 +111,10 @@ ORACLE = {
     "display_text": f"""{_BASE} SELECT stage_id, entity_id, sequence, {_NAMES} AS stage_name, coalesce(prev_code, 'ABSENT') AS before, code AS now,
   concat_ws('; ', 'Kind: ' || kind, 'Code: ' || code, {", ".join(f"'{label}: ' || {name}" for label, name in _LABELS[2:])}, CASE WHEN kind = 'PRICING' THEN 'Domain Exit: ' || domain_exit END) AS lines FROM chg""",
     "audit_inventory": f"{_BASE} SELECT stage_id, entity_id, count(*) AS n FROM chg GROUP BY ROLLUP (stage_id, entity_id)",
-    "audit_sequence": f"""{_LOST} SELECT stage_id, entity_id, count(*) AS n, min(sequence) AS first_sequence, max(sequence) AS last_sequence, 0::BIGINT AS resets, 0::BIGINT AS duplicates,
-  max(sequence) - min(sequence) + 1 - count(*) AS missing, missing = 0 AS monotonic FROM lost GROUP BY ALL""",
+    "audit_sequence": f"""{_LOST} SELECT stage_id, entity_id, count(*) AS n, min(sequence) AS first_sequence, max(sequence) AS last_sequence, count(*) FILTER (sequence <= seq0) AS resets, count(*) - count(DISTINCT sequence) AS duplicates,
+  max(sequence) - min(sequence) + 1 - count(DISTINCT sequence) AS missing, missing = 0 AND resets = 0 AND duplicates = 0 AS monotonic FROM lost GROUP BY ALL""",
     "audit_missing_ranges": f"{_LOST} SELECT stage_id, entity_id, seq0 + 1 AS missing_from, sequence - 1 AS missing_to FROM lost WHERE sequence > seq0 + 1",
-    "audit_reconstruct": f"{_LOST} SELECT stage_id, entity_id, transition_id, id0 AS prev_id, code0 AS expected_code, prev_code AS got_code FROM lost WHERE seq0 IS NOT NULL AND sequence <> seq0 + 1",
+    "audit_reconstruct": f"{_LOST} SELECT stage_id, entity_id, transition_id, id0 AS prev_id, code0 AS expected_code, prev_code AS got_code FROM lost WHERE seq0 IS NOT NULL AND sequence = seq0",
     "audit_identical_adjacent": f"{_LOST} SELECT stage_id, entity_id, transition_id, id0 AS prev_id, code FROM lost WHERE seq0 IS NOT NULL AND state0 IS NOT DISTINCT FROM state1",
     "audit_decision_moves": f"""{_BASE}, p AS (SELECT * FROM chg WHERE stage_id = 'P03_ADAPTIVE')
   SELECT 'kind' AS measure, coalesce(prev_kind, 'ABSENT') || ' -> ' || kind AS value, count(*) AS n FROM p GROUP BY ALL

@@ -23,13 +23,12 @@ KEY = ["symbol", "interval_start"]
 
 
 def flagged(spark, d, reset=False):
-    """Arrivals with readiness, loss and failure flags taken from the bars themselves."""
+    """Arrivals with readiness and loss flags, and some unreadable closes, taken from the bars themselves."""
     a = feed_arrivals(spark, d).withColumns(
         {
             "infer": F.col("volume") > 20,
             "proven_missing": (F.col("event_count") >= 6) & (F.col("interval_start") > F.lit("2024-01-22").cast("timestamp")),
-            "adaptive_fails": F.col("high") > 200,
-            "pricing_fails": F.col("low") < 0.5,
+            "close": F.when((F.col("high") > 200) | (F.col("low") < 0.5), F.lit(float("nan"))).otherwise(F.col("close")),
         }
     )
     if not reset:
@@ -198,19 +197,19 @@ QUERIES = {
 def _gated(epoch: str = "0") -> str:
     """``gated`` = gates replayed arrival by arrival with an explicit latch."""
     return f"""{arrivals_cte()},
-flag0 AS (SELECT *, volume > 20 AS infer, event_count >= 6 AND interval_start > TIMESTAMP '2024-01-22' AS proven, high > 200 AS a_fail, low < 0.5 AS p_fail,
+flag0 AS (SELECT *, volume > 20 AS infer, event_count >= 6 AND interval_start > TIMESTAMP '2024-01-22' AS proven, high > 200 OR low < 0.5 AS bad,
   quality_status = 'COMPLETE' AS eligible FROM arrivals),
 flag1 AS (SELECT *, {epoch} AS epoch FROM flag0),
 queue AS (SELECT *, row_number() OVER (PARTITION BY symbol, epoch ORDER BY arrival) AS k FROM flag1),
 walk AS (
   SELECT symbol, epoch, 0::BIGINT AS k, NULL::TIMESTAMP AS prev, NULL::TIMESTAMP AS last, false AS disc, '' AS gate FROM (SELECT DISTINCT symbol, epoch FROM queue)
   UNION ALL
-  SELECT symbol, epoch, k, prev, CASE WHEN gate = 'PASS' AND NOT a_fail AND NOT p_fail THEN interval_start ELSE prev END, disc0 OR gate = 'INPUT_GAP', gate FROM (
+  SELECT symbol, epoch, k, prev, CASE WHEN gate = 'PASS' AND NOT bad THEN interval_start ELSE prev END, disc0 OR gate = 'INPUT_GAP', gate FROM (
     SELECT q.*, w.last AS prev, w.disc AS disc0,
       CASE WHEN w.disc THEN 'STATE_DISCONTINUOUS' WHEN NOT q.infer THEN 'INFER_OFF' WHEN NOT q.eligible THEN 'NOT_MODEL_ELIGIBLE'
            WHEN q.interval_start <= w.last THEN 'DUPLICATE_OR_REGRESSION' WHEN w.last IS NOT NULL AND q.interval_start - w.last > INTERVAL 1 MINUTE AND q.proven THEN 'INPUT_GAP' ELSE 'PASS' END AS gate
     FROM walk w JOIN queue q ON q.symbol = w.symbol AND q.epoch = w.epoch AND q.k = w.k + 1)),
-gated0 AS (SELECT q.*, w.prev, w.gate, w.gate = 'PASS' AND NOT q.a_fail AND NOT q.p_fail AS committed,
+gated0 AS (SELECT q.*, w.prev, w.gate, w.gate = 'PASS' AND NOT q.bad AS committed,
     epoch(q.interval_start) - epoch(w.prev) AS dt FROM walk w JOIN queue q ON q.symbol = w.symbol AND q.epoch = w.epoch AND q.k = w.k),
 gated AS (SELECT *, CASE WHEN gate = 'STATE_DISCONTINUOUS' THEN 'INPUT_GAP' WHEN gate IN ('DUPLICATE_OR_REGRESSION', 'INPUT_GAP') THEN
     CASE WHEN dt = 0 THEN 'duplicate' WHEN dt < 0 THEN 'regression' ELSE 'irregular' END || ' last=' || strftime(prev, '%Y-%m-%dT%H:%M:%SZ') || ' current=' || {"strftime(interval_start, '%Y-%m-%dT%H:%M:%SZ')"}
@@ -219,7 +218,7 @@ gated AS (SELECT *, CASE WHEN gate = 'STATE_DISCONTINUOUS' THEN 'INPUT_GAP' WHEN
 
 
 _OUT = f"WITH RECURSIVE {_gated()}, accepted AS (SELECT * FROM gated WHERE committed), {adaptive_cte('accepted')}"
-_SKIP = "CASE WHEN g.gate <> 'PASS' THEN g.gate ELSE 'ENGINE_ERROR' END"
+_SKIP = "CASE WHEN g.gate <> 'PASS' THEN g.gate ELSE 'INVALID_INPUT' END"
 _EPOCH = """coalesce(CASE WHEN arrival >= min(CASE WHEN interval_start >= TIMESTAMP '2024-01-15' THEN arrival END) OVER (PARTITION BY symbol)
   THEN min(CASE WHEN interval_start >= TIMESTAMP '2024-01-15' THEN arrival END) OVER (PARTITION BY symbol) END, 0)"""
 _STATUS0 = f"""WITH RECURSIVE {_gated()}, agg AS (SELECT symbol, count(*) FILTER (committed) AS accepted, bool_or(gate IN ('INPUT_GAP', 'STATE_DISCONTINUOUS')) AS disc,
@@ -258,7 +257,7 @@ ORACLE = {
     "gate_skip": f"WITH RECURSIVE {_gated()} SELECT symbol, interval_start, arrival, gate, gate_detail, committed FROM gated",
     "joint_outcomes": f"""{_OUT} SELECT g.symbol, g.interval_start, g.arrival, CASE WHEN d.side IS NOT NULL THEN 'DECISION' ELSE 'SKIP' END AS kind, d.side, round(d.c, 9) AS c, d.emitter_position,
   CASE WHEN NOT g.committed THEN {_SKIP} WHEN d.side IS NULL THEN 'INITIALIZING' END AS skip_reason,
-  CASE WHEN NOT g.committed THEN CASE WHEN g.gate = 'PASS' AND p_fail AND NOT a_fail THEN 'pricing prepare failed' ELSE gate_detail END WHEN d.side IS NULL THEN d.rn || '/16' END AS skip_detail, d.rn - 1 AS accepted_sequence
+  CASE WHEN NOT g.committed THEN gate_detail WHEN d.side IS NULL THEN d.rn || '/16' END AS skip_detail, d.rn - 1 AS accepted_sequence
   FROM gated g LEFT JOIN dec d ON g.committed AND d.symbol = g.symbol AND d.interval_start = g.interval_start""",
     "joint_commit": f"""WITH RECURSIVE {_gated()} SELECT symbol, count(*) FILTER (committed) AS decisions, count(*) FILTER (committed) AS last_decisions, count(*) FILTER (committed) AS prices,
   count(*) FILTER (committed) AS last_prices, count(*) FILTER (gate = 'PASS') AS volumes, count(*) FILTER (gate = 'PASS') AS last_volumes FROM gated GROUP BY symbol""",

@@ -8,6 +8,7 @@ from candlewick.catalog.helpers import plain
 from candlewick.catalog.sqltext import arrivals_cte, bars_cte, resolved_cte
 from candlewick.functions import scalars as S
 from candlewick.operators import ingest as I
+from candlewick.operators import tails as W
 from candlewick.sources.arrivals import feed_arrivals, heartbeats
 from candlewick.sources.ticks import event_bars, read_table
 
@@ -24,24 +25,32 @@ def bars_query(spark, d):
     return plain(event_bars(spark, d, "1 minute").select(*cols))
 
 
+FILL_AS_OF = "2024-01-30 12:00:00"
+
+
 def split_store(spark, d):
-    """Live part of the feed and its history part, each one row per minute."""
+    """A live store that ends early (and lacks one symbol), and a history that repeats and revises itself."""
     arrivals = feed_arrivals(spark, d)
-    live = I.resolve_revisions(arrivals.filter(~F.col("is_backfilled")))
-    history = I.resolve_revisions(arrivals.filter("is_backfilled"))
-    return live, history
+    live = I.resolve_revisions(arrivals.filter("NOT is_backfilled AND interval_start < '2024-01-20' AND symbol <> 'view'"))
+    history = arrivals.filter("is_backfilled")
+    again = history.withColumn("arrival", F.col("arrival") + 10**12)
+    revised = history.filter(F.pmod(F.unix_seconds("interval_start") / 3600, F.lit(2)) == 0).withColumns(
+        {"arrival": F.col("arrival") + 2 * 10**12, "close": F.col("close") + 1, "market_snapshot_id": F.concat("market_snapshot_id", F.lit("x"))}
+    )
+    return live, history.unionByName(again).unionByName(revised)
 
 
-def gap_fill_rows(spark, d):
+def filled(spark, d):
     live, history = split_store(spark, d)
-    merged, _ = I.gap_fill(live, history, start=F.lit("2024-01-01").cast("timestamp"))
-    return plain(merged.select(*KEY, *FACTS))
+    return I.gap_fill(live, history, F.lit(FILL_AS_OF).cast("timestamp"), order="arrival")
+
+
+def gap_fill_rows(spark, d):
+    return plain(filled(spark, d)[0].select(*KEY, *FACTS))
 
 
 def gap_fill_counts(spark, d):
-    live, history = split_store(spark, d)
-    _, counts = I.gap_fill(live, history, start=F.lit("2024-01-01").cast("timestamp"))
-    return counts
+    return filled(spark, d)[1]
 
 
 def eligible_between(spark, d):
@@ -88,10 +97,17 @@ def bar_window(spark, d):
 
 def tail_bars(spark, d):
     """Replay: requested symbols, final bars only, oldest first."""
-    kept = S.symbol_filter(I.bar_window(store(spark, d)), ["CLICK", " view ", "click"])
+    kept = S.symbol_filter(I.bar_window(store(spark, d)), ["CLICK", " view ", "click"], stored=str.lower)
     return plain(I.finalized(kept).select(*KEY, "close", "volume"))
 
 
+def tail_bars_live(spark, d):
+    """Two symbols as a late subscriber receives them: the stored window, then what is newer, 80 bars in all."""
+    bars, at = store(spark, d), F.col("interval_start")
+    stored, live = bars.filter(at < F.lit("2024-01-20").cast("timestamp")), bars.filter(at >= F.lit("2024-01-19 20:00:00").cast("timestamp"))
+    return plain(W.tail_bars(stored, live, ["CLICK", "view"], 80, str.lower).select(*KEY, "phase", "close"))
+
+
 def scalar_table(spark, d):
     """Row-wise helpers over bars of the whole events table."""
     b = event_bars(spark, d, "1 minute")
@@ -157,6 +173,7 @@ QUERIES = {
     "resolve_revisions": lambda s, d: plain(store(s, d).select(*KEY, "arrival", *FACTS)),
     "resolve_revisions_exact": lambda s, d: plain(I.resolve_revisions_exact(feed_arrivals(s, d)).select(*KEY, "arrival", *FACTS)),
     "bar_window": bar_window,
+    "tail_bars_live": tail_bars_live,
     "tail_bars": tail_bars,
     "gap_fill_merge": gap_fill_rows,
     "gap_fill_counts": gap_fill_counts,
@@ -182,10 +199,13 @@ beats AS (SELECT *, CASE WHEN reported = 'RECOVERING' THEN 'RECOVERING' WHEN rtt
                          ELSE 'HEALTHY' END AS feed_state FROM beats1)"""
 _SPLIT = f"""{arrivals_cte()},
 live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, interval_start ORDER BY is_final DESC, arrival DESC) AS pick
-         FROM arrivals WHERE NOT is_backfilled) WHERE pick = 1),
-judged AS (SELECT h.*, l.symbol IS NULL OR NOT (l.is_final OR l.market_snapshot_id = h.market_snapshot_id) AS injected
-           FROM (SELECT * FROM arrivals WHERE is_backfilled AND interval_start >= TIMESTAMP '2024-01-01') h
-           LEFT JOIN live l USING (symbol, interval_start))"""
+         FROM arrivals WHERE NOT is_backfilled AND interval_start < TIMESTAMP '2024-01-20' AND symbol <> 'view') WHERE pick = 1),
+lasts AS (SELECT symbol, max(interval_start) AS last FROM live GROUP BY symbol),
+wanted AS (SELECT h.*, epoch(h.interval_start) // 3600 % 2 = 0 AS revised FROM arrivals h LEFT JOIN lasts USING (symbol)
+           WHERE is_backfilled AND h.interval_start BETWEEN coalesce(last, TIMESTAMP '{FILL_AS_OF}' - INTERVAL 15 MINUTE) AND TIMESTAMP '{FILL_AS_OF}'),
+judged AS (SELECT w.*, coalesce(l.is_final, false) AS kept,
+                  CASE WHEN l.is_final THEN 0 ELSE CASE WHEN l.market_snapshot_id = w.market_snapshot_id THEN 0 ELSE 1 END + revised::INT END AS taken
+           FROM wanted w LEFT JOIN live l USING (symbol, interval_start))"""
 # Continuity replayed arrival by arrival against the last accepted bar.
 _WALK = f"""WITH RECURSIVE {arrivals_cte()},
 queue AS (SELECT *, is_final AND quality_status = 'COMPLETE' AND NOT is_backfilled AS eligible,
@@ -231,11 +251,16 @@ ORACLE = {
     "last_bar": f"WITH {resolved_cte()} SELECT symbol, interval_start, {_FACTS} FROM store QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY interval_start DESC) = 1",
     "resolve_revisions": f"WITH {resolved_cte()} SELECT symbol, interval_start, arrival, {_FACTS} FROM store",
     "bar_window": f"WITH {resolved_cte()} SELECT symbol, interval_start, close, quality_status FROM store QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY interval_start DESC) <= 64",
+    "tail_bars_live": f"""WITH {resolved_cte()}, two AS (SELECT * FROM store WHERE symbol IN ('click', 'view')),
+  w AS (SELECT * FROM two WHERE interval_start < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY interval_start DESC) <= 64),
+  l AS (SELECT * FROM two t WHERE interval_start >= TIMESTAMP '2024-01-19 20:00:00' AND NOT EXISTS (SELECT 1 FROM w WHERE w.is_final AND w.symbol = t.symbol AND w.interval_start = t.interval_start)),
+  u AS (SELECT *, 0 AS phase FROM w WHERE is_final UNION ALL SELECT *, 1 FROM l WHERE is_final)
+  SELECT symbol, interval_start, phase, close FROM u ORDER BY phase, interval_start, symbol LIMIT 80""",
     "tail_bars": f"""WITH {resolved_cte()} SELECT symbol, interval_start, close, volume FROM (
   SELECT * FROM store QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY interval_start DESC) <= 64) WHERE is_final AND symbol IN ('click', 'view')""",
-    "gap_fill_merge": f"""WITH {_SPLIT} SELECT symbol, interval_start, {_FACTS} FROM judged WHERE injected
-  UNION ALL SELECT symbol, interval_start, {_FACTS} FROM live ANTI JOIN (SELECT * FROM judged WHERE injected) USING (symbol, interval_start)""",
-    "gap_fill_counts": f"WITH {_SPLIT} SELECT symbol, count(*) AS fetched, count(*) FILTER (injected) AS injected, count(*) FILTER (NOT injected) AS deduplicated FROM judged GROUP BY symbol",
+    "gap_fill_merge": f"""WITH {_SPLIT} SELECT symbol, interval_start, {_FACTS.replace("close,", "close + revised::INT AS close,").replace("market_snapshot_id", "market_snapshot_id || CASE WHEN revised THEN 'x' ELSE '' END AS market_snapshot_id")} FROM judged WHERE taken > 0
+  UNION ALL SELECT symbol, interval_start, {_FACTS} FROM live ANTI JOIN (SELECT * FROM judged WHERE taken > 0) USING (symbol, interval_start)""",
+    "gap_fill_counts": f"""WITH {_SPLIT} SELECT symbol, sum(2 + revised::INT)::BIGINT AS fetched, sum(taken)::BIGINT AS injected, sum(2 + revised::INT - taken)::BIGINT AS deduplicated FROM judged GROUP BY symbol""",
     "classify_continuity": f"""WITH {_MIN}, g AS (SELECT *, epoch(interval_start) - epoch(lag(interval_start) OVER (PARTITION BY symbol ORDER BY interval_start)) AS gap FROM bars)
   SELECT symbol, interval_start, CASE WHEN gap IS NULL THEN 'first' WHEN gap = 60 THEN 'normal' ELSE 'irregular' END AS continuity, CAST(coalesce(gap, 0) AS DOUBLE) AS elapsed_s FROM g""",
     "classify_arrivals": _walk("symbol, interval_start, arrival, continuity, elapsed_s"),

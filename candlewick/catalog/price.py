@@ -44,7 +44,7 @@ def event_rows(spark, d):
 
 def minute_segments(spark, d):
     bars = event_bars(spark, d, "1 minute")
-    e = P.emissions(bars, Layout.of(bars, ["symbol"], rows=128, whole=False))
+    e = P.emissions(bars, Layout.of(["symbol"], rows=128))
     return pick(e, *KEY, "p1:6", "projected_p:5", "raw_color", "color", "cockpit_color", "persistence_count", "candidate_age", "refined_state")
 
 

@@ -42,7 +42,7 @@ def collected(spark, flow, run=L.run_to_parquet, mode="append"):
 
 def ticks(spark, d):
     schema = read_table(spark, d, "events").schema
-    return L.configure(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return L.configure(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", FILES).parquet(d)
 
 
 def _hourly(spark, d):
@@ -128,7 +128,7 @@ def tail_limited(spark, d):
     e = V.volume_events(event_bars(spark, d)).select(*KEY, "event_id", "indicator")
     at = F.col("interval_start")
     stored, live = e.filter(at < F.lit(CUT).cast("timestamp")), e.filter(at >= F.lit(CUT).cast("timestamp"))
-    return plain(tail(stored, live, ["click", "VIEW"], 20).select(*KEY, "phase", "indicator"))
+    return plain(tail(stored, live, ["click", "VIEW"], 20, str.lower).select(*KEY, "phase", "indicator"))
 
 
 QUERIES = {

@@ -32,7 +32,7 @@ def flagship(spark, d):
 
 def session_reset(spark, d):
     bars = event_bars(spark, d, "1 minute").withColumn("session", F.date_format("interval_start", "yyyy-MM-dd"))
-    layout = Layout.of(bars, ["symbol", "session"])
+    layout = Layout.of(["symbol", "session"])
     return plain(V.volume_events(bars, layout).select(*KEY, "session", "rn", "raw_color", "indicator", "transition"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,12 +144,16 @@ def normalize_symbol(text: Column | str) -> Column:
     return F.when(t != "", t)
 
 
-def symbol_filter(df: DataFrame, symbols: Sequence[str] | None, column: str = "symbol") -> DataFrame:
-    """Keep the requested symbols; an empty request keeps everything."""
-    wanted = list(dict.fromkeys(s.strip().upper() for s in (symbols or [])))
+def symbol_filter(df: DataFrame, symbols: Sequence[str] | None, column: str = "symbol", stored: Callable[[str], str] = str.upper) -> DataFrame:
+    """Keep the requested symbols; an empty request keeps everything.
+
+    ``stored`` is the form in which symbols were normalised at ingest.  The request is brought to it, so the
+    bare column is compared and the filter reaches the scan.
+    """
+    wanted = list(dict.fromkeys(stored(s.strip()) for s in (symbols or [])))
     if "" in wanted:
         raise ValueError("symbol must be non-empty")
-    return df.filter(F.upper(F.col(column)).isin(*wanted)) if wanted else df
+    return df.filter(F.col(column).isin(*wanted)) if wanted else df
 
 
 def split_symbols(text: Column | str) -> Column:

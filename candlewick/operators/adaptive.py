@@ -294,9 +294,30 @@ def adaptive_observations(bars: DataFrame, extra: list[str] | None = None) -> Da
     )
 
 
-def admit(obs: DataFrame) -> DataFrame:
-    """Rows the model can take; the rest become typed skips upstream."""
-    return obs.filter(S.finite("price") & S.finite("v_raw") & F.col("interval_start").isNotNull())
+def takeable() -> Column:
+    return S.finite("price") & S.finite("v_raw") & F.col("interval_start").isNotNull()
+
+
+def admit(obs: DataFrame, layout: G.Layout) -> DataFrame:
+    """Rows the model takes: readable ones, the first of each time.
+
+    Rows are stepped in the order of their times, so a repeated time is the only one that fails to increase.
+    """
+    fit = G.bucketed_by_time(obs.filter(takeable()), layout)
+    before = F.lag("interval_start").over(G.in_order(fit, layout))
+    return fit.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col("interval_start"))).drop("_before")
+
+
+def admission(obs: DataFrame, order: str, layout: G.Layout | None = None) -> DataFrame:
+    """``skip_reason`` for observations in any order: time must increase along ``order``.
+
+    Only readable rows later than all accepted before them are taken; the last accepted time thus is a running maximum.
+    """
+    layout = (layout or G.Layout.of(["symbol"])).along(["symbol"], order)
+    laid = G.lay_out(obs, layout, 0).filter(~F.col("halo"))
+    laid = G.carry_max(laid, layout, "_last", F.when(takeable(), F.col("interval_start")), inclusive=False)
+    late = F.col("_last").isNotNull() & (F.col("interval_start") <= F.col("_last"))
+    return laid.withColumn("skip_reason", F.when(~takeable(), "INVALID_INPUT").when(late, "DUPLICATE_OR_REGRESSION")).drop("_last", "seg", "halo", "rn")
 
 
 def _path(tau: Column) -> Column:
@@ -467,13 +488,12 @@ def adaptive_steps(bars: DataFrame, layout: G.Layout | None = None) -> tuple[Dat
 
     Rows marked ``halo`` are the 15 context rows in front of a segment.
     """
-    layout = layout or G.Layout.of(bars, ["symbol"])
-    obs = admit(adaptive_observations(bars, [k for k in layout.keys if k != "symbol"]))
+    layout = layout or G.Layout.of(["symbol"])
+    obs = admit(adaptive_observations(bars, [k for k in layout.keys if k != "symbol"]), layout)
     laid = G.lay_out(obs, layout, WARM_ROWS)
     stepped = run_segments(laid, layout.groups, "rn", adaptive_kernel, STATE_FIELDS)
-    if not layout.whole:
-        near = F.col("rn") > F.col("seg") * layout.rows - CONTEXT
-        stepped = stepped.filter(~F.col("halo") | near)
+    near = F.col("rn") > F.col("seg") * layout.rows - CONTEXT
+    stepped = stepped.filter(~F.col("halo") | near)
     return with_capturability(with_return_shape(stepped)), layout
 
 
@@ -483,23 +503,10 @@ def decisions(bars: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     df = with_context(steps, layout).filter(~F.col("halo"))
     warm = F.col("rn") > CONTEXT
     df = df.withColumns({"side": F.when(warm, decide()), "valid": score_checks(df)}).drop("halo")
-    if layout.whole:
-        w = layout.window
-        df = df.withColumns(
-            {
-                "half0": F.lit(HALF_LIFE[0]),
-                "rate0": F.lit(RATE[0]),
-                "gap0": F.lit(False),
-                "clip0": F.lit(False),
-                "hit0": F.lit(False),
-                "side0": F.lit(None).cast("string"),
-            }
-        )
-    else:
-        df = stage(df)
-        starts = _segment_starts(_segment_ends(df, layout), layout)
-        df = df.join(starts, layout.groups)
-        w = layout.window
+    df = stage(df)
+    starts = _segment_starts(_segment_ends(df, layout), layout)
+    df = G.join_null_safe(df, starts, layout.groups)
+    w = layout.window
     run = G.so_far(w)
     traded = F.when(F.col("side").isin("BUY", "SELL"), F.col("side"))
     df = df.withColumns(

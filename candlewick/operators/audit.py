@@ -22,7 +22,7 @@ def inventory(changes: DataFrame) -> DataFrame:
 
 def neighbours(changes: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     """Every row with the one before it in log order (``position``)."""
-    layout = (layout or G.Layout.of(changes, KEY)).along(KEY, "position")
+    layout = (layout or G.Layout.of(KEY)).along(KEY, "position")
     laid = G.lay_out(changes, layout, 1)
     before = F.lag(F.struct("transition_id", "sequence", "current")).over(layout.window)
     return laid.withColumn("before", before).filter(~F.col("halo")).drop("halo", "seg", "rn")
@@ -38,8 +38,6 @@ def sequence_report(changes: DataFrame, layout: G.Layout | None = None) -> DataF
         F.min_by("sequence", "position").alias("first_sequence"),
         F.max_by("sequence", "position").alias("last_sequence"),
         F.count_if(F.col("sequence") <= F.col("before.sequence")).alias("resets"),
-        F.min("sequence").alias("_min"),
-        F.max("sequence").alias("_max"),
     )
     # Numbers of the first..last range that never occur.
     inside = (
@@ -54,7 +52,7 @@ def sequence_report(changes: DataFrame, layout: G.Layout | None = None) -> DataF
         .join(inside, KEY, "left")
         .withColumn("missing", span - F.coalesce("_inside", F.lit(0)))
         .withColumn("monotonic", (F.col("resets") == 0) & (F.col("duplicates") == 0) & (F.col("missing") == 0))
-        .drop("_min", "_max", "_inside", "distinct_n")
+        .drop("_inside", "distinct_n")
     )
 
 
@@ -83,10 +81,6 @@ def identical_adjacent(changes: DataFrame, layout: G.Layout | None = None) -> Da
     return pairs.filter(same).select(*KEY, "transition_id", F.col("before.transition_id").alias("prev_id"), "current.code")
 
 
-def _moves(stage: str, before: Column, now: Column, name: str) -> Column:
-    return F.when(F.col("stage_id") == stage, F.concat(before, F.lit(" -> "), now)).alias(name)
-
-
 def decision_moves(changes: DataFrame) -> DataFrame:
     """Kind and side matrices, code counts and rows without a bar, as (measure, value, n)."""
     p03 = changes.filter(F.col("stage_id") == "P03_ADAPTIVE")

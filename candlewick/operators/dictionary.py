@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.operators.segments import estimated_bytes
-
-BROADCAST_BYTES = 8 * 1024 * 1024
-
 # What a term may declare.
 TYPES = ["NOUN", "VERB", "STATE", "MEASURE", "EVENT", "REASON", "DECISION", "STATUS", "CLASSIFICATION"]
 COMPONENTS = [
@@ -30,16 +26,16 @@ def annotate_events(values: DataFrame, terms: DataFrame, value: str = "value") -
         .groupBy("_name")
         .agg(F.count("*").alias("_n"), F.min("id").alias("term_id"), F.min("display").alias("display"))
     )
-    # One value may fill a third of all events: a term table of proven size is sent
-    # to every task; a larger one is joined by the planner's choice.
-    if estimated_bytes(terms) <= BROADCAST_BYTES:
-        names = F.broadcast(names)
-    return (
-        values.join(names, F.col(value) == F.col("_name"), "left")
+    # One value may fill a third of all events: each distinct value is looked up once, and the answer
+    # comes back to its events by a join that carries one small row per value, which adaptive execution splits.
+    found = (
+        values.groupBy(F.col(value).alias("_value")).agg(F.lit(1).alias("_one")).drop("_one")
+        .join(names, F.col("_value") == F.col("_name"), "left")
         .withColumn("finding", F.when(F.col("_n") == 1, "KNOWN").when(F.col("_n") > 1, "REVIEW").otherwise("MISSING"))
         .withColumns({c: F.when(F.col("finding") == "KNOWN", F.col(c)) for c in ("term_id", "display")})
         .drop("_n", "_name")
-    )
+    )
+    return values.join(found, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def dictionary_checks(terms: DataFrame) -> DataFrame:

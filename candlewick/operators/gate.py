@@ -1,4 +1,4 @@
-"""Gates in front of the models, joint commit and per-arrival outcomes."""
+"""Gates in front of the models and per-arrival outcomes."""
 
 from __future__ import annotations
 
@@ -43,9 +43,8 @@ def with_reset_epoch(arrivals: DataFrame, resets: DataFrame, order: str = "arriv
     marks = resets.select("symbol", (F.col(order) * 2).alias("_pos"), F.col(order).alias("_reset"))
     rows = arrivals.withColumn("_pos", F.col(order) * 2 + 1)
     both = rows.unionByName(marks, allowMissingColumns=True)
-    layout = (layout or G.Layout.of(both, ["symbol"])).along(["symbol"], "_pos")
-    if not layout.whole:
-        layout = layout.split(layout.rows, layout.bucket_seconds * 2)
+    layout = (layout or G.Layout.of(["symbol"])).along(["symbol"], "_pos")
+    layout = layout.split(layout.rows, layout.bucket_seconds * 2)
     laid = G.lay_out(both, layout, 0)
     carried = G.carry_last(laid, layout, {"epoch": F.col("_reset")})
     return carried.filter(F.col("_reset").isNull()).select(*arrivals.columns, F.coalesce("epoch", F.lit(0)).alias("epoch"))
@@ -54,21 +53,20 @@ def with_reset_epoch(arrivals: DataFrame, resets: DataFrame, order: str = "arriv
 def gate(arrivals: DataFrame, order: str = "arrival", layout: G.Layout | None = None) -> DataFrame:
     """Decide for every arrival whether it reaches the models.
 
-    Optional boolean columns: ``infer`` (default true), ``proven_missing`` (an
-    eligible bar is known to be lost before this one), ``adaptive_fails`` and
-    ``pricing_fails`` (a step of that engine cannot be taken); optional ``epoch``
+    Optional boolean columns: ``infer`` (default true) and ``proven_missing`` (an
+    eligible bar is known to be lost before this one); optional ``epoch``
     restarts a symbol.  Adds ``gate`` (PASS or a skip reason), ``gate_detail`` and
-    ``committed``: both engines advanced.
+    ``committed``: the row passed and its numbers can be stepped.
     """
     have = set(arrivals.columns)
     arrivals = arrivals.withColumns(
-        {c: F.lit(d) for c, d in (("infer", True), ("proven_missing", False), ("adaptive_fails", False), ("pricing_fails", False)) if c not in have}
+        {c: F.lit(d) for c, d in (("infer", True), ("proven_missing", False)) if c not in have}
     )
     keys = ["symbol", "epoch"] if "epoch" in have else ["symbol"]
-    layout = (layout or G.Layout.of(arrivals, keys)).along(keys, order)
+    layout = (layout or G.Layout.of(keys)).along(keys, order)
     aligned = S.minute_aligned("interval_start")
     numbers = S.finite("close") & S.finite(F.col("volume").cast("double"))
-    may_commit = F.col("infer") & S.model_eligible() & aligned & numbers & ~F.col("adaptive_fails") & ~F.col("pricing_fails")
+    may_commit = F.col("infer") & S.model_eligible() & aligned & numbers
     laid = G.lay_out(arrivals, layout, 0).drop("halo")
     # A lost bar is only noticed on an irregular step, and what it latches skips
     # every later row, so the running maximum needs no knowledge of the latch.
@@ -99,18 +97,12 @@ def gate(arrivals: DataFrame, order: str = "arrival", layout: G.Layout | None =
     ).drop("_last", "_class", "_gap", "_latched", "rn", "seg")
 
 
-def commit_failure() -> Column:
-    """Why a row that passed the gates advanced neither engine."""
-    finite = S.finite("close") & S.finite(F.col("volume").cast("double"))
-    return F.when(~finite, "INVALID_INPUT").when(F.col("adaptive_fails") | F.col("pricing_fails"), "ENGINE_ERROR")
-
-
 def decision_outcomes(gated: DataFrame) -> DataFrame:
     """One terminal outcome per arrival: a decision or a typed skip, never both."""
     keys = ["symbol", "epoch"] if "epoch" in gated.columns else ["symbol"]
     key = [*keys, "interval_start"]
     accepted = gated.filter("committed")
-    made = A.decisions(accepted, G.Layout.of(accepted, keys))
+    made = A.decisions(accepted, G.Layout.of(keys))
     made = made.select(
         *key, "market_snapshot_id", "side", "c", "path_direction", "model_status", "emitter_position", "rule_path",
         "strength", "uncertainty", "skip_reason", "skip_detail", "accepted_sequence", "event_id",
@@ -119,10 +111,8 @@ def decision_outcomes(gated: DataFrame) -> DataFrame:
         *key,
         "market_snapshot_id",
         "arrival",
-        F.when(F.col("gate") == "PASS", commit_failure()).otherwise(F.col("gate")).alias("skip_reason"),
-        F.when((F.col("gate") == "PASS") & F.col("pricing_fails") & ~F.col("adaptive_fails"), "pricing prepare failed")
-        .otherwise(F.col("gate_detail"))
-        .alias("skip_detail"),
+        F.when(F.col("gate") == "PASS", "INVALID_INPUT").otherwise(F.col("gate")).alias("skip_reason"),
+        F.col("gate_detail").alias("skip_detail"),
         F.concat(F.col("symbol"), F.lit(":host:"), F.col("arrival")).alias("event_id"),
     )
     arrivals = accepted.select(*key, "arrival")
@@ -130,9 +120,9 @@ def decision_outcomes(gated: DataFrame) -> DataFrame:
 
 
 def joint_commit(gated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Decisions and prices over the jointly committed rows; volume on every passed row."""
+    """Decisions and prices over the committed rows; volume on every passed row, which only grow in time."""
     keys = ["symbol", "epoch"] if "epoch" in gated.columns else ["symbol"]
     accepted = gated.filter("committed")
     passed = gated.filter(F.col("gate") == "PASS")
-    layout = G.Layout.of(gated, keys)
+    layout = G.Layout.of(keys)
     return A.decisions(accepted, layout), P.price_events(accepted, layout), V.volume_events(passed, layout)

@@ -93,10 +93,15 @@ def feed_component(feed_state: Column) -> Column:
 
 def health_report(components: DataFrame, feed_state: DataFrame) -> DataFrame:
     """Overall state: the feed's, lowered by the model; pricing can only degrade a healthy report."""
-    base = feed_state.agg(feed_component(F.max_by("feed_state", "beat")).alias("feed"))
-    m = components.filter("name = 'model'").agg(F.first("state").alias("model"))
-    p = components.filter("name = 'pricing'").agg(F.first("state").alias("pricing"), F.first("detail").alias("detail"))
-    one = base.join(m, F.lit(True)).join(p, F.lit(True))
+    # One aggregate over both inputs; each fills its own columns.
+    empty = F.lit(None).cast("string")
+    told = components.select("name", "state", "detail", F.lit(None).cast("timestamp").alias("beat"), empty.alias("feed_state"))
+    beats = feed_state.select(empty.alias("name"), empty.alias("state"), empty.alias("detail"), "beat", "feed_state")
+    of = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    one = told.unionByName(beats).agg(
+        feed_component(F.max_by("feed_state", "beat")).alias("feed"),
+        of("model", "state").alias("model"), of("pricing", "state").alias("pricing"), of("pricing", "detail").alias("detail"),
+    )
     after_model = (
         F.when(F.col("model") == "UNAVAILABLE", "UNAVAILABLE")
         .when((F.col("model") == "DEGRADED") & (F.col("feed") == "HEALTHY"), "DEGRADED")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import scalars as S
 from candlewick.operators import segments as G
-from candlewick.operators.folds import ordered_fold
 
 # Fixed values.
 WINDOW_LIMIT = 64
@@ -22,10 +21,14 @@ def finalized(bars: DataFrame) -> DataFrame:
 
 
 def latest_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """One newest row per key; partial aggregation keeps hot keys cheap."""
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    """One newest row per key; of rows equal in ``order`` any one.
+
+    A first aggregate carries only the order, so its buffers stay small; the rows that hold
+    the largest one come back by a join on the same keys.
+    """
+    slim = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_newest"))
+    newest = G.join_null_safe(df, slim, keys).filter(F.struct(*order).eqNullSafe(F.col("_newest"))).drop("_newest")
+    return newest.dropDuplicates(keys)
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
@@ -42,6 +45,8 @@ def bar_window(bars: DataFrame, limit: int = WINDOW_LIMIT) -> DataFrame:
     The rank filter becomes a per-task group limit before the shuffle, so no
     task receives more than ``limit`` rows of a symbol from any other.
     """
+    if not 0 < limit <= WINDOW_LIMIT:
+        raise ValueError(f"a window holds 1 to {WINDOW_LIMIT} bars")
     newest_first = Window.partitionBy("symbol").orderBy(F.col("interval_start").desc())
     return bars.withColumn("_age", F.row_number().over(newest_first)).filter(F.col("_age") <= limit).drop("_age")
 
@@ -63,68 +68,76 @@ def resolve_revisions(arrivals: DataFrame, arrival: str = "arrival") -> DataFram
 _GENERATION = ("open", "high", "low", "close", "volume", "is_final", "is_backfilled", "quality_status")
 
 
-def _live_complete(bar: dict) -> bool:
-    return bool(bar["is_final"]) and bar["quality_status"] == "COMPLETE" and not bar["is_backfilled"]
+def _slim(*order: Column) -> Column:
+    """What revision rules look at, sortable by order."""
+    return F.struct(
+        *[o.alias(f"o{i}") for i, o in enumerate(order)],
+        F.col("market_snapshot_id").alias("id"), S.model_eligible().alias("live"), F.struct(*_GENERATION).alias("gen"),
+    )
+
+
+def _supersedes(stored: Column, incoming: Column) -> Column:
+    old, new = stored["gen"], incoming["gen"]
+    same_id = F.coalesce((stored["id"] != "") & (stored["id"] == incoming["id"]), F.lit(False))
+    same = same_id | old.eqNullSafe(new)
+    downgrade = F.coalesce(old["is_final"] & ~new["is_final"], F.lit(False))
+    overtaken = F.coalesce(stored["live"] & new["is_backfilled"], F.lit(False))
+    return ~same & ~downgrade & ~overtaken
+
 
+def _replayed(revisions: Column) -> Column:
+    """Struct of the surviving revision and the number of accepted ones, oldest first."""
+    start = F.struct(F.get(revisions, F.lit(0)).alias("row"), F.lit(1).alias("taken"))
 
-def _supersedes(stored: dict, incoming: dict) -> bool:
-    same_id = bool(stored["market_snapshot_id"]) and stored["market_snapshot_id"] == incoming["market_snapshot_id"]
-    if same_id or all(stored[f] == incoming[f] for f in _GENERATION):
-        return False
-    downgrade = stored["is_final"] and not incoming["is_final"]
-    return not downgrade and not (_live_complete(stored) and incoming["is_backfilled"])
+    def step(acc: Column, row: Column) -> Column:
+        wins = _supersedes(acc["row"], row)
+        return F.struct(F.when(wins, row).otherwise(acc["row"]).alias("row"), (acc["taken"] + F.when(wins, 1).otherwise(0)).alias("taken"))
+
+    return F.aggregate(F.slice(revisions, 2, F.greatest(F.size(revisions) - 1, F.lit(0))), start, step)
 
 
 def resolve_revisions_exact(arrivals: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Arrival-by-arrival replay, including the drop of a final bar whose values
-    equal the stored partial (the snapshot id does not cover finality)."""
-
-    def step(stored: dict | None, row: dict) -> tuple[dict, None]:
-        return (row if stored is None or _supersedes(stored, row) else stored), None
+    equal the stored partial (the snapshot id does not cover finality).
 
-    return ordered_fold(
-        arrivals, ["symbol", "interval_start"], [arrival], step, arrivals.schema, finish=lambda stored: stored
-    )
+    The revisions of one minute are folded as slim structs; the row that survives comes back by its arrival number.
+    """
+    keys = ["symbol", "interval_start"]
+    folded = arrivals.groupBy(*keys).agg(F.sort_array(F.collect_list(_slim(F.col(arrival)))).alias("_all"))
+    winner = folded.select(*keys, _replayed(F.col("_all"))["row"]["o0"].alias("_winner"))
+    return G.join_null_safe(arrivals, winner, keys).filter(F.col(arrival) == F.col("_winner")).drop("_winner")
 
 
-def gap_fill(store: DataFrame, history: DataFrame, start: Column | None = None, end: Column | None = None):
+def gap_fill(store: DataFrame, history: DataFrame, as_of: Column, start: Column | None = None, end: Column | None = None, order: str | None = None):
     """Merge historical bars into the store.
 
-    Returns ``(merged, counts)``.  Without ``start`` a symbol is filled from its
-    last stored bar.  Counts per symbol: fetched, injected, deduplicated.
+    Returns ``(merged, counts)``.  Without ``start`` a symbol is filled from its last stored bar, one without bars
+    from ``GAP_FILL_MINUTES`` before ``as_of``; without ``end`` until ``as_of``.  Historical rows are judged one after the other
+    (by ``order``, else by their values), each against what the store and the rows before it have left.
+    Counts per symbol: fetched, injected, deduplicated.
     """
+    keys = ["symbol", "interval_start"]
     last = store.groupBy("symbol").agg(F.max("interval_start").alias("_last"))
-    wanted = history.join(last, "symbol", "left")
-    low = start if start is not None else F.col("_last")
-    wanted = wanted.filter((low.isNull() | (F.col("interval_start") >= low)))
-    if end is not None:
-        wanted = wanted.filter(F.col("interval_start") <= end)
-    wanted = wanted.drop("_last")
-
-    have = store.select(
-        "symbol",
-        "interval_start",
-        F.struct(S.model_eligible().alias("live"), F.col("is_final").alias("final"), F.col("market_snapshot_id").alias("id"),
-                 F.struct(*_GENERATION).alias("gen")).alias("_old"),
-    )
-    judged = wanted.join(have, ["symbol", "interval_start"], "left").withColumn(
-        "_injected",
-        F.col("_old").isNull()
-        | ~(
-            F.coalesce(F.col("_old.id") == F.col("market_snapshot_id"), F.lit(False))
-            | F.col("_old.gen").eqNullSafe(F.struct(*_GENERATION))
-            | (F.col("_old.final") & ~F.col("is_final"))
-            | (F.col("_old.live") & F.col("is_backfilled"))
-        ),
-    )
-    counts = judged.groupBy("symbol").agg(
-        F.count("*").alias("fetched"),
-        F.count_if("_injected").alias("injected"),
-        F.count_if(~F.col("_injected")).alias("deduplicated"),
+    low = start if start is not None else F.coalesce("_last", as_of - F.expr(f"INTERVAL {GAP_FILL_MINUTES} MINUTES"))
+    high = end if end is not None else as_of
+    wanted = history.join(last, "symbol", "left").filter((F.col("interval_start") >= low) & (F.col("interval_start") <= high))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*([order] if order else []), F.struct(*_GENERATION), "market_snapshot_id"))
+    both = store.select(*store.columns, F.lit(0).alias("_nth")).unionByName(wanted.select(*store.columns, nth.alias("_nth")))
+    folded = both.groupBy(*keys).agg(F.sort_array(F.collect_list(_slim(F.col("_nth")))).alias("_all"))
+    stored = F.get("_all", F.lit(0))["o0"] == 0
+    done = _replayed(F.col("_all"))
+    folded = folded.select(
+        *keys, done["row"]["o0"].alias("_winner"),
+        (F.size("_all") - stored.cast("int")).alias("fetched"), (done["taken"] - stored.cast("int")).alias("injected"),
+    )
+    merged = both.join(folded.select(*keys, "_winner"), keys).filter("_nth = _winner").select(*store.columns)
+    counts = (
+        folded.groupBy("symbol")
+        .agg(F.sum("fetched").alias("fetched"), F.sum("injected").alias("injected"))
+        .filter("fetched > 0")
+        .withColumn("deduplicated", F.col("fetched") - F.col("injected"))
     )
-    injected = judged.filter("_injected").select(*store.columns)
-    kept = store.join(injected.select("symbol", "interval_start"), ["symbol", "interval_start"], "left_anti")
-    return kept.select(*store.columns).unionByName(injected), counts
+    return merged, counts
 
 
 # --- continuity --------------------------------------------------------------
@@ -152,7 +165,7 @@ def elapsed_seconds(prev: Column, curr: Column) -> Column:
 
 def classify_continuity(bars: DataFrame, step_seconds: int = 60, layout: G.Layout | None = None) -> DataFrame:
     """Class and elapsed seconds against the previous bar of the symbol."""
-    layout = layout or G.Layout.of(bars, ["symbol"])
+    layout = layout or G.Layout.of(["symbol"])
     laid = G.lay_out(bars, layout, 1)
     laid = laid.withColumn("_prev", F.lag("interval_start").over(layout.window)).filter(~F.col("halo"))
     return laid.withColumns(
@@ -169,7 +182,7 @@ def classify_arrivals(arrivals: DataFrame, arrival: str = "arrival", layout: G.L
     The last accepted start is the running maximum over earlier eligible,
     aligned arrivals: anything later than it is accepted, nothing else is.
     """
-    layout = (layout or G.Layout.of(arrivals, ["symbol"])).along(["symbol"], arrival)
+    layout = (layout or G.Layout.of(["symbol"])).along(["symbol"], arrival)
     eligible = S.model_eligible() & S.minute_aligned("interval_start")
     laid = G.lay_out(arrivals, layout, 0).filter(~F.col("halo"))
     laid = G.carry_max(laid, layout, "last_accepted", F.when(eligible, F.col("interval_start")), inclusive=False)
@@ -206,9 +219,8 @@ def has_eligible_between(bars: DataFrame, ranges: DataFrame, layout: G.Layout |
         "symbol", F.col("to").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("timestamp").alias("_hit"), "from"
     )
     both = marks.unionByName(asks).withColumn("_pos", F.unix_micros("_at") * 2 + F.col("_kind"))
-    layout = (layout or G.Layout.of(both, ["symbol"])).along(["symbol"], "_pos")
-    if not layout.whole:
-        layout = layout.split(layout.rows, layout.bucket_seconds * 2_000_000)
+    layout = (layout or G.Layout.of(["symbol"])).along(["symbol"], "_pos")
+    layout = layout.split(layout.rows, layout.bucket_seconds * 2_000_000)
     laid = G.lay_out(both, layout, 0)
     found = G.carry_last(laid, layout, {"_last": F.col("_hit")}, inclusive=False)
     return found.filter(F.col("_kind") == 0).select(

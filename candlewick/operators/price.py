@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def price_observations(bars: DataFrame, extra: list[str] | None = None) -> DataF
 
 def price_numbers(bars: DataFrame, layout: G.Layout | None = None) -> tuple[DataFrame, G.Layout]:
     """Kernel output per triggering bar, plus its status."""
-    layout = layout or G.Layout.of(bars, ["symbol"])
+    layout = layout or G.Layout.of(["symbol"])
     laid = G.lay_out(price_observations(bars, [k for k in layout.keys if k != "symbol"]), layout, K.HALO)
     df = run_segments(laid, layout.groups, "rn", K.price_kernel, K.FIELDS)
     prev = F.lag(F.struct("interval_start", "source_timestamp")).over(layout.window)
@@ -193,42 +194,66 @@ def _odd_in_run(flag: Column, last_break: Column) -> Column:
     return flag & (F.pmod(F.col("em") - last_break, F.lit(2)) == 1)
 
 
-def _run_start(value: str, previous: str) -> Column:
-    """Position at which the current run of equal non-NULL values began."""
-    return F.when(F.col(value).isNotNull() & ~F.col(value).eqNullSafe(F.col(previous)), F.col("em"))
+def _with_runs(df: DataFrame, layout: G.Layout, shown: str, run: str, flips: Callable[[Column, Callable[[str], Column]], Column], needs: list[str], out: tuple[str, str, str]) -> DataFrame:
+    """Over the emitted rows: is a row a flip against the one before, which was the last that is none, where did its run begin.
+
+    ``flips(before, now)`` judges the previous row's ``shown`` against columns of the current one (``needs``); a run
+    is a stretch of equal non-NULL ``run`` values.  Positions are numbers ``em`` of emitted rows.  A segment reports
+    its first and last emitted row and its last positions in one summary row; what its first emitted
+    row is can be told from the summary of the segments before.
+    """
+    w, own = layout.window, F.col("emitted")
+    flag, calm, begun = out
+    flips_ = lambda before, now: F.coalesce(flips(before, now), F.lit(False))
+    starts = lambda now, before: now.isNotNull() & ~now.eqNullSafe(before)
+    here = F.when(own, F.struct(F.col(shown).alias("shown"), F.col(run).alias("run")))
+    df = df.withColumns({"_in": F.count_if(own).over(G.so_far(w)), "_p": F.last(here, ignorenulls=True).over(G.before(w))})
+    later = own & F.col("_p").isNotNull()
+    at = F.when(own, F.col("rn"))
+    first = F.struct(*[F.col(c) for c in dict.fromkeys([*needs, run])])
+    ends = df.groupBy(*layout.groups).agg(
+        F.count_if(own).alias("n"),
+        F.min_by(first, at).alias("first"),
+        F.max_by(F.struct(F.col(shown).alias("shown"), F.col(run).alias("run")), at).alias("last"),
+        F.max(F.when(later & ~flips_(F.col("_p.shown"), F.col), F.col("_in"))).alias("calm"),
+        F.max(F.when(later & starts(F.col(run), F.col("_p.run")), F.col("_in"))).alias("begun"),
+    )
+    along, some = G.along_segments(layout), F.col("n") > 0
+    ends = ends.withColumns({"_off": F.coalesce(F.sum("n").over(along), F.lit(0)), "_prev": F.last(F.when(some, F.col("last")), ignorenulls=True).over(along)})
+    calm_first = some & ~flips_(F.col("_prev.shown"), lambda c: F.col(f"first.{c}"))
+    run_first = some & starts(F.col(f"first.{run}"), F.col("_prev.run"))
+    ends = ends.withColumns(
+        {
+            "_calm_end": F.coalesce(F.col("_off") + F.col("calm"), F.when(calm_first, F.col("_off") + 1)),
+            "_begun_end": F.coalesce(F.col("_off") + F.col("begun"), F.when(run_first, F.col("_off") + 1)),
+        }
+    )
+    carried = ends.select(
+        *layout.groups, "_off", "_prev",
+        F.last("_calm_end", ignorenulls=True).over(along).alias("_calm0"), F.last("_begun_end", ignorenulls=True).over(along).alias("_begun0"),
+    )
+    df = G.join_null_safe(df, carried, layout.groups)
+    df = df.withColumns({"em": F.col("_off") + F.col("_in"), "_p": F.coalesce("_p", "_prev")})
+    df = df.withColumns({flag: own & flips_(F.col("_p.shown"), F.col), "_starts": own & starts(F.col(run), F.col("_p.run"))})
+    return df.withColumns(
+        {
+            calm: F.coalesce(F.last(F.when(own & ~F.col(flag), F.col("em")), ignorenulls=True).over(G.so_far(w)), F.col("_calm0")),
+            begun: F.coalesce(F.last(F.when(F.col("_starts"), F.col("em")), ignorenulls=True).over(G.so_far(w)), F.col("_begun0")),
+        }
+    ).drop("_in", "_p", "_off", "_prev", "_calm0", "_begun0", "_starts")
 
 
-def with_colors(emissions: DataFrame, layout: G.Layout, policy: PricePolicy = POLICY) -> DataFrame:
-    """Debounced colour and cockpit state over the emitted rows of each symbol.
+def with_colors(rows: DataFrame, layout: G.Layout, policy: PricePolicy = POLICY) -> DataFrame:
+    """Debounced colour and cockpit state over the emitted rows of each symbol; other rows only pass.
 
     The remembered state of both interpreters reduces to positions of run starts:
     how long the same opposing direction, the same turn candidate, or an unbroken
     chain of direct GREEN/RED flips has lasted.
     """
-    if layout.whole:
-        # All rows stay in one sorted pass; only emitted ones are counted and seen.
-        em_layout, w, own = layout, layout.window, F.col("emitted")
-        df = emissions.withColumn("em", F.count_if(own).over(G.so_far(w)))
-
-        def previous(name: str) -> Column:
-            seen = F.when(own, F.struct(F.col(name).alias("v")))
-            return F.last(seen, ignorenulls=True).over(G.before(w))["v"]
-
-    else:
-        # Positions count emitted rows only; the bar's own position is kept aside.
-        em_layout = G.Layout(layout.keys, "interval_start", False, layout.rows, layout.bucket_seconds)
-        w = em_layout.window
-        df = G.lay_out(emissions.withColumnRenamed("rn", "bar_rn").drop("seg"), em_layout, 1).withColumn("em", F.col("rn"))
-
-        def previous(name: str) -> Column:
-            return F.lag(name).over(w)
-
-    df = df.withColumns({"_raw0": previous("raw_color"), "_opp0": previous("opposing")})
-    flip = F.lit(policy.debounce) & _opposite(F.col("_raw0"), F.col("raw_color"), "GREEN", "RED")
-    df = df.withColumn("_flip", flip)
-    df = G.carry_last(
-        df, em_layout, {"_calm": F.when(F.col("emitted") & ~F.col("_flip"), F.col("em")), "_opp_from": _run_start("opposing", "_opp0")}
-    )
+    df = _with_runs(
+        rows, layout, "raw_color", "opposing", lambda before, now: F.lit(policy.debounce) & _opposite(before, now("raw_color"), "GREEN", "RED"),
+        ["raw_color"], ("_flip", "_calm", "_opp_from"),
+    )
     held = _odd_in_run(F.col("_flip"), F.col("_calm"))
     df = df.withColumns(
         {
@@ -255,14 +280,10 @@ def with_colors(emissions: DataFrame, layout: G.Layout, policy: PricePolicy = PO
         .otherwise("GREEN")
     )
     df = df.withColumn("_base", base)
-    df = df.withColumns({"_base0": previous("_base"), "_cand0": previous("candidate")})
-    turned = F.col("candidate").isNull() & _opposite(F.col("_base0"), F.col("raw_direction"), "UP", "DOWN")
-    df = df.withColumn("_turn", turned)
-    df = G.carry_last(
-        df, em_layout, {"_steady": F.when(F.col("emitted") & ~F.col("_turn"), F.col("em")), "_cand_from": _run_start("candidate", "_cand0")}
-    )
-    if not layout.whole:
-        df = df.filter(~F.col("halo")).drop("rn", "halo").withColumnRenamed("bar_rn", "rn")
+    df = _with_runs(
+        df, layout, "_base", "candidate", lambda before, now: now("candidate").isNull() & _opposite(before, now("raw_direction"), "UP", "DOWN"),
+        ["candidate", "raw_direction"], ("_turn", "_steady", "_cand_from"),
+    )
     direct = _odd_in_run(F.col("_turn"), F.col("_steady"))
     near_zero = F.col("raw_direction") == "NEAR_ZERO"
     has = F.col("candidate").isNotNull()
@@ -324,14 +345,10 @@ COCKPIT = [
 ]
 
 
-def colored(bars: DataFrame, layout: G.Layout | None, policy: PricePolicy) -> tuple[DataFrame, DataFrame | None, list[str]]:
-    """Rows with colours, and the remaining rows where those were split off."""
+def colored(bars: DataFrame, layout: G.Layout | None, policy: PricePolicy) -> tuple[DataFrame, list[str]]:
+    """All rows, with colours on the emitted ones.  The numbers are written once: summaries and rows read them."""
     numbers, layout = price_numbers(bars, layout)
-    if layout.whole:
-        return with_colors(with_emission(numbers, policy), layout, policy), None, list(layout.keys)
-    numbers = stage(numbers)
-    loud = with_colors(with_emission(numbers.filter("emitted"), policy), layout, policy)
-    return loud, numbers.filter(~F.col("emitted")), list(layout.keys)
+    return with_colors(with_emission(stage(numbers), policy), layout, policy), list(layout.keys)
 
 
 def emissions(bars: DataFrame, layout: G.Layout | None = None, policy: PricePolicy = POLICY) -> DataFrame:
@@ -346,18 +363,16 @@ def price_events(bars: DataFrame, layout: G.Layout | None = None, policy: PriceP
     (previous) bar for emissions; the snapshot id and source stay those of the
     triggering bar, whose own start is ``trigger_interval_start``.
     """
-    loud, quiet, keys = colored(bars, layout, policy)
+    rows, keys = colored(bars, layout, policy)
     base = [
         *keys, "interval_start", "source_timestamp", "market_snapshot_id", "source", "status", "emitted", "projected",
         "domain_exit", "active_interval_start", "active_source_timestamp", "accepted_sequence", "exit_dimension",
         "first_exit_time", "local_distance", "rn",
     ]
     own = F.col("emitted")
-    both = loud.select(
+    both = rows.select(
         *base, F.when(own, F.struct(*EMISSION)).alias("emission"), F.when(own, F.struct(*COCKPIT)).alias("cockpit")
     )
-    if quiet is not None:
-        both = both.unionByName(quiet.select(*base), allowMissingColumns=True)
     return both.withColumns(
         {
             "trigger_interval_start": F.col("interval_start"),

@@ -12,25 +12,27 @@ Instead every symbol is cut into *segments* of consecutive rows:
 * unbounded running state (last accepted label, last break of a run) crosses
   segment borders through one summary row per segment.
 
-Where the planner's own size estimate proves that the whole input is small, no
-key can be large either and one plain window per key is used (``whole``).
+There is one layout for every size.  Keys and order values may be NULL: NULL keys
+are a key of their own, NULL order values come first.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 65_536
 BUCKET_SECONDS = 86_400
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Upper estimate of the optimizer for the size of a frame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys."""
+    other = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_j_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
@@ -39,28 +41,18 @@ class Layout:
 
     keys: tuple[str, ...]
     ts: str
-    whole: bool
     rows: int = SEGMENT_ROWS
     bucket_seconds: int = BUCKET_SECONDS
 
     @staticmethod
-    def of(
-        df: DataFrame,
-        keys: list[str],
-        ts: str = "interval_start",
-        rows: int = SEGMENT_ROWS,
-        bucket_seconds: int = BUCKET_SECONDS,
-        whole: bool | None = None,
-    ) -> Layout:
-        if whole is None:
-            whole = estimated_bytes(df) <= SMALL_INPUT_BYTES
-        return Layout(tuple(keys), ts, whole, rows, bucket_seconds)
+    def of(keys: list[str], ts: str = "interval_start", rows: int = SEGMENT_ROWS, bucket_seconds: int = BUCKET_SECONDS) -> Layout:
+        return Layout(tuple(keys), ts, rows, bucket_seconds)
 
     def split(self, rows: int, bucket_seconds: int) -> Layout:
-        return replace(self, whole=False, rows=rows, bucket_seconds=bucket_seconds)
+        return replace(self, rows=rows, bucket_seconds=bucket_seconds)
 
     def along(self, keys: list[str], ts: str) -> Layout:
-        """The same choice for another key or order of the same rows."""
+        """The same sizes for another key or order of the same rows."""
         return replace(self, keys=tuple(keys), ts=ts)
 
     @property
@@ -69,27 +61,37 @@ class Layout:
 
     @property
     def window(self) -> WindowSpec:
-        if self.whole:
-            return Window.partitionBy(*self.keys).orderBy(self.ts)
         return Window.partitionBy(*self.groups).orderBy("rn")
 
 
+def bucketed_by_time(df: DataFrame, layout: Layout) -> DataFrame:
+    """Add ``_bucket``, the stretch of the key in which a row is ranked."""
+    ts = layout.ts
+    if "_bucket" in df.columns:
+        return df
+    position = F.unix_seconds(F.col(ts)) if dict(df.dtypes)[ts] == "timestamp" else F.col(ts)
+    return df.withColumn("_bucket", F.floor(position / F.lit(layout.bucket_seconds)))
+
+
+def in_order(df: DataFrame, layout: Layout) -> WindowSpec:
+    """Rows of a bucket; of equal times the smaller snapshot id comes first."""
+    tie = [c for c in ("market_snapshot_id",) if c in df.columns and c != layout.ts]
+    return Window.partitionBy(*layout.keys, "_bucket").orderBy(layout.ts, *tie)
+
+
 def number_rows(df: DataFrame, layout: Layout) -> DataFrame:
     """Exact 1-based position ``rn`` of every row within its key."""
-    keys, ts = layout.keys, layout.ts
-    if layout.whole:
-        return df.withColumn("rn", F.row_number().over(layout.window).cast("long"))
-    position = F.unix_seconds(F.col(ts)) if dict(df.dtypes)[ts] == "timestamp" else F.col(ts)
-    bucketed = df.withColumn("_bucket", F.floor(position / F.lit(layout.bucket_seconds)))
+    keys = layout.keys
+    bucketed = bucketed_by_time(df, layout)
     along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*keys, "_bucket")
         .agg(F.count("*").alias("_n"))
         .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts)
+    inside = in_order(bucketed, layout)
     return (
-        bucketed.join(offsets, [*keys, "_bucket"])
+        join_null_safe(bucketed, offsets, [*keys, "_bucket"])
         .withColumn("rn", (F.col("_before") + F.row_number().over(inside)).cast("long"))
         .drop("_bucket", "_before")
     )
@@ -103,9 +105,6 @@ def task_count(df: DataFrame) -> int:
 
 def lay_out(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
     """Add ``rn``, ``seg`` and ``halo``; rows arrive partitioned by key and segment."""
-    if layout.whole:
-        numbered = number_rows(df.repartition(task_count(df), *layout.keys), layout)
-        return numbered.withColumns({"seg": F.lit(0).cast("long"), "halo": F.lit(False)})
     numbered = number_rows(df, layout)
     rows = layout.rows
     if rows < halo:
@@ -150,8 +149,6 @@ def carry_last(df: DataFrame, layout: Layout, values: dict[str, Column], inclusi
     tagged = df.withColumns({f"_v_{name}": F.when(own, expr) for name, expr in values.items()})
     inside = {name: F.last(f"_v_{name}", ignorenulls=True).over(frame) for name in values}
     spent = [f"_v_{name}" for name in values]
-    if layout.whole:
-        return tagged.withColumns(inside).drop(*spent)
     ends = tagged.filter(own).groupBy(*layout.groups).agg(
         *[
             F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col("rn"))).alias(f"_e_{name}")
@@ -163,7 +160,7 @@ def carry_last(df: DataFrame, layout: Layout, values: dict[str, Column], inclusi
         *layout.groups, *[F.last(f"_e_{name}", ignorenulls=True).over(along).alias(f"_c_{name}") for name in values]
     )
     return (
-        tagged.join(carried, layout.groups, "left")
+        join_null_safe(tagged, carried, layout.groups, "left")
         .withColumns({name: F.coalesce(expr, F.col(f"_c_{name}")) for name, expr in inside.items()})
         .drop(*spent, *[f"_c_{name}" for name in values])
     )
@@ -174,12 +171,10 @@ def carry_max(df: DataFrame, layout: Layout, out: str, value: Column, inclusive:
     frame = so_far(layout.window) if inclusive else before(layout.window)
     tagged = df.withColumn("_v", value)
     inside = F.max("_v").over(frame)
-    if layout.whole:
-        return tagged.withColumn(out, inside).drop("_v")
     ends = tagged.groupBy(*layout.groups).agg(F.max("_v").alias("_e"))
     carried = ends.select(*layout.groups, F.max("_e").over(along_segments(layout)).alias("_c"))
     return (
-        tagged.join(carried, layout.groups, "left")
+        join_null_safe(tagged, carried, layout.groups, "left")
         .withColumn(out, F.greatest(inside, F.col("_c")))
         .drop("_v", "_c")
     )
@@ -192,8 +187,6 @@ def carry_previous_two(df: DataFrame, layout: Layout, value: Column, out1: str,
     df = df.withColumn("_in1", F.last("_v", ignorenulls=True).over(w))
     seen = F.when(F.col("_v").isNotNull(), F.struct(F.col("_in1").alias("v")))
     inner = df.withColumn("_in2", F.last(seen, ignorenulls=True).over(w))
-    if layout.whole:
-        return inner.withColumns({out1: F.col("_in1"), out2: F.col("_in2.v")}).drop("_v", "_in1", "_in2")
     at_value = F.when(F.col("_v").isNotNull(), F.col("rn"))
     ends = df.groupBy(*layout.groups).agg(
         F.max_by("_v", at_value).alias("_e1"), F.max_by("_in1", at_value).alias("_e2")
@@ -203,7 +196,7 @@ def carry_previous_two(df: DataFrame, layout: Layout, value: Column, out1: str,
     older = F.when(F.col("_e1").isNotNull(), F.struct(F.coalesce("_e2", "_c1").alias("v")))
     carried = ends.withColumn("_c2", F.last(older, ignorenulls=True).over(along)).select(*layout.groups, "_c1", "_c2")
     return (
-        inner.join(carried, layout.groups, "left")
+        join_null_safe(inner, carried, layout.groups, "left")
         .withColumns(
             {
                 out1: F.coalesce("_in1", "_c1"),

@@ -112,7 +112,7 @@ def transitions(events: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     epochs = "epoch" in events.columns
     keys = ["stage_id", "entity_id", *(["epoch"] if epochs else [])]
     present = events.filter(F.col("state.kind").isNotNull() | F.col("state.code").isNotNull())
-    layout = (layout or G.Layout.of(events, keys)).along(keys, "position")
+    layout = (layout or G.Layout.of(keys)).along(keys, "position")
     laid = G.lay_out(present, layout, 1)
     laid = laid.withColumn("previous", F.lag("state").over(layout.window)).filter(~F.col("halo")).drop("halo", "seg", "rn")
     changed = laid.filter(F.col("previous").isNull() | ~_compared("state").eqNullSafe(_compared("previous")))

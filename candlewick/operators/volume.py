@@ -134,7 +134,7 @@ def volume_features(bars: DataFrame, layout: G.Layout | None = None) -> DataFram
 
     Extra layout keys (for example a session) restart the history.
     """
-    layout = layout or G.Layout.of(bars, ["symbol"])
+    layout = layout or G.Layout.of(["symbol"])
     extra = [k for k in layout.keys if k != "symbol"]
     obs = volume_observations(bars, extra)
     feats = with_activity(G.lay_out(obs, layout, HALO), layout).filter(~F.col("halo")).drop("halo")
@@ -171,7 +171,7 @@ def volume_features(bars: DataFrame, layout: G.Layout | None = None) -> DataFram
 
 def volume_events(bars: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     """One volume outcome per bar: features, confirmed colour, envelope fields."""
-    layout = layout or G.Layout.of(bars, ["symbol"])
+    layout = layout or G.Layout.of(["symbol"])
     df = confirm_color(volume_features(bars, layout), layout)
     valid = F.col("raw_color").isNotNull()
     return df.withColumns(

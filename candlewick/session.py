@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,14 +19,17 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and staged tables.
+    """Folder for checkpoints and staged tables that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where nothing is
-    configured (single-machine tests) a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``.  Where nothing is named, a temporary folder serves
+    a session whose executors are threads of this machine; elsewhere that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -35,14 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Materialise a frame that is read more than once.
 
-    Reliable checkpoint: survives executor loss and cuts the lineage, so the
-    Arrow kernels upstream run exactly once.
+    Written to the shared folder, which survives lost executors and cuts the lineage.  The files go when the
+    session ends.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: str | int = "*", app: str = "candlewick", **conf: str) -> SparkSession:

@@ -91,14 +91,23 @@ def _readable(df: DataFrame) -> DataFrame:
     return df.filter((F.col("symbol") != "") & F.col("interval_start").isNotNull() & F.col("volume").isNotNull() & ok)
 
 
-HISTORY_SCHEMA = "bars map<string, array<struct<t string, o double, h double, l double, c double, v long, n long>>>, next_page_token string"
+HISTORY_SCHEMA = "bars map<string, array<string>>, next_page_token string"
+HISTORY_BAR = "t string, o double, h double, l double, c double, v long, n long"
 
 
 def decode_history_json(responses: DataFrame, source: str, text: str = "value", receipt: Column | None = None) -> DataFrame:
-    """RECONSTRUCTED, backfilled bars out of history responses (one page per row)."""
-    pages = responses.select(F.from_json(text, HISTORY_SCHEMA).alias("_p"))
+    """RECONSTRUCTED, backfilled bars out of history responses (one page per row).
+
+    A page that is no JSON object stops the job, as does one whose bars are not lists by symbol; a single
+    unreadable bar is left out.
+    """
+    page = F.from_json(text, HISTORY_SCHEMA)
+    told = F.get_json_object(text, "$.bars")
+    broken = F.get_json_object(text, "$").isNull() | (told.isNotNull() & page["bars"].isNull())
+    checked = F.when(F.col(text).isNotNull() & broken, F.raise_error(F.lit("unreadable history page"))).otherwise(page)
+    pages = responses.select(checked.alias("_p"))
     by_symbol = pages.select(F.explode("_p.bars").alias("symbol", "_bars"))
-    b = by_symbol.select("symbol", F.explode("_bars").alias("b"))
+    b = by_symbol.select("symbol", F.explode("_bars").alias("_b")).select("symbol", F.from_json("_b", HISTORY_BAR).alias("b"))
     decoded = b.select(
         "symbol",
         S.parse_time(F.col("b.t")).alias("interval_start"),

@@ -45,25 +45,32 @@ def stream_bars(ticks: DataFrame, symbol: str, price: str, qty, order: list[str]
     )
 
 
-def stream_revisions(arrivals: DataFrame, lateness: str = "2 days") -> DataFrame:
+def _bounded(df: DataFrame, lateness: str | None) -> DataFrame:
+    return df.withWatermark("interval_start", lateness) if lateness else df
+
+
+def stream_revisions(arrivals: DataFrame, lateness: str | None = None) -> DataFrame:
     """Best revision per bar, updated as better ones arrive (update mode).
 
     The state is keyed by (symbol, interval_start), so a busy symbol is spread over
-    all tasks; the watermark forgets bars that can no longer be revised.
+    all tasks.  Every bar stays open to revision; with ``lateness`` a watermark forgets bars that
+    old, and drops what lands later.
     """
     rest = [c for c in arrivals.columns if c not in ("symbol", "interval_start")]
     best = F.max_by(F.struct(*rest), F.struct(revision_rank(), F.col("arrival")))
     return (
-        arrivals.withWatermark("interval_start", lateness)
+        _bounded(arrivals, lateness)
         .groupBy("symbol", "interval_start")
         .agg(best.alias("b"))
         .select("symbol", "interval_start", "b.*")
     )
 
 
-def stream_first_arrivals(arrivals: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Drop repeats of a bar where no revision rules are wanted."""
-    return arrivals.withWatermark("interval_start", lateness).dropDuplicatesWithinWatermark(["symbol", "interval_start"])
+def stream_first_arrivals(arrivals: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Drop repeats of a bar where no revision rules are wanted; ``lateness`` bounds what is remembered."""
+    if lateness:
+        return _bounded(arrivals, lateness).dropDuplicatesWithinWatermark(["symbol", "interval_start"])
+    return arrivals.dropDuplicates(["symbol", "interval_start"])
 
 
 def _fold(df: DataFrame, keys: list[str], engine: E.KeyedFold) -> DataFrame:
@@ -78,7 +85,7 @@ def stream_volume(bars: DataFrame) -> DataFrame:
 
 def stream_decisions(bars: DataFrame) -> DataFrame:
     """Model state, stateless return shape and score in SQL, then context and decision."""
-    obs = A.admit(A.adaptive_observations(bars)).select("symbol", "interval_start", "event_time", "price", "v_raw", "source_quality")
+    obs = A.adaptive_observations(bars).filter(A.takeable()).select("symbol", "interval_start", "event_time", "price", "v_raw", "source_quality")
     stepped = _fold(obs, ["symbol"], E.AdaptiveState()).filter(F.col("skip_reason").isNull())
     scored = A.with_capturability(A.with_return_shape(stepped))
     cols = ["symbol", "interval_start", "rn", "c", "h", "path_direction", "perturbation_magnitude", "half_gain", "half_lo", "half_hi",

@@ -70,15 +70,14 @@ def test_volume_zero_median_poisons_the_mean(spark):
         ("AGRG", "AAAA", ["STABLE", "PENDING_GREEN", "PENDING_RED", "PENDING_GREEN"]),
     ],
 )
-@pytest.mark.parametrize("whole", [True, False])
-def test_confirmation_sequences(spark, raw, shown, texts, whole):
+def test_confirmation_sequences(spark, raw, shown, texts):
     name = {"G": "GREEN", "A": "AMBER", "R": "RED", ".": None}
     spread = ".".join(raw)  # an undefined row between any two
     df = spark.createDataFrame(
         [("AAA", T0 + timedelta(minutes=i), i + 1, i // 2, name[c]) for i, c in enumerate(spread)],
         "symbol string, interval_start timestamp, rn long, seg long, raw_color string",
     )
-    out = V.confirm_color(df, Layout(("symbol",), "interval_start", whole)).orderBy("rn").collect()
+    out = V.confirm_color(df, Layout.of(["symbol"])).orderBy("rn").collect()
     out = [r for r in out if r.raw_color]
     assert [r.indicator for r in out] == [name[c] for c in shown]
     assert [r.transition for r in out] == texts
@@ -92,20 +91,20 @@ def test_volume_is_independent_of_segments(spark, rows, bucket):
     b = bars(spark, walk(400) + walk(30, 3, "BBB"))
     cols = ["symbol", "rn", "v_n", "v1", "v2", "interval_mean", "indicator", "transition", "reason"]
     one = rows_of(V.volume_events(b), *cols)
-    assert one == rows_of(V.volume_events(b, Layout.of(b, ["symbol"], rows=rows, bucket_seconds=bucket, whole=False)), *cols)
+    assert one == rows_of(V.volume_events(b, Layout.of(["symbol"], rows=rows, bucket_seconds=bucket)), *cols)
 
 
 def test_price_is_independent_of_segments(spark):
     b = bars(spark, walk(300) + walk(60, 3, "BBB"))
     cols = ["symbol", "rn", "status", "emission.color", "cockpit.cockpit_color", "cockpit.candidate_age", "cockpit.persistence_count"]
-    assert rows_of(P.price_events(b), *cols) == rows_of(P.price_events(b, Layout.of(b, ["symbol"], rows=60, whole=False)), *cols)
+    assert rows_of(P.price_events(b), *cols) == rows_of(P.price_events(b, Layout.of(["symbol"], rows=60)), *cols)
 
 
 def test_decisions_are_independent_of_segments(spark):
     b = bars(spark, walk(2600))
     cols = ["rn", "side", "emitter_position", "model_health", F.round("c", 10), F.round("forward_half_life", 7), F.round("ref_alpha", 10)]
     one = rows_of(A.decisions(b).fillna("-", ["side", "emitter_position"]), *cols)
-    split = A.decisions(b, Layout.of(b, ["symbol"], rows=1100, whole=False)).fillna("-", ["side", "emitter_position"])
+    split = A.decisions(b, Layout.of(["symbol"], rows=1100)).fillna("-", ["side", "emitter_position"])
     assert one == rows_of(split, *cols)
 
 
