@@ -78,7 +78,7 @@ def decisions(spark, d):
 
 def prices(spark, d):
     got = collected(spark, L.stream_prices(replay(spark, event_bars(spark, d))))
-    return plain(got.select(*KEY, "raw_color", "color", "cockpit_color", "refined_state", "turn_candidate", "candidate_age", "persistence_count"))
+    return plain(got.select(*KEY, "status", "skip_reason", "raw_color", "color", "cockpit_color", "refined_state", "turn_candidate", "candidate_age", "persistence_count"))
 
 
 def late_rows(spark, d):
@@ -163,8 +163,11 @@ ORACLE = {
     "stream_dedup_revisions": f"WITH {resolved_cte()} SELECT symbol, interval_start, arrival, close, volume, quality_status FROM store",
     "stream_dedup_first": f"WITH {bars_cte()} SELECT symbol, interval_start, close, volume FROM bars",
     "stream_models_decisions": f"""WITH RECURSIVE {bars_cte()}, {adaptive_cte()} SELECT symbol, interval_start, rn, round(c, 9) AS c, side, emitter_position, round(half, 7) AS forward_half_life, round(alpha, 9) AS ref_alpha, model_health FROM dec""",
-    "stream_models_prices": f"""WITH RECURSIVE {bars_cte()}, {price_cte()}, {policy_cte()} SELECT x.symbol, b.interval_start, raw_color, color, cockpit_color, refined_state, CASE WHEN candidate = '' THEN 'NONE' ELSE candidate END AS turn_candidate,
-  CAST(candidate_age AS BIGINT) AS candidate_age, CAST(persistence_count AS BIGINT) AS persistence_count FROM em x JOIN pb b ON b.symbol = x.symbol AND b.rn = x.rn + 1""",
+    "stream_models_prices": f"""WITH RECURSIVE {bars_cte()}, {price_cte()}, {policy_cte()}, st AS (
+    SELECT b.*, CASE WHEN x.rn IS NOT NULL THEN 'EMITTED' WHEN b.rn <= 15 THEN 'WARMUP_DERIVATIVE' WHEN b.rn <= 45 THEN 'WARMUP_F4' ELSE 'F4_FIT_UNAVAILABLE' END AS status
+    FROM pb b LEFT JOIN em x ON b.symbol = x.symbol AND b.rn = x.rn + 1)
+  SELECT b.symbol, b.interval_start, b.status, CASE WHEN b.status <> 'EMITTED' THEN b.status END AS skip_reason, raw_color, color, cockpit_color, refined_state, CASE WHEN candidate = '' THEN 'NONE' ELSE candidate END AS turn_candidate,
+  CAST(candidate_age AS BIGINT) AS candidate_age, CAST(persistence_count AS BIGINT) AS persistence_count FROM st b LEFT JOIN em x ON b.symbol = x.symbol AND b.rn = x.rn + 1""",
     "late_or_duplicate": f"""WITH RECURSIVE {bars_cte('b0')}, bars AS (SELECT * FROM b0 WHERE day(interval_start) >= {CUTS[0]}), {volume_cte()}, {confirm_cte()}
   SELECT v.symbol, v.interval_start, NULL::VARCHAR AS skip_reason, round(v_n, 9) AS v_n, c.color AS indicator FROM vol v LEFT JOIN conf c ON c.symbol = v.symbol AND c.rn = v.rn
   UNION ALL SELECT symbol, interval_start, 'DUPLICATE_OR_REGRESSION', NULL, NULL FROM b0 WHERE day(interval_start) < {CUTS[0]}""",

@@ -55,15 +55,10 @@ def price_numbers(bars: DataFrame, layout: G.Layout | None = None) -> tuple[Data
     df = run_segments(laid, layout.groups, "rn", K.price_kernel, K.FIELDS)
     prev = F.lag(F.struct("interval_start", "source_timestamp")).over(layout.window)
     df = df.withColumn("_active", prev).filter(~F.col("halo"))
-    ready = F.col("p1").isNotNull() & F.col("p2").isNotNull()
     return (
         df.withColumns(
             {
-                "status": F.when(~ready, "WARMUP_DERIVATIVE")
-                .when(~F.col("fit_ready"), "WARMUP_F4")
-                .when(~F.col("fitted"), "F4_FIT_UNAVAILABLE")
-                .when(F.col("projected"), "EMITTED")
-                .otherwise("RK45_FAILURE"),
+                "status": price_status(),
                 "active_interval_start": F.col("_active.interval_start"),
                 "active_source_timestamp": F.col("_active.source_timestamp"),
                 "accepted_sequence": F.greatest(F.col("rn") - 1, F.lit(1)),
@@ -75,6 +70,21 @@ def price_numbers(bars: DataFrame, layout: G.Layout | None = None) -> tuple[Data
     )
 
 
+def price_status() -> Column:
+    ready = F.col("p1").isNotNull() & F.col("p2").isNotNull()
+    return (
+        F.when(~ready, "WARMUP_DERIVATIVE")
+        .when(~F.col("fit_ready"), "WARMUP_F4")
+        .when(~F.col("fitted"), "F4_FIT_UNAVAILABLE")
+        .when(F.col("projected"), "EMITTED")
+        .otherwise("RK45_FAILURE")
+    )
+
+
+def skip_reason(status: Column) -> Column:
+    return F.when(status == "EMITTED", None).when(status == "RK45_FAILURE", "PROJECTION_FAILURE").otherwise(status)
+
+
 def usable(df: DataFrame) -> Column:
     ok = F.col("projected")
     for name in _SIX:
@@ -378,9 +388,7 @@ def price_events(bars: DataFrame, layout: G.Layout | None = None, policy: PriceP
             "trigger_interval_start": F.col("interval_start"),
             "interval_start": F.when(own, F.col("active_interval_start")).otherwise(F.col("interval_start")),
             "source_timestamp": F.when(own, F.col("active_source_timestamp")).otherwise(F.col("source_timestamp")),
-            "skip_reason": F.when(F.col("status") == "EMITTED", None)
-            .when(F.col("status") == "RK45_FAILURE", "PROJECTION_FAILURE")
-            .otherwise(F.col("status")),
+            "skip_reason": skip_reason(F.col("status")),
             "event_id": F.concat(F.col("symbol"), F.lit(":price:"), F.col("rn")),
         }
     )

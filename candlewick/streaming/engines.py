@@ -121,7 +121,7 @@ class Decide(KeyedFold):
     order = ("rn",)
     schema = layout(
         "symbol string, interval_start timestamp, rn long, c double, path_direction string, side string, emitter_position string, "
-        "prior_median_c double, up_count long, down_count long, forward_half_life double, ref_alpha double, model_health string"
+        "prior_median_c double, up_count long, down_count long, forward_half_life double, ref_alpha double, model_health string, skip_reason string"
     )
     columns = schema.fieldNames()
 
@@ -131,6 +131,9 @@ class Decide(KeyedFold):
     def advance(self, s: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
         out = []
         for row in rows.to_dict("records"):
+            if isinstance(row["skip_reason"], str):  # refused by the model: passed on as it is
+                out.append({name: row[name] for name in ("symbol", "interval_start", "skip_reason")})
+                continue
             # The composed steps count from the start of the upstream block.
             if row["block_start"]:
                 s["half0"], s["rate0"] = s["half"], s["rate"]
@@ -158,9 +161,10 @@ class Decide(KeyedFold):
                 {
                     **row, "side": side, "emitter_position": s["position"] if side else None, "prior_median_c": median, "up_count": up,
                     "down_count": down, "forward_half_life": s["half"], "ref_alpha": s["rate"], "model_health": health,
+                    "skip_reason": None if side else "INITIALIZING",
                 }
             )
-        return s, pd.DataFrame(out)
+        return s, pd.DataFrame(out).reindex(columns=self.columns)
 
 
 class PriceNumbers(KeyedFold):
@@ -202,7 +206,7 @@ class PriceColors(KeyedFold):
     order = ("rn",)
     schema = layout(
         "symbol string, interval_start timestamp, rn long, raw_color string, color string, cockpit_color string, refined_state string, "
-        "turn_candidate string, candidate_age long, persistence_count long"
+        "turn_candidate string, candidate_age long, persistence_count long, status string, skip_reason string"
     )
     columns = schema.fieldNames()
 
@@ -214,6 +218,9 @@ class PriceColors(KeyedFold):
         shade = {"UP": "GREEN", "DOWN": "RED"}
         out = []
         for row in rows.to_dict("records"):
+            if row["status"] not in ("EMITTED", "RK45_FAILURE"):  # a typed skip
+                out.append({name: row[name] for name in ("symbol", "interval_start", "rn", "status", "skip_reason")})
+                continue
             raw, direction = row["raw_color"], row["raw_direction"]
             color = "AMBER" if (s["color"], raw) in reverse else raw
             opposing, candidate = row["opposing"] or None, row["crossing"] or row["slowing"] or None
@@ -237,7 +244,7 @@ class PriceColors(KeyedFold):
                     "candidate_age": candidate_n, "persistence_count": opposing_n,
                 }
             )
-        return s, pd.DataFrame(out)
+        return s, pd.DataFrame(out).reindex(columns=self.columns)
 
 
 class VolumeActivity(KeyedFold):

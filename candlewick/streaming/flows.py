@@ -84,23 +84,25 @@ def stream_volume(bars: DataFrame) -> DataFrame:
 
 
 def stream_decisions(bars: DataFrame) -> DataFrame:
-    """Model state, stateless return shape and score in SQL, then context and decision."""
+    """Model state, stateless return shape and score in SQL, then context and decision; one row per bar, skips included."""
     obs = A.adaptive_observations(bars).filter(A.takeable()).select("symbol", "interval_start", "event_time", "price", "v_raw", "source_quality")
-    stepped = _fold(obs, ["symbol"], E.AdaptiveState()).filter(F.col("skip_reason").isNull())
+    stepped = _fold(obs, ["symbol"], E.AdaptiveState())
     scored = A.with_capturability(A.with_return_shape(stepped))
     cols = ["symbol", "interval_start", "rn", "c", "h", "path_direction", "perturbation_magnitude", "half_gain", "half_lo", "half_hi",
-            "rate_shift", "rate_lo", "rate_hi", "rate_min", "rate_max", "clipped", "data_gap", "block_start"]
+            "rate_shift", "rate_lo", "rate_hi", "rate_min", "rate_max", "clipped", "data_gap", "block_start", "skip_reason"]
     return _fold(scored.select(*cols), ["symbol"], E.Decide())
 
 
 def stream_prices(bars: DataFrame) -> DataFrame:
-    """Numbers from the kernel, labels in SQL, then the two colour interpreters."""
+    """Numbers from the kernel, labels in SQL, then the two colour interpreters; one row per bar, skips included."""
     obs = P.price_observations(bars).select("symbol", "interval_start", "minutes", "close")
-    numbers = _fold(obs, ["symbol"], E.PriceNumbers()).filter(F.col("skip_reason").isNull() & F.col("fitted"))
-    labelled = P.with_emission(numbers)
+    numbers = _fold(obs, ["symbol"], E.PriceNumbers())
+    status = F.when(F.col("skip_reason").isNull(), P.price_status())
+    labelled = P.with_emission(numbers.withColumn("status", status))
+    skip = F.coalesce("skip_reason", P.skip_reason(F.col("status")))
     near = (F.col("p1_zero_proximity") <= P.POLICY.zero_proximity) & (F.col("deceleration_strength") >= P.POLICY.deceleration)
-    cols = ["symbol", "interval_start", "rn", "raw_color", "raw_direction", "motion", "opposing", "crossing", "usable"]
-    return _fold(labelled.select(*cols, F.when(near, F.col("opposing")).alias("slowing")), ["symbol"], E.PriceColors())
+    cols = ["symbol", "interval_start", "rn", "raw_color", "raw_direction", "motion", "opposing", "crossing", "usable", "status"]
+    return _fold(labelled.select(*cols, skip.alias("skip_reason"), F.when(near, F.col("opposing")).alias("slowing")), ["symbol"], E.PriceColors())
 
 
 def stream_transitions(events: DataFrame) -> DataFrame:
