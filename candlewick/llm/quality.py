@@ -107,7 +107,7 @@ class Linear:
     def __post_init__(self):
         self.weights = np.zeros(self.size)
 
-    def fit(self, rows: Rows, y: np.ndarray, steps: int = 80, rate: float = 0.15, decay: float = 1e-4) -> None:
+    def fit(self, rows: Rows, y: np.ndarray, steps: int = 80, rate: float = 0.15, decay: float = 1e-3) -> None:
         if not len(y):
             return
         owner = np.repeat(np.arange(len(rows)), np.diff(rows.start))
@@ -155,11 +155,12 @@ class CoTrained:
 
 
 def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta: Rows, rounds: int = ROUNDS, added: float = ADDED) -> CoTrained:
-    """Views exchange the labels they are surest of; every fourth labelled row only calibrates."""
+    """Views exchange the labels they are surest of, as far as rows held back bear them out; every fourth labelled row is held back and calibrates."""
     hold = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
     pick = lambda rows, mask: Rows.of([(rows.at[a:b], rows.value[a:b]) for a, b, m in zip(rows.start[:-1], rows.start[1:], mask) if m])
     views = {"text": View(Linear(TextFeatures.size)), "meta": View(Linear(1 << META_BITS))}
     known = {"text": pick(text, ~hold), "meta": pick(meta, ~hold)}
+    held_back = {"text": pick(text, hold), "meta": pick(meta, hold)}
     pools = {"text": pool_text, "meta": pool_meta}
     taught: dict[str, dict[int, float]] = {"text": {}, "meta": {}}  # pool row -> label given by the other view
     prior = float(y.mean()) if len(y) else 0.5
@@ -175,10 +176,14 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, pool_text: Rows, pool_meta:
         for name, other in (("text", "meta"), ("meta", "text")):
             margin = views[name].linear.margin(pools[name])
             order = np.argsort(margin, kind="stable")
-            # per class in proportion to the labels, and only where the view leans that way clearly
-            for label, ends, share in ((0.0, order, 1 - prior), (1.0, order[::-1], prior)):
+            seen = views[name].linear.margin(held_back[name])
+            # per class in proportion to the labels, and only if labels given so surely are right on the rows held back
+            for label, ends, share, sign, needed in ((0.0, order, 1 - prior, -1, 1 - prior / 4), (1.0, order[::-1], prior, 1, 0.9)):
                 sure = ends[: int(added * share * len(ends))]
-                taught[other].update((int(i), label) for i in sure if (_sigmoid(margin[i]) > 0.9) == bool(label) and abs(_sigmoid(margin[i]) - 0.5) > 0.4)
+                if len(sure):
+                    alike = y[hold][sign * seen >= sign * margin[sure[-1]]]
+                    if len(alike) >= 5 and (alike == label).mean() >= needed:
+                        taught[other].update((int(i), label) for i in sure)
     at = hold if hold.any() else np.ones(len(y), bool)
     if at.any() and 0 < y[at].mean() < 1:
         for name, rows in (("text", text), ("meta", meta)):
@@ -229,20 +234,18 @@ def fit(docs: DataFrame, labels: DataFrame, pages: DataFrame, labelled: int = LA
 
 
 def score(docs: DataFrame, pages: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
-    """(doc_id, quality_score, toxic_score), a row per row of ``docs``; models are broadcast, of fixed size.
+    """(doc_id, quality_score, toxic_score), a row per row of ``docs``; models, of fixed size, travel with the task's code.
 
     NULL text has no words, NULL metadata is a value of its own.  Documents without page have no URL.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
     def by_text(stream):
-        words, models = TextFeatures(), sent.value
+        words = TextFeatures()
         for doc_id, text, source, lang, n_chars in stream:
             rows = Rows.of([words(text)])
             yield doc_id, source, lang, n_chars, *(float(models[t].text.logit(rows)[0]) for t in TARGETS)
 
     def by_both(stream):
-        models, known = sent.value, {}
+        known = {}
         for doc_id, source, lang, n_chars, url, *logits in stream:
             key = (source, lang, int(n_chars or 0).bit_length(), url)
             if key not in known:
