@@ -55,7 +55,7 @@ def test_line_dedup_awkward(spark):
     rows = [r[:2] for r in AWKWARD]
     got = line_dedup.shared_line_drop(documents(spark, AWKWARD), shard_keys=1).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain_lines(rows)))
-    assert sum(r.n_dropped for r in got) == 9
+    assert sum(r.n_dropped for r in got) == 7
     assert line_dedup.shared_line_drop(documents(spark, [])).collect() == []
     alone = [(None, LINE)] * 6
     assert [r.n_dropped for r in line_dedup.shared_line_drop(documents(spark, alone)).collect()] == [0] * 6
