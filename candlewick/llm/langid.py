@@ -10,10 +10,10 @@ language with most letters is the prediction.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +28,8 @@ SWITCH = 12.0
 DAMPING = 0.35  # overlapping n-grams are not independent
 SCRIPT_SHARE = 0.01
 LONG_PIECE, CHUNK = 48, 24
-CACHE = 150_000
+CACHE = 300_000
+DOCS_AT_ONCE = 128
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 # First code point of the common scripts' ranges.
@@ -48,7 +49,7 @@ def script_of(letter: str) -> int:
 def pieces_of(text: str) -> list[str]:
     """Blank-separated pieces; very long ones (scripts without spaces) in chunks."""
     pieces = text.split()
-    if pieces and len(max(pieces, key=len)) > LONG_PIECE:
+    if pieces and max(map(len, pieces)) > LONG_PIECE:
         pieces = [p[i : i + CHUNK] for p in pieces for i in range(0, len(p), CHUNK if len(p) > LONG_PIECE else len(p))]
     return pieces
 
@@ -57,10 +58,32 @@ def words_in(piece: str) -> list[str]:
     return [w for w in LETTERS.findall(piece.lower()) if any(map(str.isalpha, w))]
 
 
-def features(word: str) -> list[int]:
-    framed = f"^{word}$".encode()
-    grams = [framed] + [framed[i : i + n] for n in (2, 3, 4) for i in range(len(framed) - n + 1)]
-    return [zlib.crc32(g) & (FEATURES - 1) for g in grams]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words at once, as (feature, number of its word): runs of two to four
+    characters of the word in its frame, and the word itself."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(start + lengths, lengths) - np.arange(len(codes))  # characters to the end of the word
+    base, found, owners = np.uint64(0x9E3779B97F4A7C15), [], []
+    run = np.zeros(len(codes), np.uint64)
+    for n in range(1, 5):
+        run[: len(codes) - n + 1] = run[: len(codes) - n + 1] * base + codes[n - 1 :]
+        if n > 1:
+            whole = np.flatnonzero(left >= n)
+            found.append(run[whole] + np.uint64(n))
+            owners.append(owner[whole])
+    place = np.arange(len(codes)) - np.repeat(start, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), base, np.uint64), dtype=np.uint64)
+    found.append(np.add.reduceat(codes * powers[place], start))
+    owners.append(np.arange(len(words)))
+    x = np.concatenate(found)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    return (x & np.uint64(FEATURES - 1)).astype(np.int64), np.concatenate(owners)
 
 
 @dataclass
@@ -82,50 +105,47 @@ class Model:
 
 
 class Scorer:
-    """Score row per piece, kept for pieces met before; row 0 is for pieces without letters."""
+    """A score row per piece, kept for pieces met before; row 0 is for pieces without letters."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
+        self.table = np.zeros((CACHE + 1, len(model.langs)), np.float32)
+        self.letters = np.zeros(CACHE + 1, np.int64)
         self.known: dict[str, int] = {}
-        self.rows = [np.zeros(len(self.model.langs))]
-        self.letters = [0]
-        self.table = None
-
-    def add(self, piece: str) -> int:
-        row, n = np.zeros(len(self.model.langs)), 0
-        for word in words_in(piece):
-            n += len(word)
-            allowed = self.model.allowed[script_of(word[0])]
-            if allowed.any():
-                row += self.model.weights[features(word)].sum(axis=0) + np.where(allowed, 0.0, -50.0)
-        if not n:
-            self.known[piece] = 0
-            return 0
-        self.rows.append(row)
-        self.letters.append(n)
-        self.known[piece] = len(self.rows) - 1
-        return self.known[piece]
+        self.used = 1
+
+    def learn(self, pieces: set[str]) -> None:
+        """Score rows for pieces not met before, all at once."""
+        new = [p for p in pieces if p not in self.known]
+        if self.used + len(new) > len(self.letters):
+            self.known.clear()
+            self.used, new = 1, list(pieces)
+            if len(new) >= len(self.letters):  # texts of more distinct pieces than are kept otherwise
+                self.table = np.zeros((len(new) + 1, self.table.shape[1]), np.float32)
+                self.letters = np.zeros(len(new) + 1, np.int64)
+        words, owner, scripts = [], [], []
+        for i, piece in enumerate(new):
+            for word in words_in(piece):
+                words.append(word)
+                owner.append(i)
+                scripts.append(script_of(word[0]))
+        at, of = features(words)
+        owner = np.array(owner, np.int64)
+        allowed = self.model.allowed[np.array(scripts, np.int64)] if words else np.zeros((0, len(self.model.langs)), bool)
+        some = allowed.any(axis=1) if words else np.zeros(0, bool)
+        letters = np.bincount(owner, weights=[len(w) for w in words], minlength=len(new)).astype(np.int64) if words else np.zeros(len(new), np.int64)
+        end = self.used + len(new)
+        for lang in range(len(self.model.langs)):
+            own = np.bincount(of, weights=self.model.weights[at, lang], minlength=len(words))
+            own = np.where(some, own + np.where(allowed[:, lang], 0.0, -50.0), 0.0)
+            self.table[self.used : end, lang] = np.bincount(owner, weights=own, minlength=len(new)) if words else 0.0
+        self.letters[self.used : end] = letters
+        self.known.update((p, self.used + i if letters[i] else 0) for i, p in enumerate(new))
+        self.used = end
 
     def score(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE:
-            self.reset()
-        get = self.known.get
-        at = [i if (i := get(p)) is not None else self.add(p) for p in pieces]
-        if self.table is None or len(self.table[1]) < len(self.rows):
-            # grown in steps, so that the copies stay a small share of the work
-            if self.table is None or len(self.rows) - len(self.table[1]) > 0.1 * len(self.rows) + 64:
-                self.table = (np.array(self.rows), np.array(self.letters))
-            else:
-                done = len(self.table[1])
-                late = [i for i in at if i >= done]
-                if late:
-                    scores = np.array([self.rows[i] for i in at])
-                    return scores, np.array([self.letters[i] for i in at])
-        at = np.array(at, np.int64)
-        return self.table[0][at], self.table[1][at]
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        return self.table[at].astype(np.float64), self.letters[at]
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -155,13 +175,10 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return labels
 
 
-def identify(text: str | None, scorer: Scorer) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """(language, share of letters it labels, spans)."""
+def identify(text: str | None, pieces: list[str], scorer: Scorer) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """(language, share of letters it labels, spans); the scorer has learnt the pieces."""
     langs = scorer.model.langs
-    if not text or not langs:
-        return UNKNOWN, 0.0, []
-    pieces = pieces_of(text)
-    if not pieces:
+    if not pieces or not langs:
         return UNKNOWN, 0.0, []
     scores, letters = scorer.score(pieces)
     total = int(letters.sum())
@@ -202,10 +219,15 @@ def learn(docs: DataFrame) -> Model:
         def flush():
             for lang, counter in words.items():
                 own = sums.setdefault(lang, np.zeros(FEATURES + SCRIPTS, np.int64))
+                found, times = [], []
                 for piece, n in counter.items():
                     for word in words_in(piece):
-                        np.add.at(own, features(word), n)
+                        found.append(word)
+                        times.append(n)
                         own[FEATURES + script_of(word[0])] += n * len(word)
+                at, of = features(found)
+                if found:
+                    own[:FEATURES] += np.bincount(at, weights=np.array(times)[of], minlength=FEATURES).astype(np.int64)
                 counter.clear()
 
         for lang, text in stream:
@@ -232,15 +254,16 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
     """The ``carry`` columns, lang_pred, score, spans array<struct<start, end, lang>>; a row per row of ``docs``.
 
     Only the text counts.  NULL, empty or letterless text gives ``und``, score 0 and no spans.
-    The model, of a fixed size per language, is broadcast.
+    The model, of a fixed size per language, travels with the task's code.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def rows(stream):
-        scorer = Scorer(sent.value)
-        for text, *carried in stream:
-            lang, score, spans = identify(text, scorer)
-            yield *carried, lang, score, [{"start": a, "end": b, "lang": x} for a, b, x in spans]
+        scorer = Scorer(model)
+        while held := list(islice(stream, DOCS_AT_ONCE)):
+            pieces = [pieces_of(row[0] or "") for row in held]
+            scorer.learn(set().union(*pieces))
+            for (text, *carried), own in zip(held, pieces):
+                lang, score, spans = identify(text, own, scorer)
+                yield *carried, lang, score, [{"start": a, "end": b, "lang": x} for a, b, x in spans]
 
     found = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
     return map_rows(docs.select("text", *carry), rows, T.StructType([*docs.select(*carry).schema.fields, *found.fields]))
