@@ -138,13 +138,14 @@ def _inner(pending: tuple, following: bytes) -> tuple:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of each document, of its edited text, and likeness to both it and the next document.
 
-    Documents are ordered by doc_id (NULL first), then text; the last one is followed by the first.
+    Documents are ordered by doc_id (NULL first), then by a hash of the text; the last one is followed by the first.
     NULL text is empty; empty texts have the all-zero fingerprint and equal each other.  A table
     of one row is followed by itself; an empty one gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = texts.repartitionByRange(width(spark), F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]  # short keys: a sample of them goes to the driver
+    placed = texts.repartitionByRange(width(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def rows(stream):
         """Every document of a sorted partition but the last, which is handed on with its text, as is the first one."""
@@ -178,7 +179,7 @@ def _seams(ends: DataFrame) -> DataFrame:
 
     ``ends`` holds two rows per partition.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text"), F.col("kind")]  # of one document both first and last, first comes first
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("kind")]  # of one document both first and last, first comes first
     w = Window.orderBy(*order)
     every = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = ends.withColumns({"following": F.coalesce(F.lead("text").over(w), F.first("text").over(every))}).filter("kind = 'last'")
