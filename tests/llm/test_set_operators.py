@@ -75,7 +75,6 @@ def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
 def test_mixing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'src0' WHEN doc_id % 40 = 1 THEN NULL ELSE source END"))
     full = mixing.mix(docs).join(docs.select("doc_id", "source", "text"), "doc_id").toPandas()
-    full = full.astype({"source": object}).where(full.source.notna(), None)
     assert (full["size"] == [len((t or "").encode().split()) for t in full.text]).all()
     sizes = full.groupby("source", dropna=False)["size"].sum().to_dict()
     sizes = {None if s is None or s != s else s: v for s, v in sizes.items()}
