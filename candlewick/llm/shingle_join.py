@@ -9,21 +9,23 @@ Let k bound the symmetric difference of a set with any partner at the level.  At
 most k parts differ, so a set with more than k non-empty parts shares at least
 (number of non-empty parts - k) equal non-empty parts with each partner.  Under any
 common order of part contents, the first k + 1 of either side then have one in
-common: these are the enumerated signatures.  Parts whose rarest shingle is rare
-come first, so that passages of a large share of the corpus seldom are signatures.
+common: these are the enumerated signatures.  Parts that consist of passages of a
+large share of the corpus come last, and before that parts of more shingles come first.
 Sets with k non-empty parts or fewer emit all of them, and besides the first
 |s| - ceil(J |s|) + 1 shingles by hash: if two partners share no equal non-empty
 part, both are such sets, and these prefixes meet.
 
 Equal signatures make candidate pairs along stars, never all pairs of a group;
 pairs are verified on the whole sets; a second round tests what the stars left
-open: members of a group that are still in different components.
+open: members of a group that are still in different components, compared as bits
+inside tasks, so that only pairs that may be similar become rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from candlewick.llm.common import map_rows, rows_in, staged, table, width
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity as a fraction
-SPREAD = 4  # parts per difference to be tolerated
+SPREAD = 1.5  # parts per difference to be tolerated
 SKETCH_BITS = 17
 SLICES = 16
-RECORDS = 1 << 20  # signatures held by a task at once, and aimed at per bucket
+RECORDS = 1 << 18  # signatures held by a task at once
+BUCKET_RECORDS = 1 << 19  # aimed at per bucket
 FILTER_BITS = 24
+BLOCK = 8192  # members of a group compared in one task
 _U = np.uint64
 
 
@@ -50,37 +54,65 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingler:
-    """text -> sorted distinct 64-bit shingle hashes.  Words are kept with their hash, up to a bound."""
+_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_POWERS: dict[int, np.ndarray] = {}
+CHUNK = 1 << 20
 
-    KEPT = 300_000
 
-    def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of ``base``; kept up to the longest text piece met."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        factors = np.full(max(n, 1 << 14), base, _U)
+        factors[0] = 1
+        kept = _POWERS[base] = np.cumprod(factors, dtype=_U)
+    return kept[:n]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hash per word between blanks, from running sums of byte * base**position."""
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, len(data)), out=sums[1:])
+    inverse = _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U))
+
 
-    def _hash(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self.known[word] = h
-        return h
+class Shingler:
+    """text -> sorted distinct 64-bit shingle hashes; A-Z lowered, words between the six ASCII blanks."""
+
+    def __init__(self, words: int = WORDS):
+        self.words = words
+
+    def _codes(self, text: str) -> np.ndarray:
+        raw = text.encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
+        if len(raw) <= CHUNK:
+            return word_hashes(raw)
+        # long texts piece by piece, cut behind a blank
+        parts, at = [], 0
+        while at < len(raw):
+            stop = at + CHUNK
+            while stop < len(raw) and not _BLANK[raw[stop - 1]]:
+                stop += 1
+            parts.append(word_hashes(raw[at:stop]))
+            at = stop
+        return np.concatenate(parts)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and the six ASCII blanks only
-        if not words:
-            return np.zeros(0, _U)
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        get, new = self.known.get, self._hash
-        codes = np.array([h if (h := get(w)) is not None else new(w) for w in words], _U)
-        n = len(codes) - self.words + 1
-        if n < 1:
-            total = _U(len(codes))
-            for i in range(len(codes)):
-                total = _mix(np.array([total * _U(0xD6E8FEB86659FD93) + codes[i]], _U), 7)[0]
-            return np.array([total], _U)
-        total = np.zeros(n, _U)
-        for i in range(self.words):
-            total = total * _U(0xD6E8FEB86659FD93) + _mix(codes[i : i + n], i + 1)
-        return np.unique(_mix(total))
+        codes = self._codes(text) if text else np.zeros(0, _U)
+        if not len(codes):
+            return codes
+        n = max(len(codes) - self.words + 1, 1)
+        used = min(self.words, len(codes))
+        total = np.full(n, used, _U)
+        for i in range(used):
+            total = total * _U(0xD6E8FEB86659FD93) + codes[i : i + n]
+        return np.unique(_mix(total, 1))
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -100,7 +132,7 @@ class Bands:
             low = self.high[-1] + 1 if self.high else 1
             self.high.append(max(low, low * self.den // self.num))
         high = self.high[band]
-        return high, SPREAD * (2 * high * (self.den - self.num) // (self.den + self.num) + 1)
+        return high, int(SPREAD * (2 * high * (self.den - self.num) // (self.den + self.num) + 1)) + 1
 
     def band(self, size: int) -> int:
         b = 0
@@ -118,17 +150,20 @@ def signatures(shingles: np.ndarray, weight: np.ndarray, bands: Bands) -> np.nda
     """64-bit signatures of a non-empty set.  ``weight``: how frequent each shingle is, coarsely."""
     size, out = len(shingles), []
     own = bands.band(size)
-    content = _mix(shingles, 11)
     for band in (own, own + 1):
         k, parts = bands.tolerated(size, band), bands.level(band)[1]
-        part = _mix(shingles, 101 + band) % _U(parts)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
+        mixed = _mix(shingles, 101 + band)
+        order = np.argsort(mixed)
+        mixed = mixed[order]
+        part = ((mixed >> _U(32)) * _U(parts)) >> _U(32)  # in order, as the hashes are
         start = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        sig = _mix(np.add.reduceat(content[order], start) + part[start] * _U(0xA24BAED4963EE407), 1001 + band)
+        sig = _mix(np.add.reduceat(_mix(mixed, 11), start) + part[start], 1001 + band)
         if len(sig) > k:
-            rare = np.minimum.reduceat(weight[order], start)
-            sig = sig[np.lexsort((sig, rare))[: k + 1]]
+            # contents of a frequent shingle last, then larger contents first: they are the more selective ones
+            frequent = np.minimum.reduceat(weight[order], start).astype(_U)
+            larger = np.minimum(np.diff(np.append(start, size)), 63).astype(_U)
+            rank = (frequent << _U(58)) | ((_U(63) - larger) << _U(52)) | (sig >> _U(12))
+            sig = sig[rank <= np.partition(rank, k)[k]]
         else:
             prefix = size - -(-size * bands.num // bands.den) + 1
             sig = np.concatenate([sig, _mix(shingles[:prefix], 5001 + band)])
@@ -136,6 +171,22 @@ def signatures(shingles: np.ndarray, weight: np.ndarray, bands: Bands) -> np.nda
     return np.concatenate(out)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits that are 1 where an odd number of shingles falls; about one to two bits a shingle."""
+    bits = 1 << max(6, int(len(shingles)).bit_length())
+    odd = np.bincount((shingles >> _U(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def may_be_similar(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, num: int, den: int) -> bool:
+    """False only if parities prove too large a difference: every differing shingle flips at most one bit."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (den + num) <= (den - num) * (size_a + size_b)
+
+
 def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return den * both >= num * (len(a) + len(b) - both)
@@ -146,7 +197,7 @@ def _weight(sketch: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text_key, n, cls) per document, and log2 frequencies of shingles by 2**17 hash buckets.
+    """(doc_id, text_key, n, cls) per document, and by how many powers of two each of 2**17 hash buckets of shingles exceeds the median one.
 
     The sketch has a fixed size; tasks add up their own and the sums are merged by slices.
     """
@@ -180,6 +231,8 @@ def scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(size, np.uint8)
     for i, counts in merged.collect():  # 128 KB in all
         sketch[i * cut : (i + 1) * cut] = np.frombuffer(counts, np.uint8)
+    # what stands out of the bucket's usual fill
+    sketch = np.maximum(sketch.astype(np.int16) - int(np.median(sketch)) - 1, 0).astype(np.uint8)
     return both.filter("slice IS NULL").select("doc_id", "text_key", "n", "cls"), sketch
 
 
@@ -193,19 +246,24 @@ def groups(docs: DataFrame, sketch: np.ndarray, shingle_total: int, words: int,
     of very many documents is a record per task there.
     """
     spark = docs.sparkSession
-    buckets = max(width(spark), -(-int(0.7 * shingle_total) // RECORDS))
+    buckets = max(width(spark), -(-int(0.7 * shingle_total) // BUCKET_RECORDS))
     sent = spark.sparkContext.broadcast(sketch)
 
     def leaders(sig: np.ndarray, cls: np.ndarray):
-        """Distinct (sig, cls) sorted, the leader (least class) of each, and group sizes per row."""
-        order = np.lexsort((cls, sig))
+        """Distinct (sig, cls) by sig, where each sig begins, its least class and its number of classes."""
+        order = np.argsort(sig)
         sig, cls = sig[order], cls[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
+        again = np.zeros(len(sig), bool)
+        again[1:] = sig[1:] == sig[:-1]
+        again[:-1] |= again[1:]
+        if again.any():  # only signatures met several times need their classes in order
+            rows = np.flatnonzero(again)
+            cls[rows] = cls[rows][np.lexsort((cls[rows], sig[rows]))]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+            sig, cls = sig[new], cls[new]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(start, len(sig)))
-        return sig, cls, start, sizes
+        return sig, cls, start, np.diff(np.append(start, len(sig)))
 
     def emit(stream):
         shingler, bands, freq = Shingler(words), Bands(num, den), sent.value
@@ -293,40 +351,127 @@ def _position(doc_id, bits: int = FILTER_BITS):
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)).cast("int")
 
 
-def verified(docs: DataFrame, keepers: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar.  ``keepers``: (cls, doc_id), a document per class.
+def _picked(docs: DataFrame, keepers: DataFrame, classes: DataFrame, words: int, what, kind: str) -> DataFrame:
+    """(cls, *kind) from ``what(shingles)`` for the classes named.  ``keepers``: (cls, doc_id), a document per class.
 
-    The sets needed are built in a second scan of the texts.  A bitmap of fixed size tells which
-    documents may be needed, so that texts are never shuffled.
+    A bitmap of fixed size tells which documents may be needed, so that texts are never shuffled; what is
+    built for others in vain (few, if any) meets nothing.
     """
-    spark = docs.sparkSession
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(keepers, "cls"))
     word = F.shiftright(_position(F.col("doc_id")), 6)
     bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) AS INT) & 63)")
-    bitmap = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    needed = classes.distinct().join(keepers, "cls")
     held = needed.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 4 MB at most
+    bitmap = np.zeros((1 << FILTER_BITS) // 64, np.int64)
     bitmap[held.column("word").to_numpy()] = held.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(stream):
-        shingler, bits = Shingler(words), sent.value.view(np.uint64)
+        shingler, bits, done = Shingler(words), sent.value.view(np.uint64), set()
         for text, at in stream:
             if int(bits[at >> 6]) >> (at & 63) & 1:
                 shingles = shingler(text)
-                if len(shingles):
-                    yield digest(shingles), shingles.tobytes()
+                if len(shingles) and (cls := digest(shingles)) not in done:
+                    done.add(cls)
+                    yield cls, *what(shingles)
+
+    return staged(map_rows(docs.select("text", _position(F.col("doc_id")).alias("at")), build, f"cls long, {kind}"))
 
-    sets = map_rows(docs.select("text", _position(F.col("doc_id")).alias("at")), build, "cls long, shingles binary")
-    sets = staged(sets.join(needed.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")))
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
+
+def _meet(pairs: DataFrame, found: DataFrame, names: list[str], test) -> DataFrame:
+    """The pairs that pass ``test(*names of a, *names of b)``."""
+    side = lambda key: found.select(F.col("cls").alias(key), *[F.col(n).alias(f"{n}_{key}") for n in names])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{n}_a" for n in names], *[f"{n}_b" for n in names])
 
     def keep(stream):
-        for a, b, left, right in stream:
-            if similar(np.frombuffer(left, _U), np.frombuffer(right, _U), num, den):
+        for a, b, *rest in stream:
+            if test(*rest):
                 yield a, b
 
-    return map_rows(both, keep, "a long, b long")
+    return map_rows(both, keep, "a long, b long").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+
+
+def _parities(docs: DataFrame, keepers: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    return _picked(docs, keepers, classes, words, lambda s: (len(s), parity(s).tobytes()), "n long, odd binary")
+
+
+def _close(pairs: DataFrame, odd: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that parities of a bit or two a shingle cannot rule out."""
+
+    def close(n_a, odd_a, n_b, odd_b):
+        return may_be_similar(np.frombuffer(odd_a, np.uint8), n_a, np.frombuffer(odd_b, np.uint8), n_b, num, den)
+
+    return staged(_meet(pairs, odd, ["n", "odd"], close))
+
+
+def _similar(docs: DataFrame, keepers: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs whose whole sets are similar."""
+
+    def alike(set_a, set_b):
+        return similar(np.frombuffer(set_a, _U), np.frombuffer(set_b, _U), num, den)
+
+    sets = _picked(docs, keepers, _ends(pairs), words, lambda s: (s.tobytes(),), "shingles binary")
+    return _meet(pairs, sets, ["shingles"], alike)
+
+
+def verified(docs: DataFrame, keepers: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar."""
+    odd = _parities(docs, keepers, _ends(pairs), words)
+    return _similar(docs, keepers, _close(pairs, odd, num, den), words, num, den)
+
+
+def close_in_block(cls, comp, n, odd, left, num: int, den: int):
+    """Pairs (a < b) of different components that sizes and parities leave, among the rows of a block; ``left`` marks
+    those of the first of two blocks (all, if it meets itself).  Compared as bit matrices, a strip at a time."""
+    widths = np.array([len(x) for x in odd])
+    for width_a in np.unique(widths):
+        a = np.flatnonzero((widths == width_a) & left)
+        for width_b in (width_a, 2 * width_a):
+            b = np.flatnonzero(widths == width_b)
+            if not len(a) or not len(b):
+                continue
+            rows_a = np.frombuffer(b"".join(odd[i] for i in a), _U).reshape(len(a), -1)
+            rows_b = np.frombuffer(b"".join(odd[i] for i in b), _U).reshape(len(b), -1)
+            if width_b > width_a:
+                half = rows_b.shape[1] // 2
+                rows_b = rows_b[:, :half] ^ rows_b[:, half:]
+            strip = max(1, (1 << 20) // max(1, rows_b.size))
+            for at in range(0, len(a), strip):
+                i = a[at : at + strip]
+                flips = np.bitwise_count(rows_a[at : at + strip, None, :] ^ rows_b[None, :, :]).sum(axis=2, dtype=np.int64)
+                ok = flips * (den + num) <= (den - num) * (n[i][:, None] + n[b][None, :])
+                ok &= np.minimum(n[i][:, None], n[b][None, :]) * den >= np.maximum(n[i][:, None], n[b][None, :]) * num
+                ok &= comp[i][:, None] != comp[b][None, :]
+                x, y = np.nonzero(ok)
+                one, two = cls[i[x]], cls[b[y]]
+                yield np.minimum(one, two), np.maximum(one, two)
+
+
+def _left_open(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Close pairs among members (gid, cls, comp, n, odd) of a group that are in different components.
+
+    No pair is a row before it has passed: a block of up to BLOCK members is compared in memory as bits.  Larger
+    groups are dealt into blocks by a hash, and each two blocks meet in a task.
+    """
+    spark = members.sparkSession
+    blocks = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    placed = members.join(blocks, "gid").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("gid", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "comp", "n", "odd")
+    dealt = placed.repartition(width(spark), "gid", "low", "high").sortWithinPartitions("gid", "low", "high")
+
+    def rows(stream):
+        for (_, low, _), block in groupby(stream, key=lambda r: r[:3]):
+            held = list(block)
+            own, cls, comp, n = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6))
+            for a, b in close_in_block(cls, comp, n, [r[7] for r in held], own == low, num, den):
+                yield from zip(a.tolist(), b.tolist())
+
+    return map_rows(dealt, rows, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -376,12 +521,10 @@ def near_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     placed = shared.select("gid", "cls").distinct().join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     split = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gid")
     left_open = staged(placed.join(split, "gid"))
-    other = left_open.select("gid", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    rest = left_open.withColumnRenamed("cls", "a").join(other, "gid").filter("a < b AND comp <> comp_b")
-    rest = candidates(rest).join(first, ["a", "b"], "left_anti")
-    rest = staged(rest)
+    odd = _parities(docs, keepers, left_open.select("cls"), words)
+    rest = staged(_left_open(left_open.join(odd, "cls"), num, den).join(first, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        edges = edges.union(verified(docs, keepers, rest, words, num, den))
+        edges = edges.union(_similar(docs, keepers, rest, words, num, den))
         comps = components(edges)
     smallest = comps.join(keepers, "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = keepers.select("cls", F.col("doc_id").alias("own")).join(comps, "cls", "left").join(smallest, "comp", "left")
