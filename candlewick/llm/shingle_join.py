@@ -427,17 +427,20 @@ def close_in_block(cls, comp, n, odd, left, num: int, den: int):
     """Pairs (a < b) of different components that sizes and parities leave, among the rows of a block; ``left`` marks
     those of the first of two blocks (all, if it meets itself).  Compared as bit matrices, a strip at a time."""
     widths = np.array([len(x) for x in odd])
-    for width_a in np.unique(widths):
+    itself = left.all()
+    for width_a in np.unique(widths[left]):
         a = np.flatnonzero((widths == width_a) & left)
-        for width_b in (width_a, 2 * width_a):
-            b = np.flatnonzero(widths == width_b)
-            if not len(a) or not len(b):
+        for width_b in np.unique(widths if itself else widths[~left]):
+            b = np.flatnonzero(widths == width_b) if itself else np.flatnonzero((widths == width_b) & ~left)
+            # within one block either side is the first of a pair once, between two blocks only the low one is
+            small, large = (a, b) if width_a < width_b else (b, a)
+            if itself and width_b < width_a or n[small].max() * den < n[large].min() * num and width_a != width_b:
                 continue
-            rows_a = np.frombuffer(b"".join(odd[i] for i in a), _U).reshape(len(a), -1)
-            rows_b = np.frombuffer(b"".join(odd[i] for i in b), _U).reshape(len(b), -1)
-            if width_b > width_a:
-                half = rows_b.shape[1] // 2
-                rows_b = rows_b[:, :half] ^ rows_b[:, half:]
+            # a row per set, folded to the narrower of the two
+            words = min(width_a, width_b) // 8
+            rows_a, rows_b = (
+                np.bitwise_xor.reduce(np.frombuffer(b"".join(odd[i] for i in side), _U).reshape(len(side), -1, words), axis=1) for side in (a, b)
+            )
             strip = max(1, (1 << 20) // max(1, rows_b.size))
             for at in range(0, len(a), strip):
                 i = a[at : at + strip]

@@ -273,6 +273,27 @@ def test_components_of_chains_and_copies(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows))
 
 
+def test_open_pairs_of_all_widths_in_blocks(spark, monkeypatch):
+    """Parities of sizes on both sides of a power of two, dealt into blocks of about four."""
+    monkeypatch.setattr(shingle_join, "BLOCK", 4)
+    random = np.random.default_rng(5)
+    whole = np.unique(random.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [random.permutation(whole[:150])[:size] for size in [*range(58, 70), *range(118, 138)]]
+    sets += [np.concatenate([whole[:size], random.integers(0, 2**63, 3).astype(np.uint64)]) for size in [*range(58, 70), *range(118, 138)]]
+    sets = {int(c): np.unique(s) for c, s in zip(random.permutation(len(sets)), sets)}
+    rows = [(1, c, c, len(s), bytearray(shingle_join.parity(s).tobytes())) for c, s in sets.items()]
+    members = spark.createDataFrame(rows, "gid long, cls long, comp long, n long, odd binary")
+    for num, den in ((75, 100), (20, 100)):  # the second lets widths differ by a factor of four
+        want = set()
+        for a, b in itertools.combinations(sorted(sets), 2):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            odd = [shingle_join.parity(sets[c]) for c in (a, b)]
+            if small * den >= large * num and shingle_join.may_be_similar(odd[0], len(sets[a]), odd[1], len(sets[b]), num, den):
+                want.add((a, b))
+        assert sum(shingle_join.parity(sets[a]).size != shingle_join.parity(sets[b]).size for a, b in want) > 20
+        assert {tuple(r) for r in shingle_join._left_open(members, num, den).collect()} == want
+
+
 def test_components_awkward(spark):
     rows = [r[:2] for r in AWKWARD if r[0] is not None]
     got = shingle_join.near_components(documents(spark, rows)).collect()
