@@ -1,11 +1,13 @@
-"""Removal of repeated passages by hashing normalised parts of lines.
-
-Lines are cut into short units after every word whose hash ends in zero bits, so two
-copies of a passage fall into the same units wherever they stand.  A window is a
-unit with the following ones up to ``WINDOW_WORDS`` words; its normalised words give
-a digest.  Digests are grouped over the corpus.  The occurrence of the lowest rank
-(doc_id, then position) stays; words that only later occurrences cover, in runs
-of at least ``RUN_WORDS``, are removed.  Offsets refer to the original text.
+"""Removal of repeated lines, paragraphs and passages by hashing normalised words.
+
+Every line is a unit, and so is every paragraph (lines up to a blank one); their normalised
+words give a digest.  Besides, passages that repeat inside lines: all windows of ``WINDOW_WORDS``
+words are hashed and of each ``PICK`` windows in a row the least hashes are taken, so two
+copies of a passage give the same windows wherever they stand.  Windows taken overlap; those of a
+passage leave out less than ``PICK`` words at either end.  Digests are grouped over the corpus.  The
+occurrence of the lowest rank (doc_id, then position) stays; removed are later units, and words
+that only later occurrences cover in runs of at least ``RUN_WORDS``: every repeat of
+``RUN_WORDS + 2 * (PICK - 1)`` words or more is found.  Offsets refer to the original text.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 
 from candlewick.llm.common import map_rows, rows_in, table, width
 
-CUT = 6  # a word in so many ends a unit
 WINDOW_WORDS = 10
+PICK = 6  # at most WINDOW_WORDS, so that windows taken leave no word between them
 RUN_WORDS = 25
 RECORDS = 1 << 19
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
@@ -38,7 +40,7 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class Words:
-    """Normalised word -> 64-bit hash: case folded, outer punctuation off (kept if nothing is left)."""
+    """text -> a 64-bit hash per word (case folded, outer punctuation off, kept if nothing is left), words per line."""
 
     KEPT = 300_000
 
@@ -54,42 +56,81 @@ class Words:
         self.known[word] = h
         return h
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.KEPT:
             self.known.clear()
         get, new = self.known.get, self._new
-        return np.array([h if (h := get(w)) is not None else new(w) for w in WORD.findall(text)], _U)
-
-
-def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, first word, end word) of all windows of a text's word hashes."""
+        lines = [WORD.findall(line) for line in text.split("\n")]
+        codes = np.array([h if (h := get(w)) is not None else new(w) for line in lines for w in line], _U)
+        return codes, np.array([len(line) for line in lines], np.int64)
+
+
+def _picked(grams: np.ndarray) -> np.ndarray:
+    """Positions of the least of each PICK hashes in a row; they depend on nothing but these."""
+    n = len(grams) - PICK + 1
+    if n < 1:
+        return np.flatnonzero(grams == grams.min()) if len(grams) else np.zeros(0, np.int64)
+    least = np.minimum.reduce([grams[d : n + d] for d in range(PICK)])
+    taken = np.zeros(len(grams), bool)
+    for d in range(PICK):
+        taken[d : n + d] |= grams[d : n + d] == least
+    return np.flatnonzero(taken)
+
+
+def _units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end word) of the lines that hold words and of the paragraphs of several, by place."""
+    full = np.concatenate([[0], (lines > 0).astype(np.int8), [0]])
+    stops = np.cumsum(lines)
+    starts = stops - lines
+    first, last = np.flatnonzero(np.diff(full) == 1), np.flatnonzero(np.diff(full) == -1) - 1
+    several = last > first
+    starts = np.concatenate([starts[lines > 0], starts[first[several]]])
+    stops = np.concatenate([stops[lines > 0], stops[last[several]]])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order]
+
+
+def windows(codes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(digest, first word, end word) of a text's units, then of its windows; the number of units."""
     n = len(codes)
-    ends = np.flatnonzero(_mix(codes, 1) % _U(CUT) == 0) + 1  # units end behind these words
-    starts = np.concatenate([[0], ends])
-    starts = starts[starts + WINDOW_WORDS <= n]
-    if not len(starts):
-        return np.zeros(0, _U), starts, starts
-    bounds = ends if len(ends) and ends[-1] == n else np.append(ends, n)
-    stops = bounds[np.searchsorted(bounds, starts + WINDOW_WORDS)]
-    # a run of words without a cut is closed early, so that no window is boundless
-    stops = np.minimum(stops, starts + 8 * WINDOW_WORDS)
     base = 0xD6E8FEB86659FD93
     powers = np.cumprod(np.concatenate([[_U(1)], np.full(n, base, _U)]), dtype=_U)
     inverse = np.cumprod(np.concatenate([[_U(1)], np.full(n, pow(base, -1, 1 << 64), _U)]), dtype=_U)
     sums = np.concatenate([[_U(0)], np.cumsum(codes * powers[:n], dtype=_U)])
-    return _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(_U), 2), starts, stops
+
+    def digest(starts, stops, salt):
+        return _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(_U), salt)
+
+    starts, stops = _units(lines)
+    units = digest(starts, stops, 3)
+    every = np.arange(max(n - WINDOW_WORDS + 1, 0))
+    grams = digest(every, every + WINDOW_WORDS, 2)
+    at = _picked(grams)
+    return np.concatenate([units, grams[at]]), np.concatenate([starts, at]), np.concatenate([stops, at + WINDOW_WORDS]), len(units)
+
+
+def _covered(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, stops, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def removed(text: str, codes: np.ndarray, late: np.ndarray) -> list[tuple[int, int]]:
-    """Code point spans to remove, given the first words of windows that are later occurrences."""
-    _, starts, stops = windows(codes)
-    hit = np.isin(starts, late)
-    edge = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(edge, starts[hit], 1)
-    np.add.at(edge, stops[hit], -1)
-    cover = np.cumsum(edge[:-1]) > 0
+def _runs(cover: np.ndarray) -> list[tuple[int, int]]:
     change = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(np.int8), [0]])))
-    runs = [(a, b) for a, b in zip(change[::2], change[1::2]) if b - a >= RUN_WORDS]
+    return list(zip(change[::2], change[1::2]))
+
+
+def removed(text: str, codes: np.ndarray, lines: np.ndarray, late: np.ndarray) -> list[tuple[int, int]]:
+    """Code point spans to remove, given the numbers of units and windows that are later occurrences."""
+    _, starts, stops, n_units = windows(codes, lines)
+    hit = np.unique(late[late < len(starts)])
+    units = hit[hit < n_units]
+    cover = _covered(starts[units], stops[units], len(codes))
+    for a, b in _runs(_covered(starts[hit], stops[hit], len(codes))):
+        if b - a >= RUN_WORDS:
+            cover[a:b] = True
+    runs = _runs(cover)
     if not runs:
         return []
     places = [m.span() for m in WORD.finditer(text)]
@@ -100,10 +141,10 @@ def _emit(buckets: int):
     def rows(stream):
         words, held, n = Words(), [], 0
         for doc_id, text in stream:
-            digest, starts, _ = windows(words(text))
+            digest = windows(*words(text))[0]
             if len(digest):
                 part = np.empty(len(digest), _RECORD)
-                part["digest"], part["doc"], part["at"] = digest, NO_ID if doc_id is None else doc_id, starts
+                part["digest"], part["doc"], part["at"] = digest, NO_ID if doc_id is None else doc_id, np.arange(len(digest))
                 held.append(part)
                 n += len(part)
             if n > RECORDS:
@@ -152,7 +193,7 @@ def _by_doc(records: np.ndarray):
 
 
 def late_windows(docs: DataFrame) -> DataFrame:
-    """(doc, at): per document, packed first words of windows that occur earlier elsewhere."""
+    """(doc, at): per document, packed numbers of units and windows that occur earlier elsewhere."""
     spark = docs.sparkSession
     buckets = 4 * width(spark)
     emitted = map_rows(docs, _emit(buckets), "bucket int, doc long, packed binary")
@@ -202,7 +243,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def rows(stream):
         words = Words()
         for doc_id, text, at in stream:
-            spans = removed(text, words(text), np.frombuffer(b"".join(at), "<i4")) if at else []
+            spans = removed(text, *words(text), np.frombuffer(b"".join(at), "<i4")) if at else []
             kept, done = [], 0
             for a, b in spans:
                 kept.append(text[done:a])

@@ -214,6 +214,43 @@ def test_repeats_awkward(spark):
     assert substring_dedup.drop_repeats(documents(spark, [])).collect() == []
 
 
+def test_repeated_lines_and_paragraphs(spark):
+    random = np.random.default_rng(21)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 8))
+    say = lambda n: " ".join(word() for _ in range(n))
+    lines = [say(n) for n in range(1, 31)]
+    rows = [(i, "\n".join([say(9), lines[i % 30] if i < 30 else f"  {lines[i % 30].upper()}. ", say(12)])) for i in range(90)]
+    paragraph = [word() for _ in range(20)]
+    for i, step in enumerate((4, 5, 7, 20)):  # wrapped in another way each time
+        wrapped = [" ".join(paragraph[a : a + step]) for a in range(0, 20, step)]
+        rows.append((100 + i, "\n".join([say(8), "", *wrapped, " ", say(8)])))
+    for r in substring_dedup.drop_repeats(documents(spark, rows)).collect():
+        text = rows[r.doc_id][1] if r.doc_id < 90 else rows[r.doc_id - 10][1]
+        parts = text.split("\n")
+        if r.doc_id < 30 or r.doc_id == 100:
+            assert r.text == text and not r.removed, r.doc_id
+        else:
+            assert r.text.split() == (parts[0] + " " + parts[-1]).split() and len(r.removed) == 1, r.doc_id
+
+
+def test_every_long_passage_is_found(spark):
+    random = np.random.default_rng(22)
+    words = ["".join(random.choice(list("abcdefgh"), 8)) for _ in range(20_000)]
+    say = lambda n: [str(w) for w in random.choice(words, n)]
+    rows, planted = [], {}
+    for length in range(35, 61):
+        for _ in range(40):
+            passage = say(length)
+            for _ in range(2):
+                rows.append((len(rows), " ".join(say(int(random.integers(1, 40))) + passage + say(int(random.integers(1, 40))))))
+            planted[len(rows) - 1] = " ".join(passage)
+    for r in substring_dedup.drop_repeats(documents(spark, rows)).collect():
+        spans = [rows[r.doc_id][1][a:b] for a, b in r.removed]
+        assert len(spans) == (r.doc_id in planted), r.doc_id
+        for cut in spans:
+            assert cut in planted[r.doc_id] and len(cut.split()) >= len(planted[r.doc_id].split()) - 10
+
+
 # n-gram Jaccard join
 
 
