@@ -28,7 +28,7 @@ RUN_WORDS = 25
 RECORDS = 1 << 19
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _U = np.uint64
-_RECORD = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+_RECORD = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4")])
 NO_ID = 2**63 - 1  # rank of documents without id: the last
 
 
@@ -124,7 +124,7 @@ def _runs(cover: np.ndarray) -> list[tuple[int, int]]:
 def removed(text: str, codes: np.ndarray, lines: np.ndarray, late: np.ndarray) -> list[tuple[int, int]]:
     """Code point spans to remove, given the numbers of units and windows that are later occurrences."""
     _, starts, stops, n_units = windows(codes, lines)
-    hit = np.unique(late[late < len(starts)])
+    hit = np.unique(late)
     units = hit[hit < n_units]
     cover = _covered(starts[units], stops[units], len(codes))
     for a, b in _runs(_covered(starts[hit], stops[hit], len(codes))):
@@ -140,11 +140,11 @@ def removed(text: str, codes: np.ndarray, lines: np.ndarray, late: np.ndarray) -
 def _emit(buckets: int):
     def rows(stream):
         words, held, n = Words(), [], 0
-        for doc_id, text in stream:
+        for doc, key, text in stream:
             digest = windows(*words(text))[0]
             if len(digest):
                 part = np.empty(len(digest), _RECORD)
-                part["digest"], part["doc"], part["at"] = digest, NO_ID if doc_id is None else doc_id, np.arange(len(digest))
+                part["digest"], part["doc"], part["key"], part["at"] = digest, doc, key, np.arange(len(digest))
                 held.append(part)
                 n += len(part)
             if n > RECORDS:
@@ -158,15 +158,16 @@ def _emit(buckets: int):
 
 def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted records and which of them have an earlier one of their digest."""
-    records = records[np.lexsort((records["at"], records["doc"], records["digest"]))]
+    records = records[np.lexsort((records["at"], records["key"], records["doc"], records["digest"]))]
     late = np.zeros(len(records), bool)
     late[1:] = records["digest"][1:] == records["digest"][:-1]
     # rows that repeat a document are no later occurrence of themselves
     same = late.copy()
-    same[1:] &= (records["doc"][1:] == records["doc"][:-1]) & (records["at"][1:] == records["at"][:-1])
+    for name in ("doc", "key", "at"):
+        same[1:] &= records[name][1:] == records[name][:-1]
     if same.any():
         first = np.maximum.accumulate(np.where(~late, np.arange(len(records)), 0))
-        late &= ~((records["doc"] == records["doc"][first]) & (records["at"] == records["at"][first]))
+        late &= np.any([records[name] != records[name][first] for name in ("doc", "key", "at")], axis=0)
     return records, late
 
 
@@ -178,37 +179,37 @@ def _settle(records: np.ndarray, buckets: int):
     bucket = ((lead["digest"] >> _U(32)) * _U(buckets)) >> _U(32)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(cut, np.append(cut[1:], len(lead))):
-        yield int(bucket[a]), None, lead[a:b].tobytes()
-    own = records[late]
-    own = own[np.argsort(own["doc"], kind="stable")]
-    for doc, at in _by_doc(own):
-        yield int(doc % buckets), doc, at
+        yield int(bucket[a]), None, None, lead[a:b].tobytes()
+    for doc, key, at in _by_doc(records[late]):
+        yield int(key % buckets), doc, key, at
 
 
 def _by_doc(records: np.ndarray):
+    """(doc, key, packed numbers) per document; rows that repeat a document say the same once."""
     if len(records):
-        cut = np.flatnonzero(np.concatenate([[True], records["doc"][1:] != records["doc"][:-1]]))
+        records = records[np.lexsort((records["at"], records["key"], records["doc"]))]
+        doc, key = records["doc"], records["key"]
+        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
         for a, b in zip(cut, np.append(cut[1:], len(records))):
-            yield int(records["doc"][a]), records["at"][a:b].astype("<i4").tobytes()
+            yield int(doc[a]), int(key[a]), np.unique(records["at"][a:b]).astype("<i4").tobytes()
 
 
 def late_windows(docs: DataFrame) -> DataFrame:
-    """(doc, at): per document, packed numbers of units and windows that occur earlier elsewhere."""
+    """(doc, key, at): per document (doc, key, text), packed numbers of units and windows that occur earlier elsewhere."""
     spark = docs.sparkSession
     buckets = 4 * width(spark)
-    emitted = map_rows(docs, _emit(buckets), "bucket int, doc long, packed binary")
+    emitted = map_rows(docs, _emit(buckets), "bucket int, doc long, key long, packed binary")
     dealt = emitted.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
-    out = pa.schema([("doc", pa.int64()), ("at", pa.binary())])
+    out = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.binary())])
 
     def meet(batches):
         bucket_at, held, rows = None, [], []
 
         def close():
             records, late = _later(np.concatenate(held))
-            own = records[late]
-            yield from _by_doc(own[np.argsort(own["doc"], kind="stable")])
+            yield from _by_doc(records[late])
 
-        for bucket, doc, packed in rows_in(batches):
+        for bucket, doc, key, packed in rows_in(batches):
             if bucket != bucket_at and held:
                 rows += close()
                 held = []
@@ -216,7 +217,7 @@ def late_windows(docs: DataFrame) -> DataFrame:
             if doc is None:
                 held.append(np.frombuffer(packed, _RECORD))
             else:
-                rows.append((doc, packed))
+                rows.append((doc, key, packed))
             if len(rows) > 4_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
                 rows = []
@@ -225,20 +226,22 @@ def late_windows(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return dealt.mapInArrow(meet, T.StructType.fromDDL("doc long, at binary"))
+    return dealt.mapInArrow(meet, T.StructType.fromDDL("doc long, key long, at binary"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text, removed array<struct<start, end>>), a row per row of ``docs`` (needs doc_id and text).
 
-    ``text`` is what stays, ``removed`` the spans of the original.  NULL text is empty.  Documents with
-    equal ids count as one document and keep or lose the same parts; NULL ids rank last, as one document.
-    An empty table gives no rows.
+    ``text`` is what stays, ``removed`` the spans of the original.  NULL text is empty.  Rows of equal id and
+    text count as one document and keep or lose the same parts; other rows of equal id are documents of their
+    own, by a hash of the text.  NULL ids rank last.  An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    late = late_windows(texts).groupBy("doc").agg(F.collect_list("at").alias("at"))  # a document's own windows
-    keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    both = keyed.join(late, "doc", "left").select("doc_id", "text", "at")
+    no_id = F.col("doc_id").isNull()
+    key = F.when(no_id, F.xxhash64("text", F.lit(NO_ID))).otherwise(F.xxhash64("text"))
+    keyed = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), key.alias("key"))
+    late = late_windows(keyed.select("doc", "key", "text")).groupBy("doc", "key").agg(F.collect_list("at").alias("at"))  # a document's own
+    both = keyed.join(late, ["doc", "key"], "left").select("doc_id", "text", "at")
 
     def rows(stream):
         words = Words()

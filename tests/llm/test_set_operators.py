@@ -251,6 +251,18 @@ def test_every_long_passage_is_found(spark):
             assert cut in planted[r.doc_id] and len(cut.split()) >= len(planted[r.doc_id].split()) - 10
 
 
+@pytest.mark.parametrize("doc_id", [None, 70])
+def test_rows_of_no_or_equal_id_lose_only_their_own_repeats(spark, doc_id):
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = say("p", 60)
+    rows = [(1, passage), (doc_id, f"{passage}\n{say('a', 60)}"), (doc_id, f"{say('b', 60)}\n{say('c', 60)}"), (doc_id, f"{say('q', 60)}\n{say('d', 9)}"), (doc_id, f"{say('q', 60)}\n{say('e', 9)}")]
+    got = sorted(r.text.strip() for r in substring_dedup.drop_repeats(documents(spark, rows)).collect())
+    q = [say("q", 60) in text for text in got]
+    assert sum(q) == 1 and len(got) == 5  # one of the equal passages at equal places stays
+    assert {passage, say("a", 60), rows[2][1]} <= set(got)
+    assert {text.split()[-1] for text in got} == {"p59", "a59", "c59", "d8", "e8"}
+
+
 # n-gram Jaccard join
 
 
