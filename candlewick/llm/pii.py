@@ -10,6 +10,7 @@ patterns run over the rewritten text and the spans found are mapped back.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,13 +88,15 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 _AT, _DOT = "at|arroba|aroba|@", r"dot|punkt|punto|point|\."
 _GAP = r"[ \t]{0,3}"
-_TOP = r"\.(?:com|org|net|edu|info|io|example|de|fr|es)\b"
+_TOP = r"(?:\.[\w-]{1,64}){0,8}\.[a-z]{2,24}\b"
 #: places worth rewriting, apart from homoglyphs
 CLUE = re.compile(
-    rf"{_OPEN}{_GAP}(?:{_AT}|{_DOT}){_GAP}{_SHUT}|(?<=\w)[ \t]{{1,3}}dot[ \t]{{1,3}}(?=\w)|(?<=\w)[ \t]{{1,3}}at[ \t]{{1,3}}[\w-]{{1,64}}{_TOP}|\b(?:{_WORD})(?:[\W_]{{1,3}}(?:{_WORD}|[0-9])\b){{2,}}", re.IGNORECASE
+    rf"{_OPEN}{_GAP}(?:{_AT}|{_DOT}){_GAP}{_SHUT}|(?<=\w)[ \t]{{1,3}}dot[ \t]{{1,3}}(?=\w)|(?<=\w)[ \t]{{1,3}}at[ \t]{{1,3}}[\w-]{{1,64}}{_TOP}"
+    rf"|\b(?:{_WORD})[\W_]{{1,3}}(?:(?:{_WORD})\b|[0-9+])|[0-9+][\W_]{{0,3}}\b(?:{_WORD})\b|\bplus[ \t]{{1,3}}(?:(?:{_WORD})\b|[0-9])", re.IGNORECASE
 )
 GLYPH = re.compile("[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "]+")
 MARGIN = 96
+BLANK = re.compile(r"[ \t\n\x0b\x0c\r]")
 #: one transducer step: what is rewritten, in order of preference
 STEP = re.compile(
     rf"(?P<at>{_GAP}{_OPEN}{_GAP}(?:{_AT}){_GAP}{_SHUT}{_GAP}|(?<=\w)[ \t]{{1,3}}at[ \t]{{1,3}}(?=[\w-]+(?:[ \t]{{1,3}}dot[ \t]|{_GAP}{_OPEN}{_GAP}(?:{_DOT})|{_TOP})))"
@@ -146,9 +149,12 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
     spots = [m.span() for m in CLUE.finditer(text)]
     if not text.isascii():
         spots = sorted(spots + [m.span() for m in GLYPH.finditer(text)])
+    blanks = [m.start() for m in BLANK.finditer(text)] if spots else []
     open_at = None
     for a, b in spots:
-        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
+        # as far as the tokens that the margin would cut
+        a, b = bisect_right(blanks, a - MARGIN), bisect_left(blanks, b + MARGIN)
+        a, b = blanks[a - 1] + 1 if a else 0, blanks[b] if b < len(blanks) else len(text)
         if open_at is None:
             open_at = [a, b]
         elif a <= open_at[1]:

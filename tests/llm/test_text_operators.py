@@ -128,6 +128,21 @@ def test_pii_disguised(text, kind, value):
     assert all(0 <= a < b <= len(text) for a, _, b in found)
 
 
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("call +1 415 555 26 seven one now", "phone", "+1 415 555 26 seven one"),
+        ("call +1 415 555 two six 71 now", "phone", "+1 415 555 two six 71"),
+        ("call plus 1 415 555 2671 now", "phone", "plus 1 415 555 2671"),
+        ("mail name at firma.it today", "email", "name at firma.it"),
+        ("mail " + "n" * 150 + " [at] firma.it today", "email", "n" * 150 + " [at] firma.it"),
+    ],
+)
+def test_pii_disguises_at_any_clue(text, kind, value):
+    found = pii.disguised_spans(text, pii.base_spans(text))
+    assert (kind, value) in [(pii.KINDS[k], text[a:b]) for a, k, b in found]
+
+
 def test_pii_leaves_prose_alone():
     for text in ("He looked at one or two dots at home. One, two, three!", "das ist ein Punkt. Naïve café – dot", "five six" * 3, ""):
         assert pii.disguised_spans(text, []) == []
