@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +27,10 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write once as Parquet into the shared folder and read it back.
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Write once as Parquet into the shared folder; the frame read back, and a call that deletes its files.
 
-    Cuts the lineage and survives lost executors.  The files go when the
+    Cuts the lineage and survives lost executors.  Files that are not deleted before go when the
     session's file system is closed.
     """
     spark = df.sparkSession
@@ -38,8 +38,14 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path), lambda: store.delete(folder, True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A frame that is read more than once, or looped over, written once."""
+    return written(df)[0]
 
 
 def width(spark: SparkSession) -> int:
@@ -70,12 +76,12 @@ def rows_in(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tupl
             yield from zip(*(c.to_pylist() for c in part.columns))
 
 
-def map_rows(df: DataFrame, rows, schema: str | T.StructType) -> DataFrame:
-    """``rows`` maps an iterator of input tuples to an iterator of output tuples."""
+def map_rows(df: DataFrame, rows, schema: str | T.StructType, size: int = ROWS_OUT) -> DataFrame:
+    """``rows`` maps an iterator of input tuples to an iterator of output tuples, sent ``size`` at a time."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        yield from batches_of(rows(rows_in(batches)), arrow)
+        yield from batches_of(rows(rows_in(batches)), arrow, size)
 
     return df.mapInArrow(run, kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import fingerprint, langid, lexical_search, line_dedup, mixing, neighbours, packing, pii, quality, shingle_join, spelling, substring_dedup
+from candlewick.llm import class_ngrams, fingerprint, langid, lexical_search, line_dedup, mixing, neighbours, packing, pii, quality, shingle_join, spelling, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ngram_jaccard": shingle_join.op10_ngram_jaccard,
+    "op11_class_ngrams": class_ngrams.op11_class_ngrams,
     "op12_spelling": spelling.op12_spelling,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }

@@ -24,7 +24,7 @@ def test_against_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in QUERIES}
+    assert {f"op{i}_" for i in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in QUERIES}
     assert "pipeline" in entry.queries() and set(QUERIES) <= set(entry.queries())
 
 
