@@ -98,10 +98,11 @@ def test_exchange_round(monkeypatch):
     monkeypatch.setattr(class_ngrams, "CLASSES", 4)
     monkeypatch.setattr(class_ngrams, "STRIP", 7)
     random = np.random.default_rng(3)
-    words = np.sort(random.integers(0, 30, 200))
-    words, context, n = class_ngrams._merged(words, random.choice([0, 1, 2, 3, 516, 517, 518], 200), random.integers(1, 9, 200))
+    words, side = random.integers(0, 30, 400), class_ngrams.SIDE
+    left, right = random.choice([0, 1, 2, 512, 513], 400), random.choice([0, 1, 3, 512, 513], 400) + side
+    words, context, n = class_ngrams._merged(np.tile(words, 2), np.concatenate([left, right]), np.ones(800))
     cls = random.integers(0, 4, len(np.unique(words))).astype(np.uint8)
-    sums = np.zeros((2 * class_ngrams.SIDE, 4))
+    sums = np.zeros((2 * side, 4))
     np.add.at(sums, (context, np.repeat(cls, np.unique(words, return_counts=True)[1])), n)
     for turn in (0, 1):
         got = class_ngrams.exchanged(cls, words, context, n, sums, turn).tolist()
