@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("volume", "ingest", "adaptive", "price", "changes", "host", "sources", "streaming")
+TOPICS = ("volume", "ingest", "adaptive", "price", "changes", "host", "sources", "streaming", "layouts")
 
 
 def _collect(attribute: str) -> dict:

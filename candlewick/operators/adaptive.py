@@ -8,7 +8,10 @@ The model looks sequential, but every remembered quantity is one of three kinds:
 * a clamped product or sum (half-life, adaptation rate), and chains of
   ``clamp(m * x)`` / ``clamp(x + d)`` steps are again one such step.
 
-So a history can be cut.  A segment is started ``WARM_ROWS`` rows early; by then
+Steps of each kind compose into one step of the same kind, so all running values of a
+block come from parallel scans (doubling) instead of a loop over rows.
+
+A history can be cut too.  A segment is started ``WARM_ROWS`` rows early; by then
 a difference in the starting averages has shrunk by 0.95**1024 < 1e-22, below
 the resolution of a double.  The clamped chains are kept as *composed steps from
 the segment start* and joined with the segment's true starting value.
@@ -90,60 +93,79 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-v))
 
 
-def _faded(values: np.ndarray, alpha: float, restart: np.ndarray, initial: float, x: float) -> np.ndarray:
+def _scan(maps: list[np.ndarray], position: np.ndarray, compose) -> list[np.ndarray]:
+    """Composition of the maps of a segment's rows up to each row; a map is one value of each array.
+
+    ``position`` counts the rows of the segment before a row.  By doubling: after step d a row holds the
+    composition of the last 2 d rows, so the number of passes is the logarithm of the longest segment.
+    """
+    maps, reach = [m.copy() for m in maps], 1
+    longest = int(position.max(initial=0))
+    while reach <= longest:
+        later = np.flatnonzero(position >= reach)
+        for held, value in zip(maps, compose([m[later - reach] for m in maps], [m[later] for m in maps])):
+            held[later] = value
+        reach *= 2
+    return maps
+
+
+def _affine(first: list[np.ndarray], then: list[np.ndarray]) -> tuple:
+    """x -> a x + b."""
+    return first[0] * then[0], then[0] * first[1] + then[1]
+
+
+def _floored(first: list[np.ndarray], then: list[np.ndarray]) -> tuple:
+    """x -> max(lo, a x + b), a >= 0."""
+    return (*_affine(first[:2], then[:2]), np.maximum(then[2], then[0] * first[2] + then[1]))
+
+
+def _clamped_product(first: list[np.ndarray], then: list[np.ndarray]) -> tuple:
+    """x -> min(hi, max(lo, gain x)), gain > 0."""
+    return first[0] * then[0], np.clip(first[1] * then[0], then[1], then[2]), np.clip(first[2] * then[0], then[1], then[2])
+
+
+def _clamped_sum(first: list[np.ndarray], then: list[np.ndarray]) -> tuple:
+    """x -> min(hi, max(lo, x + shift)), with the extremes of the unclamped path."""
+    return (
+        first[0] + then[0], np.clip(first[1] + then[0], then[1], then[2]), np.clip(first[2] + then[0], then[1], then[2]),
+        np.minimum(first[3], first[0] + then[3]), np.maximum(first[4], first[0] + then[4]),
+    )
+
+
+def _faded(values: np.ndarray, alpha: float, restart: np.ndarray, position: np.ndarray, initial: float, x: float) -> np.ndarray:
     """Exponential average per segment; ``initial`` is the value before a first row,
     ``x`` the value to continue from where the block does not begin with one."""
-    out, keep = [], 1.0 - alpha
-    for value, first in zip(values.tolist(), restart.tolist()):
-        x = keep * (initial if first else x) + alpha * value
-        out.append(x)
-    return np.array(out)
-
-
-def _reference_and_scale(price: np.ndarray, restart: np.ndarray, ref: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    refs, scales = [], []
-    for p, first in zip(price.tolist(), restart.tolist()):
-        if first:
-            ref, scale = p, 1.0
-        else:
-            ref += REF_ALPHA * (p - ref)
-            scale = 0.95 * scale + 0.05 * abs(p - ref)
-            if scale < MIN_SCALE:
-                scale = MIN_SCALE
-        refs.append(ref)
-        scales.append(scale)
-    return np.array(refs), np.array(scales)
-
-
-def _composed_products(m: np.ndarray, restart: np.ndarray, lo: float, hi: float):
+    keep = np.full(len(values), 1.0 - alpha)
+    gain, shift = _scan([keep, alpha * values], position, _affine)
+    first = restart[np.arange(len(values)) - position]
+    return gain * np.where(first, initial, x) + shift
+
+
+def _gap_and_scale(price: np.ndarray, restart: np.ndarray, position: np.ndarray, ref: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Reference minus price, and scale.
+
+    In differences of prices: at a constant price the gap only shrinks, and no rounding of the reference enters.
+    """
+    keep = 1.0 - REF_ALPHA
+    moved = np.empty(len(price))
+    moved[1:] = price[:-1] - price[1:]
+    moved[position == 0] = ref - price[position == 0]
+    fixed = restart & (position == 0)  # a history begins at its own price with scale one
+    gap = _scan([np.where(position == 0, 0.0, keep), np.where(fixed, 0.0, keep * moved)], position, _affine)[1]
+    a, b, lo = _scan(
+        [np.where(fixed, 0.0, 0.95), np.where(fixed, 1.0, 0.05 * np.abs(gap)), np.where(fixed, 1.0, MIN_SCALE)], position, _floored
+    )
+    return gap, np.maximum(lo, a * scale + b)
+
+
+def _composed_products(m: np.ndarray, position: np.ndarray, lo: float, hi: float):
     """x -> min(hi_t, max(lo_t, gain_t * x)) after each row since the segment start."""
-    gains, los, his = [], [], []
-    g, a, b = 1.0, 0.0, np.inf
-    for step, first in zip(m.tolist(), restart.tolist()):
-        if first:
-            g, a, b = 1.0, 0.0, float("inf")
-        g, a, b = g * step, min(max(a * step, lo), hi), min(max(b * step, lo), hi)
-        gains.append(g)
-        los.append(a)
-        his.append(b)
-    return np.array(gains), np.array(los), np.array(his)
-
-
-def _composed_sums(d: np.ndarray, restart: np.ndarray, lo: float, hi: float):
+    return _scan([m, np.full(len(m), lo), np.full(len(m), hi)], position, _clamped_product)
+
+
+def _composed_sums(d: np.ndarray, position: np.ndarray, lo: float, hi: float):
     """The additive counterpart, with the extremes of the unclamped path."""
-    shifts, los, his, mins, maxs = [], [], [], [], []
-    s, a, b, least, most = 0.0, -np.inf, np.inf, 0.0, 0.0
-    for step, first in zip(d.tolist(), restart.tolist()):
-        if first:
-            s, a, b, least, most = 0.0, float("-inf"), float("inf"), 0.0, 0.0
-        s, a, b = s + step, min(max(a + step, lo), hi), min(max(b + step, lo), hi)
-        least, most = min(least, s), max(most, s)
-        shifts.append(s)
-        los.append(a)
-        his.append(b)
-        mins.append(least)
-        maxs.append(most)
-    return tuple(np.array(x) for x in (shifts, los, his, mins, maxs))
+    return _scan([d, np.full(len(d), lo), np.full(len(d), hi), np.minimum(d, 0.0), np.maximum(d, 0.0)], position, _clamped_sum)
 
 
 #: What one row leaves behind for the next one.
@@ -155,7 +177,7 @@ FRESH = {
 
 
 def adaptive_kernel(block: Block, carried: dict[str, float] | None = None) -> dict[str, np.ndarray]:
-    """All per-row state of complete segments, vectorised except four short scans.
+    """All per-row state of complete segments.
 
     With ``carried`` the block is one piece of a single history that continues
     from those values.
@@ -166,13 +188,16 @@ def adaptive_kernel(block: Block, carried: dict[str, float] | None = None) -> di
     start = (block.position == 0) & (carried is None)
     own = ~block.mask("halo")
     own_first = own & (block.lag(own.astype("float64"), 0.0) == 0)
+    row = np.arange(block.rows)
+    own_position = np.where(own, row - np.maximum.accumulate(np.where(own_first, row, 0)), 0)
 
-    reference, scale = _reference_and_scale(price, start, past["reference"], past["scale"])
-    volume_reference = _faded(volume, VOLUME_ALPHA, start, FRESH["volume_reference"], past["volume_reference"])
+    away, scale = _gap_and_scale(price, start, block.position, past["reference"], past["scale"])
+    reference = price + away
+    volume_reference = _faded(volume, VOLUME_ALPHA, start, block.position, FRESH["volume_reference"], past["volume_reference"])
     gap = np.where(start, 1.0, np.maximum(0.0, at - block.lag(at, past["event_time"])))
     dt = np.maximum(DT_FLOOR, gap) + EPSILON
 
-    level = (price - reference) / np.maximum(scale, EPSILON)
+    level = -away / np.maximum(scale, EPSILON)
     prev_level = block.lag(level, past["level"])
     free = (level - prev_level) / dt
     velocity = np.clip(free, -VELOCITY_BOUND, VELOCITY_BOUND)
@@ -229,7 +254,7 @@ def adaptive_kernel(block: Block, carried: dict[str, float] | None = None) -> di
     )
     penalty = np.minimum(1.0, np.abs(acceleration) / (1.0 + np.abs(acceleration)))
     agreement = np.clip((velocity * prev_velocity >= 0.0) - penalty * 0.25 - np.where(adverse, 0.4, 0.0), 0.0, 1.0)
-    persistence = _faded(agreement, PERSISTENCE_ALPHA, start, FRESH["persistence"], past["persistence"])
+    persistence = _faded(agreement, PERSISTENCE_ALPHA, start, block.position, FRESH["persistence"], past["persistence"])
     reversal = _sigmoid(
         REVERSAL["oppose"] * (velocity * acceleration < 0.0)
         + REVERSAL["contradict"] * adverse
@@ -241,9 +266,9 @@ def adaptive_kernel(block: Block, carried: dict[str, float] | None = None) -> di
 
     step = np.clip(1.0 + persistence * strength * 0.2, *REINFORCE) * np.clip(1.0 - uncertainty * 0.35, *CONTRADICT)
     step = np.where(adverse, step * 0.75, step)
-    half = _composed_products(step, own_first, HALF_LIFE[1], HALF_LIFE[2])
+    half = _composed_products(step, own_position, HALF_LIFE[1], HALF_LIFE[2])
     eta = LEARNING[0] * np.maximum(0.2, 1.0 - uncertainty) * np.maximum(0.5, strength) * multiplier
-    rate = _composed_sums(np.clip(eta, LEARNING[1], LEARNING[2]) * (strength - uncertainty) * 0.1, own_first, RATE[1], RATE[2])
+    rate = _composed_sums(np.clip(eta, LEARNING[1], LEARNING[2]) * (strength - uncertainty) * 0.1, own_position, RATE[1], RATE[2])
 
     return {
         "reference": reference,
@@ -298,16 +323,6 @@ def takeable() -> Column:
     return S.finite("price") & S.finite("v_raw") & F.col("interval_start").isNotNull()
 
 
-def admit(obs: DataFrame, layout: G.Layout) -> DataFrame:
-    """Rows the model takes: readable ones, the first of each time.
-
-    Rows are stepped in the order of their times, so a repeated time is the only one that fails to increase.
-    """
-    fit = G.bucketed_by_time(obs.filter(takeable()), layout)
-    before = F.lag("interval_start").over(G.in_order(fit, layout))
-    return fit.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col("interval_start"))).drop("_before")
-
-
 def admission(obs: DataFrame, order: str, layout: G.Layout | None = None) -> DataFrame:
     """``skip_reason`` for observations in any order: time must increase along ``order``.
 
@@ -317,7 +332,7 @@ def admission(obs: DataFrame, order: str, layout: G.Layout | None = None) -> Dat
     laid = G.lay_out(obs, layout, 0).filter(~F.col("halo"))
     laid = G.carry_max(laid, layout, "_last", F.when(takeable(), F.col("interval_start")), inclusive=False)
     late = F.col("_last").isNotNull() & (F.col("interval_start") <= F.col("_last"))
-    return laid.withColumn("skip_reason", F.when(~takeable(), "INVALID_INPUT").when(late, "DUPLICATE_OR_REGRESSION")).drop("_last", "seg", "halo", "rn")
+    return laid.withColumn("skip_reason", F.when(~takeable(), "INVALID_INPUT").when(late, "DUPLICATE_OR_REGRESSION")).drop("_last", "_k", "seg", "halo", "rn")
 
 
 def _path(tau: Column) -> Column:
@@ -449,7 +464,6 @@ def _segment_starts(ends: DataFrame, layout: G.Layout) -> DataFrame:
 
     A streaming pass over one summary row per segment; the state is five scalars.
     """
-    keys = list(layout.keys)
     schema = T.StructType(
         [ends.schema[k] for k in layout.groups]
         + [T.StructField(n, T.DoubleType()) for n in ("half0", "rate0")]
@@ -464,11 +478,10 @@ def _segment_starts(ends: DataFrame, layout: G.Layout) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                here = tuple(row[k] for k in keys)
-                if here != key:
-                    key, state = here, fresh
+                if row["_k"] != key:
+                    key, state = row["_k"], fresh
                 half, rate, gap, clip, hit, side = state
-                out.append((*here, row["seg"], *state))
+                out.append((key, row["seg"], *state))
                 left = rate + row["rate_min"] < RATE[1] or rate + row["rate_max"] > RATE[2]
                 state = (
                     min(row["half_hi"], max(row["half_lo"], row["half_gain"] * half)),
@@ -480,7 +493,7 @@ def _segment_starts(ends: DataFrame, layout: G.Layout) -> DataFrame:
                 )
             yield pd.DataFrame(out, columns=names)
 
-    return ends.repartition(*keys).sortWithinPartitions(*layout.groups).mapInPandas(run, schema)
+    return ends.repartition("_k").sortWithinPartitions(*layout.groups).mapInPandas(run, schema)
 
 
 def adaptive_steps(bars: DataFrame, layout: G.Layout | None = None) -> tuple[DataFrame, G.Layout]:
@@ -489,8 +502,10 @@ def adaptive_steps(bars: DataFrame, layout: G.Layout | None = None) -> tuple[Dat
     Rows marked ``halo`` are the 15 context rows in front of a segment.
     """
     layout = layout or G.Layout.of(["symbol"])
-    obs = admit(adaptive_observations(bars, [k for k in layout.keys if k != "symbol"]), layout)
-    laid = G.lay_out(obs, layout, WARM_ROWS)
+    obs = adaptive_observations(bars, [k for k in layout.keys if k != "symbol"])
+    # The model takes readable rows, the first of each time: stepped in the order of their times, a repeated one is the
+    # only one that fails to increase.
+    laid = G.lay_out(obs.filter(takeable()), layout, WARM_ROWS, first_of_each=True)
     stepped = run_segments(laid, layout.groups, "rn", adaptive_kernel, STATE_FIELDS)
     near = F.col("rn") > F.col("seg") * layout.rows - CONTEXT
     stepped = stepped.filter(~F.col("halo") | near)
@@ -505,7 +520,7 @@ def decisions(bars: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     df = df.withColumns({"side": F.when(warm, decide()), "valid": score_checks(df)}).drop("halo")
     df = stage(df)
     starts = _segment_starts(_segment_ends(df, layout), layout)
-    df = G.join_null_safe(df, starts, layout.groups)
+    df = df.join(starts, layout.groups)
     w = layout.window
     run = G.so_far(w)
     traded = F.when(F.col("side").isin("BUY", "SELL"), F.col("side"))

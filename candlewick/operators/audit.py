@@ -25,7 +25,7 @@ def neighbours(changes: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     layout = (layout or G.Layout.of(KEY)).along(KEY, "position")
     laid = G.lay_out(changes, layout, 1)
     before = F.lag(F.struct("transition_id", "sequence", "current")).over(layout.window)
-    return laid.withColumn("before", before).filter(~F.col("halo")).drop("halo", "seg", "rn")
+    return laid.withColumn("before", before).filter(~F.col("halo")).drop("halo", "_k", "seg", "rn")
 
 
 def sequence_report(changes: DataFrame, layout: G.Layout | None = None) -> DataFrame:

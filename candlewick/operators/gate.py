@@ -44,7 +44,6 @@ def with_reset_epoch(arrivals: DataFrame, resets: DataFrame, order: str = "arriv
     rows = arrivals.withColumn("_pos", F.col(order) * 2 + 1)
     both = rows.unionByName(marks, allowMissingColumns=True)
     layout = (layout or G.Layout.of(["symbol"])).along(["symbol"], "_pos")
-    layout = layout.split(layout.rows, layout.bucket_seconds * 2)
     laid = G.lay_out(both, layout, 0)
     carried = G.carry_last(laid, layout, {"epoch": F.col("_reset")})
     return carried.filter(F.col("_reset").isNull()).select(*arrivals.columns, F.coalesce("epoch", F.lit(0)).alias("epoch"))
@@ -66,7 +65,7 @@ def gate(arrivals: DataFrame, order: str = "arrival", layout: G.Layout | None =
     layout = (layout or G.Layout.of(keys)).along(keys, order)
     aligned = S.minute_aligned("interval_start")
     numbers = S.finite("close") & S.finite(F.col("volume").cast("double"))
-    may_commit = F.col("infer") & S.model_eligible() & aligned & numbers
+    may_commit = F.coalesce(F.col("infer") & S.model_eligible() & aligned & numbers, F.lit(False))
     laid = G.lay_out(arrivals, layout, 0).drop("halo")
     # A lost bar is only noticed on an irregular step, and what it latches skips
     # every later row, so the running maximum needs no knowledge of the latch.
@@ -94,7 +93,7 @@ def gate(arrivals: DataFrame, order: str = "arrival", layout: G.Layout | None =
             .when(F.col("gate") == "INPUT_GAP", F.concat(detail, F.lit(" proven_missing_eligible"))),
             "committed": (F.col("gate") == "PASS") & may_commit,
         }
-    ).drop("_last", "_class", "_gap", "_latched", "rn", "seg")
+    ).drop("_last", "_class", "_gap", "_latched", "rn", "_k", "seg")
 
 
 def decision_outcomes(gated: DataFrame) -> DataFrame:
@@ -116,7 +115,7 @@ def decision_outcomes(gated: DataFrame) -> DataFrame:
         F.concat(F.col("symbol"), F.lit(":host:"), F.col("arrival")).alias("event_id"),
     )
     arrivals = accepted.select(*key, "arrival")
-    return made.join(arrivals, key).unionByName(skipped, allowMissingColumns=True)
+    return G.join_null_safe(made, arrivals, key).unionByName(skipped, allowMissingColumns=True)
 
 
 def joint_commit(gated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

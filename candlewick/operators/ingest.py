@@ -23,12 +23,11 @@ def finalized(bars: DataFrame) -> DataFrame:
 def latest_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One newest row per key; of rows equal in ``order`` any one.
 
-    A first aggregate carries only the order, so its buffers stay small; the rows that hold
-    the largest one come back by a join on the same keys.
+    The rank filter becomes a group limit in front of the shuffle: a task sends one row of each key it
+    holds, so a hot key is one row per task.
     """
-    slim = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_newest"))
-    newest = G.join_null_safe(df, slim, keys).filter(F.struct(*order).eqNullSafe(F.col("_newest"))).drop("_newest")
-    return newest.dropDuplicates(keys)
+    newest_first = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    return df.withColumn("_age", F.row_number().over(newest_first)).filter(F.col("_age") == 1).drop("_age")
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
@@ -101,11 +100,12 @@ def resolve_revisions_exact(arrivals: DataFrame, arrival: str = "arrival") -> Da
     equal the stored partial (the snapshot id does not cover finality).
 
     The revisions of one minute are folded as slim structs; the row that survives comes back by its arrival number.
+    A NULL arrival comes first; of several rows with one arrival number any one stays.
     """
     keys = ["symbol", "interval_start"]
     folded = arrivals.groupBy(*keys).agg(F.sort_array(F.collect_list(_slim(F.col(arrival)))).alias("_all"))
     winner = folded.select(*keys, _replayed(F.col("_all"))["row"]["o0"].alias("_winner"))
-    return G.join_null_safe(arrivals, winner, keys).filter(F.col(arrival) == F.col("_winner")).drop("_winner")
+    return G.join_null_safe(arrivals, winner, keys).filter(F.col(arrival).eqNullSafe(F.col("_winner"))).drop("_winner").dropDuplicates(keys)
 
 
 def gap_fill(store: DataFrame, history: DataFrame, as_of: Column, start: Column | None = None, end: Column | None = None, order: str | None = None):
@@ -120,7 +120,7 @@ def gap_fill(store: DataFrame, history: DataFrame, as_of: Column, start: Column
     last = store.groupBy("symbol").agg(F.max("interval_start").alias("_last"))
     low = start if start is not None else F.coalesce("_last", as_of - F.expr(f"INTERVAL {GAP_FILL_MINUTES} MINUTES"))
     high = end if end is not None else as_of
-    wanted = history.join(last, "symbol", "left").filter((F.col("interval_start") >= low) & (F.col("interval_start") <= high))
+    wanted = G.join_null_safe(history, last, ["symbol"], "left").filter((F.col("interval_start") >= low) & (F.col("interval_start") <= high))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*([order] if order else []), F.struct(*_GENERATION), "market_snapshot_id"))
     both = store.select(*store.columns, F.lit(0).alias("_nth")).unionByName(wanted.select(*store.columns, nth.alias("_nth")))
     folded = both.groupBy(*keys).agg(F.sort_array(F.collect_list(_slim(F.col("_nth")))).alias("_all"))
@@ -130,7 +130,7 @@ def gap_fill(store: DataFrame, history: DataFrame, as_of: Column, start: Column
         *keys, done["row"]["o0"].alias("_winner"),
         (F.size("_all") - stored.cast("int")).alias("fetched"), (done["taken"] - stored.cast("int")).alias("injected"),
     )
-    merged = both.join(folded.select(*keys, "_winner"), keys).filter("_nth = _winner").select(*store.columns)
+    merged = G.join_null_safe(both, folded.select(*keys, "_winner"), keys).filter("_nth = _winner").select(*store.columns)
     counts = (
         folded.groupBy("symbol")
         .agg(F.sum("fetched").alias("fetched"), F.sum("injected").alias("injected"))
@@ -173,7 +173,7 @@ def classify_continuity(bars: DataFrame, step_seconds: int = 60, layout: G.Layou
             "continuity": continuity_class(F.col("_prev"), F.col("interval_start"), step_seconds),
             "elapsed_s": elapsed_seconds(F.col("_prev"), F.col("interval_start")),
         }
-    ).drop("_prev", "seg", "halo")
+    ).drop("_prev", "_k", "seg", "halo")
 
 
 def classify_arrivals(arrivals: DataFrame, arrival: str = "arrival", layout: G.Layout | None = None) -> DataFrame:
@@ -191,7 +191,7 @@ def classify_arrivals(arrivals: DataFrame, arrival: str = "arrival", layout: G.L
             "continuity": continuity_class(F.col("last_accepted"), F.col("interval_start")),
             "elapsed_s": elapsed_seconds(F.col("last_accepted"), F.col("interval_start")),
         }
-    ).drop("seg", "halo", "rn")
+    ).drop("_k", "seg", "halo", "rn")
 
 
 def model_path(arrivals: DataFrame, arrival: str = "arrival", layout: G.Layout | None = None) -> DataFrame:
@@ -220,7 +220,6 @@ def has_eligible_between(bars: DataFrame, ranges: DataFrame, layout: G.Layout |
     )
     both = marks.unionByName(asks).withColumn("_pos", F.unix_micros("_at") * 2 + F.col("_kind"))
     layout = (layout or G.Layout.of(["symbol"])).along(["symbol"], "_pos")
-    layout = layout.split(layout.rows, layout.bucket_seconds * 2_000_000)
     laid = G.lay_out(both, layout, 0)
     found = G.carry_last(laid, layout, {"_last": F.col("_hit")}, inclusive=False)
     return found.filter(F.col("_kind") == 0).select(
@@ -255,8 +254,7 @@ def infer_ready(bars: DataFrame, as_of: Column, order: str = "interval_start") -
         "symbol", (S.model_eligible() & S.live_fresh(as_of)).alias("last_ok"), "interval_start"
     )
     return (
-        contiguous_finalized(bars, MIN_CONTIGUOUS, order)
-        .join(last, "symbol")
+        G.join_null_safe(contiguous_finalized(bars, MIN_CONTIGUOUS, order), last, ["symbol"])
         .select("symbol", F.col("interval_start").alias("last_final"), (F.col("contiguous") & F.col("last_ok")).alias("infer_ready"))
     )
 

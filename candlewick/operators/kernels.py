@@ -54,16 +54,24 @@ class Block:
         return out
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it; NULL is a value of its own, structs differ where a field does."""
+    here, before = column.slice(1), column.slice(0, len(column) - 1)
+    if pa.types.is_struct(column.type):
+        return np.logical_or.reduce([_differs(field) for field in column.flatten()])
+    one_is_null = pc.xor(here.is_null(), before.is_null())
+    differs = pc.if_else(one_is_null, True, pc.fill_null(pc.not_equal(here, before), False))
+    return differs.to_numpy(zero_copy_only=False)
+
+
 def _first_rows(table: pa.Table, groups: list[str]) -> np.ndarray:
     """Indices at which a new (key, segment) begins."""
     changed = np.zeros(table.num_rows, dtype=bool)
     if table.num_rows:
         changed[0] = True
     for name in groups:
-        column = table.column(name).combine_chunks()
         if table.num_rows > 1:
-            differs = pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1))
-            changed[1:] |= differs.to_numpy(zero_copy_only=False).astype(bool)
+            changed[1:] |= _differs(table.column(name).combine_chunks())
     return np.flatnonzero(changed)
 
 

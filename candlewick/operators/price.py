@@ -242,7 +242,7 @@ def _with_runs(df: DataFrame, layout: G.Layout, shown: str, run: str, flips: Cal
         *layout.groups, "_off", "_prev",
         F.last("_calm_end", ignorenulls=True).over(along).alias("_calm0"), F.last("_begun_end", ignorenulls=True).over(along).alias("_begun0"),
     )
-    df = G.join_null_safe(df, carried, layout.groups)
+    df = df.join(carried, layout.groups)
     df = df.withColumns({"em": F.col("_off") + F.col("_in"), "_p": F.coalesce("_p", "_prev")})
     df = df.withColumns({flag: own & flips_(F.col("_p.shown"), F.col), "_starts": own & starts(F.col(run), F.col("_p.run"))})
     return df.withColumns(

@@ -1,11 +1,13 @@
 """Splitting long ordered histories so that no task ever holds one whole key.
 
 A per-symbol window over an unbounded history puts a hot symbol in one task.
-Instead every symbol is cut into *segments* of consecutive rows:
+Instead the rows are put in order once, and every symbol is cut into *segments* of
+consecutive rows:
 
-* rows are counted per (key, time bucket) and only those counts are accumulated
-  along the key, so each row gets its exact per-key position ``rn`` while the
-  rows themselves are ranked inside one bucket;
+* rows are range-partitioned and sorted by (key, time), so ranges split a hot key as they
+  split the rest, and written in that order; per (key, range) the number of rows is
+  one row of a small frame, whose sums along the key turn places within ranges
+  into exact positions ``rn``;
 * positions turn into segments of ``rows`` rows, and the last ``halo`` rows of a
   segment are copied in front of the next one, so that bounded frames (last 3,
   15, 30 rows) see exactly what an uncut window would see;
@@ -13,7 +15,9 @@ Instead every symbol is cut into *segments* of consecutive rows:
   segment borders through one summary row per segment.
 
 There is one layout for every size.  Keys and order values may be NULL: NULL keys
-are a key of their own, NULL order values come first.
+are a key of their own, NULL order values come first.  ``_k`` holds the key values in a
+struct, which is never NULL, so that windows, sums and joins per segment share one
+exchange of the rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from candlewick.session import stage
+
 SEGMENT_ROWS = 65_536
-BUCKET_SECONDS = 86_400
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -42,14 +47,10 @@ class Layout:
     keys: tuple[str, ...]
     ts: str
     rows: int = SEGMENT_ROWS
-    bucket_seconds: int = BUCKET_SECONDS
 
     @staticmethod
-    def of(keys: list[str], ts: str = "interval_start", rows: int = SEGMENT_ROWS, bucket_seconds: int = BUCKET_SECONDS) -> Layout:
-        return Layout(tuple(keys), ts, rows, bucket_seconds)
-
-    def split(self, rows: int, bucket_seconds: int) -> Layout:
-        return replace(self, rows=rows, bucket_seconds=bucket_seconds)
+    def of(keys: list[str], ts: str = "interval_start", rows: int = SEGMENT_ROWS) -> Layout:
+        return Layout(tuple(keys), ts, rows)
 
     def along(self, keys: list[str], ts: str) -> Layout:
         """The same sizes for another key or order of the same rows."""
@@ -57,44 +58,36 @@ class Layout:
 
     @property
     def groups(self) -> list[str]:
-        return [*self.keys, "seg"]
+        return ["_k", "seg"]
 
     @property
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.groups).orderBy("rn")
 
 
-def bucketed_by_time(df: DataFrame, layout: Layout) -> DataFrame:
-    """Add ``_bucket``, the stretch of the key in which a row is ranked."""
-    ts = layout.ts
-    if "_bucket" in df.columns:
-        return df
-    position = F.unix_seconds(F.col(ts)) if dict(df.dtypes)[ts] == "timestamp" else F.col(ts)
-    return df.withColumn("_bucket", F.floor(position / F.lit(layout.bucket_seconds)))
-
-
-def in_order(df: DataFrame, layout: Layout) -> WindowSpec:
-    """Rows of a bucket; of equal times the smaller snapshot id comes first."""
+def in_ranges(df: DataFrame, layout: Layout, first_of_each: bool = False) -> DataFrame:
+    """Rows in order over the partitions.  ``first_of_each`` keeps one row of each key and time; of equal times the smaller
+    snapshot id comes first."""
     tie = [c for c in ("market_snapshot_id",) if c in df.columns and c != layout.ts]
-    return Window.partitionBy(*layout.keys, "_bucket").orderBy(layout.ts, *tie)
-
-
-def number_rows(df: DataFrame, layout: Layout) -> DataFrame:
-    """Exact 1-based position ``rn`` of every row within its key."""
-    keys = layout.keys
-    bucketed = bucketed_by_time(df, layout)
-    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
-    )
-    inside = in_order(bucketed, layout)
-    return (
-        join_null_safe(bucketed, offsets, [*keys, "_bucket"])
-        .withColumn("rn", (F.col("_before") + F.row_number().over(inside)).cast("long"))
-        .drop("_bucket", "_before")
-    )
+    tasks = task_count(df)
+    if not first_of_each:
+        return df.repartitionByRange(tasks, *layout.keys, layout.ts, *tie).sortWithinPartitions(*layout.keys, layout.ts, *tie)
+    # rows of one key and time lie in one range, so this window needs no exchange of its own
+    ranged = df.repartitionByRange(tasks, *layout.keys, layout.ts)
+    nth = F.row_number().over(Window.partitionBy(*layout.keys, layout.ts).orderBy(*(tie or [layout.ts])))
+    return ranged.withColumn("_nth", nth).filter("_nth = 1").drop("_nth").sortWithinPartitions(*layout.keys, layout.ts)
+
+
+def number_rows(df: DataFrame, layout: Layout, first_of_each: bool = False) -> DataFrame:
+    """Exact 1-based position ``rn`` of every row within its key, and the key as ``_k``."""
+    placed = in_ranges(df, layout, first_of_each).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    held = stage(placed.withColumn("_k", F.struct(*layout.keys)))
+    along = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = held.groupBy("_k", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(along), F.lit(0)) - F.col("_first") + 1
+    # written, so that its size is known: where it is small, the join broadcasts it
+    runs = stage(runs.select("_k", "_part", before.alias("_before")))
+    return held.join(runs, ["_k", "_part"]).withColumn("rn", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def task_count(df: DataFrame) -> int:
@@ -103,17 +96,14 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lay_out(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
-    """Add ``rn``, ``seg`` and ``halo``; rows arrive partitioned by key and segment."""
-    numbered = number_rows(df, layout)
+def lay_out(df: DataFrame, layout: Layout, halo: int, first_of_each: bool = False) -> DataFrame:
+    """Add ``_k``, ``rn``, ``seg`` and ``halo``; rows arrive partitioned by key and segment."""
     rows = layout.rows
-    if rows < halo:
-        raise ValueError("a segment must be at least as long as its halo")
+    numbered = number_rows(df.drop("_k"), layout, first_of_each)
     own = F.floor((F.col("rn") - 1) / F.lit(rows))
-    in_tail = F.pmod(F.col("rn") - 1, F.lit(rows)) >= F.lit(rows - halo)
-    here = F.struct(own.alias("seg"), F.lit(False).alias("halo"))
-    ahead = F.struct((own + 1).alias("seg"), F.lit(True).alias("halo"))
-    placed = F.when(in_tail, F.array(here, ahead)).otherwise(F.array(here))
+    # a row is read by its own segment, and by all that begin within the next ``halo`` rows
+    last = F.floor((F.col("rn") - 1 + halo) / F.lit(rows))
+    placed = F.transform(F.sequence(own, last), lambda seg: F.struct(seg.alias("seg"), (seg != own).alias("halo")))
     return numbered.select("*", F.inline(placed)).repartition(task_count(df), *layout.groups)
 
 
@@ -132,7 +122,7 @@ def before(w: WindowSpec) -> WindowSpec:
 
 def along_segments(layout: Layout) -> WindowSpec:
     """Earlier segments of the same key; one summary row each."""
-    return Window.partitionBy(*layout.keys).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("_k").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def carry_last(df: DataFrame, layout: Layout, values: dict[str, Column], inclusive: bool = True) -> DataFrame:
@@ -160,7 +150,7 @@ def carry_last(df: DataFrame, layout: Layout, values: dict[str, Column], inclusi
         *layout.groups, *[F.last(f"_e_{name}", ignorenulls=True).over(along).alias(f"_c_{name}") for name in values]
     )
     return (
-        join_null_safe(tagged, carried, layout.groups, "left")
+        tagged.join(carried, layout.groups, "left")
         .withColumns({name: F.coalesce(expr, F.col(f"_c_{name}")) for name, expr in inside.items()})
         .drop(*spent, *[f"_c_{name}" for name in values])
     )
@@ -174,7 +164,7 @@ def carry_max(df: DataFrame, layout: Layout, out: str, value: Column, inclusive:
     ends = tagged.groupBy(*layout.groups).agg(F.max("_v").alias("_e"))
     carried = ends.select(*layout.groups, F.max("_e").over(along_segments(layout)).alias("_c"))
     return (
-        join_null_safe(tagged, carried, layout.groups, "left")
+        tagged.join(carried, layout.groups, "left")
         .withColumn(out, F.greatest(inside, F.col("_c")))
         .drop("_v", "_c")
     )
@@ -196,7 +186,7 @@ def carry_previous_two(df: DataFrame, layout: Layout, value: Column, out1: str,
     older = F.when(F.col("_e1").isNotNull(), F.struct(F.coalesce("_e2", "_c1").alias("v")))
     carried = ends.withColumn("_c2", F.last(older, ignorenulls=True).over(along)).select(*layout.groups, "_c1", "_c2")
     return (
-        join_null_safe(inner, carried, layout.groups, "left")
+        inner.join(carried, layout.groups, "left")
         .withColumns(
             {
                 out1: F.coalesce("_in1", "_c1"),

@@ -114,10 +114,10 @@ def transitions(events: DataFrame, layout: G.Layout | None = None) -> DataFrame:
     present = events.filter(F.col("state.kind").isNotNull() | F.col("state.code").isNotNull())
     layout = (layout or G.Layout.of(keys)).along(keys, "position")
     laid = G.lay_out(present, layout, 1)
-    laid = laid.withColumn("previous", F.lag("state").over(layout.window)).filter(~F.col("halo")).drop("halo", "seg", "rn")
+    laid = laid.withColumn("previous", F.lag("state").over(layout.window)).filter(~F.col("halo")).drop("halo", "_k", "seg", "rn")
     changed = laid.filter(F.col("previous").isNull() | ~_compared("state").eqNullSafe(_compared("previous")))
     order = layout.along(["stage_id", "entity_id"], "position")
-    numbered = G.number_rows(changed, order).withColumnRenamed("rn", "sequence")
+    numbered = G.number_rows(changed, order).drop("_k").withColumnRenamed("rn", "sequence")
     return numbered.withColumnRenamed("state", "current").withColumns(
         {
             "transition_id": F.concat_ws(":", "stage_id", "entity_id", F.col("sequence")),

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from candlewick.operators import price as P
 from candlewick.operators import price_kernel as K
 from candlewick.operators import transitions as T
 from candlewick.operators import volume as V
+from candlewick.operators.kernels import _first_rows
 from candlewick.operators.segments import Layout
 from candlewick.sources.feeds import decode_feed_json, read_bars_csv
 from candlewick.sources.ticks import with_bar_fields
@@ -76,7 +78,7 @@ def test_confirmation_sequences(spark, raw, shown, texts):
     df = spark.createDataFrame(
         [("AAA", T0 + timedelta(minutes=i), i + 1, i // 2, name[c]) for i, c in enumerate(spread)],
         "symbol string, interval_start timestamp, rn long, seg long, raw_color string",
-    )
+    ).withColumn("_k", F.struct("symbol"))
     out = V.confirm_color(df, Layout.of(["symbol"])).orderBy("rn").collect()
     out = [r for r in out if r.raw_color]
     assert [r.indicator for r in out] == [name[c] for c in shown]
@@ -86,12 +88,12 @@ def test_confirmation_sequences(spark, raw, shown, texts):
 # --- layouts give the same rows --------------------------------------------------
 
 
-@pytest.mark.parametrize("rows, bucket", [(64, 3600), (97, 86400)])
-def test_volume_is_independent_of_segments(spark, rows, bucket):
+@pytest.mark.parametrize("rows", [64, 97])
+def test_volume_is_independent_of_segments(spark, rows):
     b = bars(spark, walk(400) + walk(30, 3, "BBB"))
     cols = ["symbol", "rn", "v_n", "v1", "v2", "interval_mean", "indicator", "transition", "reason"]
     one = rows_of(V.volume_events(b), *cols)
-    assert one == rows_of(V.volume_events(b, Layout.of(["symbol"], rows=rows, bucket_seconds=bucket)), *cols)
+    assert one == rows_of(V.volume_events(b, Layout.of(["symbol"], rows=rows)), *cols)
 
 
 def test_price_is_independent_of_segments(spark):
@@ -104,10 +106,63 @@ def test_decisions_are_independent_of_segments(spark):
     b = bars(spark, walk(2600))
     cols = ["rn", "side", "emitter_position", "model_health", F.round("c", 10), F.round("forward_half_life", 7), F.round("ref_alpha", 10)]
     one = rows_of(A.decisions(b).fillna("-", ["side", "emitter_position"]), *cols)
-    split = A.decisions(b, Layout.of(["symbol"], rows=1100)).fillna("-", ["side", "emitter_position"])
+    split = A.decisions(b, Layout.of(["symbol"], rows=64)).fillna("-", ["side", "emitter_position"])
     assert one == rows_of(split, *cols)
 
 
+@pytest.mark.parametrize("run, cols", [
+    (V.volume_events, ["rn", "v_n", "interval_mean", "indicator", "transition"]),
+    (P.price_events, ["rn", "status", "emission.p1", "emission.color", "cockpit.cockpit_color"]),
+    (A.decisions, ["rn", "c", "strength", "side", "emitter_position"]),
+])
+def test_null_symbol_is_a_history_of_its_own(spark, run, cols):
+    alone, named = bars(spark, walk(80)), bars(spark, walk(80, 3, "BBB"))
+    nameless = bars(spark, walk(90, 5, "CCC")).withColumn("symbol", F.lit(None).cast("string"))
+    both = run(nameless.unionByName(alone).unionByName(named))
+    for symbol, single in (("AAA", run(alone)), ("BBB", run(named)), (None, run(nameless))):
+        got = both.filter(F.col("symbol").eqNullSafe(F.lit(symbol)))
+        assert list(map(repr, rows_of(got, *cols))) == list(map(repr, rows_of(single, *cols)))
+
+
+def test_null_times_keep_their_rows(spark):
+    b = bars(spark, walk(40)).withColumn("arrival", F.monotonically_increasing_id())
+    odd = b.limit(3).withColumns({"interval_start": F.lit(None).cast("timestamp"), "arrival": F.col("arrival") + 10**15})
+    nameless = odd.withColumns({"symbol": F.lit(None).cast("string"), "arrival": F.col("arrival") * 2})
+    every = b.unionByName(odd).unionByName(nameless)
+    assert V.volume_events(every).count() == 46 and P.price_events(every).count() == 46
+    g = H.gate(every)
+    assert g.count() == 46 and g.filter("committed").count() == 40
+    out = H.decision_outcomes(g)
+    assert out.count() == 46 and out.filter("side IS NOT NULL").count() == 25
+    assert I.resolve_revisions_exact(every).count() == 42 == I.resolve_revisions(every).count()
+    merged, counts = I.gap_fill(every.filter("interval_start IS NOT NULL"), nameless.withColumn("interval_start", F.lit(T0)), F.lit(T0))
+    assert merged.count() == 41 and counts.collect()[0].symbol is None
+
+
+def test_segment_borders_between_null_and_named_keys():
+    key = pa.array([{"symbol": s} for s in (None, None, "A", "A", "B", None)], pa.struct([("symbol", pa.string())]))
+    table = pa.table({"_k": key, "seg": [0, 0, 0, 1, 1, 1]})
+    assert _first_rows(table, ["_k", "seg"]).tolist() == [0, 2, 3, 4, 5]
+    assert _first_rows(pa.table({"symbol": [None, None, "A", "A", "B"]}), ["symbol"]).tolist() == [0, 2, 4]
+
+
+def test_scans_equal_loops():
+    rng = np.random.default_rng(4)
+    position = np.concatenate([np.arange(300), np.arange(1), np.arange(77)])
+    start, n = position == 0, len(position)
+    price, step = 100 + np.cumsum(rng.normal(0, 0.3, n)), rng.uniform(0.7, 1.35, n)
+    price[100:190] = price[100]
+    away, scale = A._gap_and_scale(price, start, position, 0.0, 1.0)
+    products = A._composed_products(step, position, 15.0, 900.0)
+    ref = spread = half = None
+    for i in range(n):
+        ref = price[i] if start[i] else ref + A.REF_ALPHA * (price[i] - ref)
+        spread = 1.0 if start[i] else max(0.95 * spread + 0.05 * abs(price[i] - ref), A.MIN_SCALE)
+        half = min(900.0, max(15.0, step[i] * (120.0 if start[i] else half)))
+        assert np.isclose(price[i] + away[i], ref, rtol=1e-12) and np.isclose(scale[i], spread, rtol=1e-9)
+        assert np.isclose(min(products[2][i], max(products[1][i], products[0][i] * 120.0)), half, rtol=1e-12)
+
+
 def test_price_frames_against_lstsq():
     rng = np.random.default_rng(1)
     x = np.sort(rng.uniform(-900, 0, (50, K.POINTS)), axis=1)
