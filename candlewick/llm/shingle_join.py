@@ -16,9 +16,11 @@ Sets with k non-empty parts or fewer emit all of them, and besides the first
 part, both are such sets, and these prefixes meet.
 
 Equal signatures make candidate pairs along stars, never all pairs of a group;
-pairs are verified on the whole sets; a second round tests what the stars left
-open: members of a group that are still in different components, compared as bits
-inside tasks, so that only pairs that may be similar become rows.
+pairs are verified on the whole sets.  A second round tests what the stars left
+open: members of a group that are still in different components.  Groups of one
+leader form a cell, whose members are compared as bits inside tasks; those with a partner that
+bits cannot rule out bring their whole sets, and a task emits the links of a
+spanning forest of what it has verified, fewer than there are members.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm.common import map_rows, rows_in, staged, table, width
+from candlewick.llm.common import ROWS_OUT, map_rows, rows_in, staged, table, width
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity as a fraction
@@ -43,7 +45,10 @@ SLICES = 16
 RECORDS = 1 << 18  # signatures held by a task at once
 BUCKET_RECORDS = 1 << 19  # aimed at per bucket
 FILTER_BITS = 24
-BLOCK = 8192  # members of a group compared in one task
+BLOCK = 8192  # members of a cell compared in one task
+BLOCK_SHINGLES = 1 << 22  # of all members, where whole sets are compared
+SETS_OUT = 64  # sets sent at once
+FINER = 3  # bits of a parity, as a power of two more, where sets are at hand
 _U = np.uint64
 
 
@@ -171,9 +176,9 @@ def signatures(shingles: np.ndarray, weight: np.ndarray, bands: Bands) -> np.nda
     return np.concatenate(out)
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """Bits that are 1 where an odd number of shingles falls; about one to two bits a shingle."""
-    bits = 1 << max(6, int(len(shingles)).bit_length())
+def parity(shingles: np.ndarray, finer: int = 0) -> np.ndarray:
+    """Bits that are 1 where an odd number of shingles falls; about one to two bits a shingle, 2**finer times as many if wished."""
+    bits = 1 << min(24, max(6, int(len(shingles)).bit_length()) + finer)
     odd = np.bincount((shingles >> _U(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
@@ -351,7 +356,7 @@ def _position(doc_id, bits: int = FILTER_BITS):
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)).cast("int")
 
 
-def _picked(docs: DataFrame, keepers: DataFrame, classes: DataFrame, words: int, what, kind: str) -> DataFrame:
+def _picked(docs: DataFrame, keepers: DataFrame, classes: DataFrame, words: int, what, kind: str, size: int = ROWS_OUT) -> DataFrame:
     """(cls, *kind) from ``what(shingles)`` for the classes named.  ``keepers``: (cls, doc_id), a document per class.
 
     A bitmap of fixed size tells which documents may be needed, so that texts are never shuffled; what is
@@ -374,7 +379,7 @@ def _picked(docs: DataFrame, keepers: DataFrame, classes: DataFrame, words: int,
                     done.add(cls)
                     yield cls, *what(shingles)
 
-    return staged(map_rows(docs.select("text", _position(F.col("doc_id")).alias("at")), build, f"cls long, {kind}"))
+    return staged(map_rows(docs.select("text", _position(F.col("doc_id")).alias("at")), build, f"cls long, {kind}", size))
 
 
 def _meet(pairs: DataFrame, found: DataFrame, names: list[str], test) -> DataFrame:
@@ -413,7 +418,7 @@ def _similar(docs: DataFrame, keepers: DataFrame, pairs: DataFrame, words: int,
     def alike(set_a, set_b):
         return similar(np.frombuffer(set_a, _U), np.frombuffer(set_b, _U), num, den)
 
-    sets = _picked(docs, keepers, _ends(pairs), words, lambda s: (s.tobytes(),), "shingles binary")
+    sets = _picked(docs, keepers, _ends(pairs), words, lambda s: (s.tobytes(),), "shingles binary", SETS_OUT)
     return _meet(pairs, sets, ["shingles"], alike)
 
 
@@ -423,8 +428,8 @@ def verified(docs: DataFrame, keepers: DataFrame, pairs: DataFrame, words: int,
     return _similar(docs, keepers, _close(pairs, odd, num, den), words, num, den)
 
 
-def close_in_block(cls, comp, n, odd, left, num: int, den: int):
-    """Pairs (a < b) of different components that sizes and parities leave, among the rows of a block; ``left`` marks
+def close_in_block(comp, n, odd, left, num: int, den: int):
+    """Pairs of places in a block, of different components, that sizes and parities leave; ``left`` marks
     those of the first of two blocks (all, if it meets itself).  Compared as bit matrices, a strip at a time."""
     widths = np.array([len(x) for x in odd])
     itself = left.all()
@@ -448,33 +453,77 @@ def close_in_block(cls, comp, n, odd, left, num: int, den: int):
                 ok = flips * (den + num) <= (den - num) * (n[i][:, None] + n[b][None, :])
                 ok &= np.minimum(n[i][:, None], n[b][None, :]) * den >= np.maximum(n[i][:, None], n[b][None, :]) * num
                 ok &= comp[i][:, None] != comp[b][None, :]
+                if itself and width_a == width_b:
+                    ok &= i[:, None] < b[None, :]
                 x, y = np.nonzero(ok)
-                one, two = cls[i[x]], cls[b[y]]
-                yield np.minimum(one, two), np.maximum(one, two)
+                if len(x):
+                    yield i[x], b[y]
 
 
-def _left_open(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Close pairs among members (gid, cls, comp, n, odd) of a group that are in different components.
+def _cells(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(lead, cls, comp): the members of groups that hold several components, once for all groups of one least class."""
+    placed = shared.select("gid", "cls").distinct().join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    split = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cls").alias("lead")).filter("low <> high")
+    return staged(placed.join(split.select("gid", "lead"), "gid").select("lead", "cls", "comp").distinct())
+
 
-    No pair is a row before it has passed: a block of up to BLOCK members is compared in memory as bits.  Larger
-    groups are dealt into blocks by a hash, and each two blocks meet in a task.
+def _in_blocks(members: DataFrame, payload: str, look, schema: str) -> DataFrame:
+    """Rows of ``look(cls, comp, n, payload, left)`` for each block of a cell with itself, and for each two blocks.
+
+    Cells are dealt into blocks of bounded numbers of members and of shingles by a hash.
     """
     spark = members.sparkSession
-    blocks = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    placed = members.join(blocks, "gid").withColumn("own", own)
+    blocks = members.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "lead").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("gid", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "comp", "n", "odd")
-    dealt = placed.repartition(width(spark), "gid", "low", "high").sortWithinPartitions("gid", "low", "high")
+    placed = placed.select("lead", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "comp", "n", payload)
+    dealt = placed.repartition(width(spark), "lead", "low", "high").sortWithinPartitions("lead", "low", "high", "cls")
 
     def rows(stream):
-        for (_, low, _), block in groupby(stream, key=lambda r: r[:3]):
+        for (lead, low, _), block in groupby(stream, key=lambda r: r[:3]):
             held = list(block)
-            own, cls, comp, n = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6))
-            for a, b in close_in_block(cls, comp, n, [r[7] for r in held], own == low, num, den):
-                yield from zip(a.tolist(), b.tolist())
+            if len(held) > 1:
+                own, cls, comp, n = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5, 6))
+                yield from look(lead, cls, comp, n, [r[7] for r in held], own == low)
+
+    return map_rows(dealt, rows, schema)
+
+
+def _flagged(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(lead, cls): members (lead, cls, comp, n, odd) with a partner in another component that parities leave."""
+
+    def look(lead, cls, comp, n, odd, left):
+        close = np.zeros(len(cls), bool)
+        for i, j in close_in_block(comp, n, odd, left, num, den):
+            close[i] = close[j] = True
+        for c in cls[close].tolist():
+            yield lead, c
 
-    return map_rows(dealt, rows, "a long, b long").distinct()
+    return _in_blocks(members, "odd", look, "lead long, cls long").distinct()
+
+
+def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members (lead, cls, comp, n, shingles) of different components whose sets are similar: of each
+    block so many as join its components as all similar pairs would."""
+
+    def look(lead, cls, comp, n, sets, left):
+        sets = [np.frombuffer(x, _U) for x in sets]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in parent:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for i, j in close_in_block(comp, n, [parity(x, FINER).tobytes() for x in sets], left, num, den):
+            for x, y in zip(i.tolist(), j.tolist()):
+                one, two = root(int(comp[x])), root(int(comp[y]))
+                if one != two and similar(sets[x], sets[y], num, den):
+                    parent[one] = two
+                    yield int(min(cls[x], cls[y])), int(max(cls[x], cls[y]))
+
+    return _in_blocks(members, "shingles", look, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -520,15 +569,14 @@ def near_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     first = candidates(shared.select(F.col("leader").alias("a"), F.col("cls").alias("b")))
     edges = staged(verified(docs, keepers, first, words, num, den))
     comps = components(edges)
-    # second round: groups with members in several components, and their pairs not yet tested
-    placed = shared.select("gid", "cls").distinct().join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    split = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gid")
-    left_open = staged(placed.join(split, "gid"))
-    odd = _parities(docs, keepers, left_open.select("cls"), words)
-    rest = staged(_left_open(left_open.join(odd, "cls"), num, den).join(first, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        edges = edges.union(_similar(docs, keepers, rest, words, num, den))
-        comps = components(edges)
+    # second round: groups with members in several components
+    cells = _cells(shared, comps)
+    odd = _parities(docs, keepers, cells.select("cls"), words)
+    close = staged(cells.join(_flagged(cells.join(odd, "cls"), num, den), ["lead", "cls"]))
+    sets = _picked(docs, keepers, close.select("cls"), words, lambda s: (len(s), s.tobytes()), "n long, shingles binary", SETS_OUT)
+    found_later = staged(_forest(close.join(sets, "cls"), num, den))
+    if found_later.limit(1).count():
+        comps = components(edges.union(found_later))
     smallest = comps.join(keepers, "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_class = keepers.select("cls", F.col("doc_id").alias("own")).join(comps, "cls", "left").join(smallest, "comp", "left")
     by_class = by_class.select("cls", F.coalesce("comp", "cls").alias("comp"), F.coalesce("component_id", "own").alias("component_id"))

@@ -330,17 +330,31 @@ def test_open_pairs_of_all_widths_in_blocks(spark, monkeypatch):
     sets = [random.permutation(whole[:150])[:size] for size in [*range(58, 70), *range(118, 138)]]
     sets += [np.concatenate([whole[:size], random.integers(0, 2**63, 3).astype(np.uint64)]) for size in [*range(58, 70), *range(118, 138)]]
     sets = {int(c): np.unique(s) for c, s in zip(random.permutation(len(sets)), sets)}
-    rows = [(1, c, c, len(s), bytearray(shingle_join.parity(s).tobytes())) for c, s in sets.items()]
-    members = spark.createDataFrame(rows, "gid long, cls long, comp long, n long, odd binary")
+    rows = [(1, c, c, len(s), bytearray(shingle_join.parity(s).tobytes()), bytearray(s.tobytes())) for c, s in sets.items()]
+    members = spark.createDataFrame(rows, "lead long, cls long, comp long, n long, odd binary, shingles binary")
     for num, den in ((75, 100), (20, 100)):  # the second lets widths differ by a factor of four
-        want = set()
+        close, links = set(), []
         for a, b in itertools.combinations(sorted(sets), 2):
             small, large = sorted((len(sets[a]), len(sets[b])))
             odd = [shingle_join.parity(sets[c]) for c in (a, b)]
             if small * den >= large * num and shingle_join.may_be_similar(odd[0], len(sets[a]), odd[1], len(sets[b]), num, den):
-                want.add((a, b))
-        assert sum(shingle_join.parity(sets[a]).size != shingle_join.parity(sets[b]).size for a, b in want) > 20
-        assert {tuple(r) for r in shingle_join._left_open(members, num, den).collect()} == want
+                close.add((a, b))
+            if shingle_join.similar(sets[a], sets[b], num, den):
+                links.append((a, b))
+        assert sum(shingle_join.parity(sets[a]).size != shingle_join.parity(sets[b]).size for a, b in close) > 20
+        flagged = shingle_join._flagged(members.drop("shingles"), num, den)
+        assert {tuple(r) for r in flagged.collect()} == {(1, c) for pair in close for c in pair}
+        found = [tuple(r) for r in shingle_join._forest(members.drop("odd"), num, den).collect()]
+        assert set(found) <= set(links) and joined(found) == joined(links)
+
+
+def joined(links):
+    """Least member reachable from each."""
+    least = {c: c for pair in links for c in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
 
 
 def test_components_awkward(spark):
