@@ -32,7 +32,7 @@ def test_neighbours_exact_with_factor_one(spark):
     rows += [(1000 + i, rows[3][1], 0) for i in range(200)]  # many equal vectors: ties by id
     odd = [(2000, None, 0), (2001, [0.0] * 6, 0), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0], 0), (2003, [float("nan")] + [1.0] * 5, 0), (2004, [float("inf")] + [1.0] * 5, 0), (None, [1.0] * 6, 0), (2005, [1.0, 2.0], 0)]
     df = spark.createDataFrame([(i, v, s, "x", "y") for i, v, s in rows + odd], "vec_id long, embedding array<float>, score int, rank string, shard string")
-    got = neighbours.nearest(df, df.filter("vec_id % 100 = 0 OR vec_id = 2005"), 10, 1.0, shard_rows=100).collect()
+    got = neighbours.nearest(df, df.filter("vec_id % 100 = 0 OR vec_id = 2005"), 10, 1.0, shard_values=800).collect()
     want = plain_nearest([r[:2] for r in rows], [r[:2] for r in rows if r[0] % 100 == 0], 10)
     found = defaultdict(list)
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
