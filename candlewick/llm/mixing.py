@@ -18,8 +18,7 @@ from candlewick.llm.common import staged, table
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_RATIO = 1.5, 2.0
 STEPS, TOLERANCE = 60, 1e-6
-BUCKETS = 256
-SMALL_TABLE = 20_000
+BUCKETS, BUCKET_ROWS = 256, 1 << 14  # of a cell: so many at least, and one for so many documents of the table
 
 
 def word_count(text: Column) -> Column:
@@ -60,17 +59,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return ranked.select("skey", "source_size", "documents", "smallest", F.coalesce(F.least("cap", below), F.col("cap")).alias("target"))
 
 
-def _with(cells: DataFrame, state: DataFrame, small: bool) -> DataFrame:
-    """Cells beside their source's state; a state of few rows (counted) is broadcast."""
-    return cells.join(F.broadcast(state) if small else state, "skey")
-
-
-def balance(cells: DataFrame, sources: DataFrame, max_ratio: float = MAX_RATIO) -> tuple[DataFrame, bool]:
-    """Sources with their lambda, and whether the table is small.
+def balance(cells: DataFrame, sources: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """Sources with their lambda.
 
     A target of zero takes nothing and one at the cap takes ``max_ratio`` of everything; no lambda is sought there.
+    A source that STEPS steps leave unsolved is an error.  The state is written in each step, so that its size is known and
+    Spark broadcasts it where it is below the session's threshold.
     """
-    small = sources.count() <= SMALL_TABLE
     mean = F.col("source_size") / F.col("documents")
     least = F.col("smallest") / mean  # smallest x
     free = (F.col("target") > 0) & (F.col("target") < max_ratio * F.col("source_size") * (1 - 1e-12))
@@ -92,31 +87,34 @@ def balance(cells: DataFrame, sources: DataFrame, max_ratio: float = MAX_RATIO)
         if not state.filter("open").limit(1).count():
             break
         sums = (
-            _with(cells, state.filter("open").select("skey", "mean", "lambda"), small)
+            cells.join(state.filter("open").select("skey", "mean", "lambda"), "skey")
             .groupBy("skey")
             .agg(F.sum(tokens * F.least(raw, F.lit(max_ratio))).alias("got"), F.sum(F.when(raw < max_ratio, tokens * x * raw).otherwise(0.0)).alias("slope"))
         )
         gap = F.col("got") - F.col("target")
         newton = F.col("lambda") - gap / F.col("slope")
-        moved = state.join(F.broadcast(sums) if small else sums, "skey", "left")
+        moved = state.join(sums, "skey", "left")
         moved = moved.withColumns({"low": F.when(F.col("open") & (gap < 0), F.col("lambda")).otherwise(F.col("low")), "high": F.when(F.col("open") & (gap > 0), F.col("lambda")).otherwise(F.col("high"))})
         inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         done = (F.abs(gap) <= TOLERANCE * F.col("target")) | (F.col("high") - F.col("low") <= 1e-14 * F.abs(F.col("high")))
         step = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
         moved = moved.withColumns({"lambda": F.when(F.col("open") & ~done, step).otherwise(F.col("lambda")), "open": F.col("open") & ~F.coalesce(done, F.lit(True))})
         state = staged(moved.drop("got", "slope"))
-    return state, small
+    else:
+        if unsolved := state.filter("open").count():
+            raise RuntimeError(f"{unsolved} sources have no solution after {STEPS} steps")
+    return state
 
 
-def _rates(cells: DataFrame, state: DataFrame, small: bool, max_ratio: float) -> DataFrame:
+def _rates(cells: DataFrame, state: DataFrame, max_ratio: float) -> DataFrame:
     x = F.col("size") / F.col("mean")
     solved = F.least(F.exp(F.least(F.col("lambda") * x, F.lit(50.0))), F.lit(max_ratio))
     at_cap = F.col("target") >= max_ratio * F.col("source_size") * (1 - 1e-12)
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("target") <= 0, F.lit(0.0)).when(at_cap, F.lit(max_ratio)).otherwise(solved)
-    return _with(cells, state.select("skey", "source_size", "target", "mean", "lambda"), small).withColumn("rate", rate)
+    return cells.join(state.select("skey", "source_size", "target", "mean", "lambda"), "skey").withColumn("rate", rate)
 
 
-def cell_copies(cells: DataFrame, state: DataFrame, small: bool, max_ratio: float = MAX_RATIO) -> DataFrame:
+def cell_copies(cells: DataFrame, state: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
     """Whole copies of all documents of a (source, size) cell.
 
     Along increasing sizes the running sum of rates is rounded, so a source misses its target by
@@ -125,19 +123,19 @@ def cell_copies(cells: DataFrame, state: DataFrame, small: bool, max_ratio: floa
     # A source's cells are its distinct sizes: at most as many as its longest text has words.
     upto = Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(F.col("n") * F.col("rate")).over(upto)
-    rated = _rates(cells, state, small, max_ratio).withColumn("upto", F.floor(total + 0.5))
+    rated = _rates(cells, state, max_ratio).withColumn("upto", F.floor(total + 0.5))
     rated = rated.withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("skey").orderBy("size")), F.lit(0)))
     most = F.floor(F.lit(max_ratio)) * F.col("n")
     out = staged(rated.withColumn("copies", F.least(F.greatest("copies", F.lit(0)), most)).select("skey", "size", "n", "source_size", "target", "copies"))
     for _ in range(3):
         missing = out.groupBy("skey").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
-        both = _with(out, missing, small)
+        both = out.join(missing, "skey")
         fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing")) & F.when(F.col("missing") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
         pick = both.filter(fits).groupBy("skey").agg(
             F.min(F.struct(F.abs(F.col("size") - F.abs("missing")).alias("off"), "size")).alias("pick"), F.first(F.signum("missing")).alias("sign")
         )
         pick = pick.select("skey", F.col("pick.size").alias("size"), F.col("sign").cast("long").alias("sign"))
-        out = staged(out.join(F.broadcast(pick) if small else pick, ["skey", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign"))
+        out = staged(out.join(pick, ["skey", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign"))
     return out
 
 
@@ -147,15 +145,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_ratio: float
     Needs doc_id, text and source; other columns are ignored.  NULL text has size 0; documents
     of size 0 take one copy of no words.  A NULL source is a source of its own.  Documents of equal
     source and size are told apart by a hash of their id, so reruns agree; equal rows are
-    interchangeable; text_key is a hash of the text.  An empty table gives no rows.
+    interchangeable; text_key is a hash of the text.  An empty table gives no rows.  Targets that STEPS Newton steps do not
+    reach within TOLERANCE stop the job.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    sized = staged(docs.select("doc_id", F.xxhash64("text").alias("text_key"), source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), bucket.alias("bucket")))
+    sized = staged(docs.select("doc_id", F.xxhash64("text").alias("text_key"), source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size")))
+    buckets = max(BUCKETS, -(-sized.count() // BUCKET_ROWS))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)).cast("int"))
     fine = sized.groupBy("skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     cells = staged(fine.groupBy("skey", "size").agg(F.sum("n").alias("n")))
-    state, small = balance(cells, staged(source_targets(cells, weights, share, max_ratio)), max_ratio)
-    copies = cell_copies(cells, state, small, max_ratio)
-    # Ranks inside a cell: the cell's buckets (256 at most) are numbered by running sums, documents inside a bucket by a window.
+    state = balance(cells, staged(source_targets(cells, weights, share, max_ratio)), max_ratio)
+    copies = cell_copies(cells, state, max_ratio)
+    # Ranks inside a cell: the cell's buckets are numbered by running sums, documents inside a bucket by a window.
     order = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = fine.withColumn("offset", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     offsets = offsets.join(copies, ["skey", "size"])

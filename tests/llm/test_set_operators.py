@@ -96,8 +96,8 @@ def test_mixing_rates_are_the_entropy_optimum(spark):
     cells = spark.createDataFrame([("0a", int(s), int(n)) for s, n in Counter(sizes.tolist()).items()], "skey string, size long, n long")
     for share in (0.3, 1.0, 1.7):
         sources = mixing.source_targets(cells, (1,), share)
-        state, small = mixing.balance(cells, sources)
-        rates = {r["size"]: r.rate for r in mixing._rates(cells, state, small, 2.0).collect()}
+        state = mixing.balance(cells, sources)
+        rates = {r["size"]: r.rate for r in mixing._rates(cells, state, 2.0).collect()}
         low, high, x = -60.0, 60.0, sizes / sizes.mean()
         for _ in range(200):
             middle = (low + high) / 2
