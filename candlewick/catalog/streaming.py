@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from candlewick.catalog import host
 from candlewick.catalog.changes import beats
 from candlewick.catalog.helpers import pick, plain, r
 from candlewick.catalog.sources import scratch
@@ -76,6 +77,19 @@ def decisions(spark, d):
     return pick(got, *KEY, "rn", "c:9", "side", "emitter_position", "forward_half_life:7", "ref_alpha:9", "model_health")
 
 
+def gated_outcomes(spark, d):
+    """Arrivals and resets, landed together in slices by arrival: gate, models and decisions of every epoch."""
+    a = host.flagged(spark, d)
+    marks = a.filter(F.col("interval_start") >= F.lit("2024-01-15").cast("timestamp")).groupBy("symbol").agg(F.min("arrival").alias("arrival"))
+    low, high = a.approxQuantile("arrival", [0.3, 0.6], 0.0)
+    at = F.col("arrival")
+    slices = [at < low, (at >= low) & (at < high), at >= high]
+    both = a.withColumn("is_reset", F.lit(False)).unionByName(marks.withColumn("is_reset", F.lit(True)), allowMissingColumns=True)
+    rows = replay(spark, both, slices)
+    flow = L.stream_outcomes(L.stream_gate(rows.filter("NOT is_reset"), rows.filter("is_reset")))
+    return plain(collected(spark, flow).select(*KEY, "arrival", "epoch", "side", r("c"), "skip_reason", "accepted_sequence"))
+
+
 def prices(spark, d):
     got = collected(spark, L.stream_prices(replay(spark, event_bars(spark, d))))
     return plain(got.select(*KEY, "status", "skip_reason", "raw_color", "color", "cockpit_color", "refined_state", "turn_candidate", "candidate_age", "persistence_count"))
@@ -138,6 +152,7 @@ QUERIES = {
     "stream_dedup_first": first_arrivals,
     "stream_models_decisions": decisions,
     "stream_models_prices": prices,
+    "stream_gated_outcomes": gated_outcomes,
     "late_or_duplicate": late_rows,
     "stream_transitions": transitions,
     "tail_decisions": tail_decisions,
@@ -168,6 +183,7 @@ ORACLE = {
     FROM pb b LEFT JOIN em x ON b.symbol = x.symbol AND b.rn = x.rn + 1)
   SELECT b.symbol, b.interval_start, b.status, CASE WHEN b.status <> 'EMITTED' THEN b.status END AS skip_reason, raw_color, color, cockpit_color, refined_state, CASE WHEN candidate = '' THEN 'NONE' ELSE candidate END AS turn_candidate,
   CAST(candidate_age AS BIGINT) AS candidate_age, CAST(persistence_count AS BIGINT) AS persistence_count FROM st b LEFT JOIN em x ON b.symbol = x.symbol AND b.rn = x.rn + 1""",
+    "stream_gated_outcomes": host.ORACLE["reset_symbol"],
     "late_or_duplicate": f"""WITH RECURSIVE {bars_cte('b0')}, bars AS (SELECT * FROM b0 WHERE day(interval_start) >= {CUTS[0]}), {volume_cte()}, {confirm_cte()}
   SELECT v.symbol, v.interval_start, NULL::VARCHAR AS skip_reason, round(v_n, 9) AS v_n, c.color AS indicator FROM vol v LEFT JOIN conf c ON c.symbol = v.symbol AND c.rn = v.rn
   UNION ALL SELECT symbol, interval_start, 'DUPLICATE_OR_REGRESSION', NULL, NULL FROM b0 WHERE day(interval_start) < {CUTS[0]}""",

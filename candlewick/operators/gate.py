@@ -63,37 +63,52 @@ def gate(arrivals: DataFrame, order: str = "arrival", layout: G.Layout | None =
     )
     keys = ["symbol", "epoch"] if "epoch" in have else ["symbol"]
     layout = (layout or G.Layout.of(keys)).along(keys, order)
-    aligned = S.minute_aligned("interval_start")
-    numbers = S.finite("close") & S.finite(F.col("volume").cast("double"))
-    may_commit = F.coalesce(F.col("infer") & S.model_eligible() & aligned & numbers, F.lit(False))
     laid = G.lay_out(arrivals, layout, 0).drop("halo")
     # A lost bar is only noticed on an irregular step, and what it latches skips
     # every later row, so the running maximum needs no knowledge of the latch.
-    laid = G.carry_max(laid, layout, "_last", F.when(may_commit, F.col("interval_start")), inclusive=False)
+    laid = G.carry_max(laid, layout, "_last", F.when(may_commit(), F.col("interval_start")), inclusive=False)
     kind = continuity_class(F.col("_last"), F.col("interval_start"))
     laid = laid.withColumn("_class", kind)
     gap = F.col("infer") & S.model_eligible() & (F.col("_class") == "irregular") & F.col("proven_missing")
     laid = laid.withColumn("_gap", gap)
     laid = G.carry_max(laid, layout, "_latched", F.when(F.col("_gap"), 1), inclusive=False)
+    laid = laid.withColumn("_latched", F.col("_latched") == 1)
+    return labelled(laid, may_commit()).drop("_last", "_class", "_gap", "_latched", "rn", "_k", "seg")
+
+
+def labelled(df: DataFrame, fit: Column) -> DataFrame:
+    """``gate``, ``gate_detail`` and ``committed`` from the last committed time ``_last``, the step from it ``_class``, a
+    proven gap ``_gap`` and the latch ``_latched``."""
     reason = (
-        F.when(F.col("_latched") == 1, "STATE_DISCONTINUOUS")
+        F.when(F.col("_latched"), "STATE_DISCONTINUOUS")
         .when(~F.col("infer"), "INFER_OFF")
-        .when(~S.model_eligible(), "NOT_MODEL_ELIGIBLE")
+        .when(~eligible(df), "NOT_MODEL_ELIGIBLE")
         .when(F.col("_class").isin("duplicate", "regression"), "DUPLICATE_OR_REGRESSION")
         .when(F.col("_class") == "unaligned", "INVALID_INPUT")
         .when(F.col("_gap"), "INPUT_GAP")
         .otherwise("PASS")
     )
     detail = continuity_detail(F.col("_class"), F.col("_last"), F.col("interval_start"))
-    laid = laid.withColumn("gate", reason)
-    return laid.withColumns(
+    df = df.withColumn("gate", reason)
+    return df.withColumns(
         {
             "gate_detail": F.when(F.col("gate") == "STATE_DISCONTINUOUS", "INPUT_GAP")
             .when(F.col("gate").isin("DUPLICATE_OR_REGRESSION", "INVALID_INPUT"), detail)
             .when(F.col("gate") == "INPUT_GAP", F.concat(detail, F.lit(" proven_missing_eligible"))),
-            "committed": (F.col("gate") == "PASS") & may_commit,
+            "committed": (F.col("gate") == "PASS") & fit,
         }
-    ).drop("_last", "_class", "_gap", "_latched", "rn", "_k", "seg")
+    )
+
+
+def eligible(df: DataFrame) -> Column:
+    """Model eligibility, where it has been judged before as a column."""
+    return F.col("eligible") if "eligible" in df.columns else S.model_eligible()
+
+
+def may_commit() -> Column:
+    """An arrival that changes the models if it passes: inference is on, the bar is eligible, aligned and readable."""
+    numbers = S.finite("close") & S.finite(F.col("volume").cast("double"))
+    return F.coalesce(F.col("infer") & S.model_eligible() & S.minute_aligned("interval_start") & numbers, F.lit(False))
 
 
 def decision_outcomes(gated: DataFrame) -> DataFrame:

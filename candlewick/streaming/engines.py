@@ -26,7 +26,7 @@ from candlewick.operators.kernels import Block
 DUPLICATE = "DUPLICATE_OR_REGRESSION"
 
 
-_TYPES = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
 
 
 def layout(text: str) -> T.StructType:
@@ -61,6 +61,34 @@ class KeyedFold(StatefulProcessor):
         raise NotImplementedError
 
 
+class CompositeFold(KeyedFold):
+    """Scalars in one typed value state, the last values of bounded sequences in list states."""
+
+    scalars: str
+    rings: dict[str, str] = {}  # name -> type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._names = layout(self.scalars).fieldNames()
+        self._value = handle.getValueState("scalars", layout(self.scalars))
+        self._lists = {name: handle.getListState(name, layout(f"{name} {kind}")) for name, kind in self.rings.items()}
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable", ignore_index=True)
+        state = self.fresh()
+        if self._value.exists():
+            state |= dict(zip(self._names, self._value.get()))
+            state |= {name: [v[0] for v in held.get()] for name, held in self._lists.items() if held.exists()}
+        state, out = self.advance(state, batch)
+        self._value.update(tuple(state[n] for n in self._names))
+        for name, held in self._lists.items():
+            if state[name]:
+                held.put([(v,) for v in state[name]])
+            else:
+                held.clear()
+        if len(out):
+            yield out[self.columns]
+
+
 def accept(rows: pd.DataFrame, last: int | None) -> tuple[np.ndarray, int | None]:
     """Mask of rows strictly later than everything accepted before them."""
     stamps = rows["interval_start"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -101,6 +129,15 @@ class AdaptiveState(KeyedFold):
         return {"n": 0, "last": None, "carried": None}
 
     def advance(self, state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        refused = rows["skip_reason"].notna() if "skip_reason" in rows else pd.Series(False, rows.index)
+        parts = [rows.loc[refused].reindex(columns=self.columns).astype(object)]  # not for the model: passed on
+        rows = rows.loc[~refused].drop(columns="skip_reason", errors="ignore").reset_index(drop=True)
+        if len(rows):
+            state, made = self.step(state, rows)
+            parts.append(made.astype(object))
+        return state, pd.concat(parts)
+
+    def step(self, state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
         keep, last = accept(rows, state["last"])
         new = rows.loc[keep].reset_index(drop=True)
         if new.empty:
@@ -119,6 +156,7 @@ class Decide(KeyedFold):
     """Context of the previous 15 scores, decision, position, half-life, rate, health."""
 
     order = ("rn",)
+    passed = ("symbol", "interval_start", "skip_reason")  # of a row that the model has refused
     schema = layout(
         "symbol string, interval_start timestamp, rn long, c double, path_direction string, side string, emitter_position string, "
         "prior_median_c double, up_count long, down_count long, forward_half_life double, ref_alpha double, model_health string, skip_reason string"
@@ -132,7 +170,7 @@ class Decide(KeyedFold):
         out = []
         for row in rows.to_dict("records"):
             if isinstance(row["skip_reason"], str):  # refused by the model: passed on as it is
-                out.append({name: row[name] for name in ("symbol", "interval_start", "skip_reason")})
+                out.append({name: row[name] for name in self.passed})
                 continue
             # The composed steps count from the start of the upstream block.
             if row["block_start"]:
@@ -167,6 +205,97 @@ class Decide(KeyedFold):
         return s, pd.DataFrame(out).reindex(columns=self.columns)
 
 
+class Gate(CompositeFold):
+    """What the gate of an arrival looks at: epoch, last committed time, the step from it, a proven gap, the latch.
+
+    Rows are arrivals (kind 1) and resets (kind 0), in the order of their arrival numbers; a reset forgets all.
+    """
+
+    order = ("arrival", "kind")
+    scalars = "epoch long, last long, latched boolean"
+    extra = "arrival long, market_snapshot_id string, price double, v_raw double, eligible boolean, infer boolean, may_commit boolean"
+    schema = layout(f"symbol string, interval_start timestamp, {extra}, epoch long, last_start timestamp, step string, gap boolean, latched boolean")
+    columns = schema.fieldNames()
+
+    def fresh(self) -> dict:
+        return {"epoch": 0, "last": None, "latched": False}
+
+    def advance(self, state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        parts, resets = [], (rows["kind"] == 0).to_numpy()
+        for _, part in rows.groupby(np.cumsum(resets)):
+            if part["kind"].iloc[0] == 0:
+                state = {"epoch": int(part["arrival"].iloc[0]), "last": None, "latched": False}
+                part = part.iloc[1:]
+            if len(part):
+                state, made = self._within(state, part)
+                parts.append(made)
+        return state, pd.concat(parts) if parts else pd.DataFrame(columns=self.columns)
+
+    @staticmethod
+    def _within(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        none = np.iinfo("int64").min
+        known = rows["interval_start"].notna().to_numpy()
+        at = np.where(known, rows["interval_start"].astype("datetime64[us]").astype("int64").to_numpy(), none)
+        commit = rows["may_commit"].to_numpy(bool)
+        first = none if state["last"] is None else state["last"]
+        running = np.maximum.accumulate(np.concatenate([[first], np.where(commit, at, none)]))
+        last, minute = running[:-1], 60_000_000
+        elapsed = at - np.where(last == none, at, last)
+        step = np.select(
+            [~known | (at % minute != 0), last == none, elapsed == 0, elapsed < 0, elapsed == minute],
+            ["unaligned", "first", "duplicate", "regression", "normal"], "irregular",
+        )
+        gap = rows["infer"].to_numpy(bool) & rows["eligible"].to_numpy(bool) & (step == "irregular") & rows["proven_missing"].to_numpy(bool)
+        before = np.logical_or.accumulate(np.concatenate([[state["latched"]], gap]))
+        stamps = pd.Series(pd.to_datetime(np.where(last == none, 0, last), unit="us"), index=rows.index).where(last != none)
+        made = rows.assign(epoch=state["epoch"], last_start=stamps, step=step, gap=gap, latched=before[:-1])
+        end = None if running[-1] == none else int(running[-1])
+        return {"epoch": state["epoch"], "last": end, "latched": bool(before[-1])}, made
+
+
+class GatedState(AdaptiveState):
+    """Model state of the committed arrivals, afresh in every epoch; other arrivals pass with their reason."""
+
+    order = ("arrival",)
+    schema = T.StructType([*AdaptiveState.schema.fields, *layout("arrival long, epoch long, market_snapshot_id string, skip_detail string").fields])
+    columns = schema.fieldNames()
+
+    def fresh(self) -> dict:
+        return {"epoch": None, "model": super().fresh()}
+
+    def advance(self, state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        parts = []
+        for epoch, part in rows.groupby("epoch", sort=True):  # epochs rise with the arrivals
+            if epoch != state["epoch"]:
+                state = {"epoch": int(epoch), "model": super().fresh()}
+            state["model"], made = super().advance(state["model"], part)
+            parts.append(made)
+        return state, pd.concat(parts)
+
+
+class GatedDecide(CompositeFold, Decide):
+    """Decisions of the committed arrivals, afresh in every epoch."""
+
+    order = ("arrival",)
+    passed = ("symbol", "interval_start", "arrival", "epoch", "market_snapshot_id", "skip_reason", "skip_detail")
+    scalars = "epoch long, position string, half double, rate double, half0 double, rate0 double, gap boolean, poor boolean"
+    rings = {"scores": "double", "paths": "string"}
+    schema = T.StructType([*Decide.schema.fields, *layout("arrival long, epoch long, market_snapshot_id string, skip_detail string, strength double, uncertainty double").fields])
+    columns = schema.fieldNames()
+
+    def fresh(self) -> dict:
+        return Decide.fresh(self) | {"epoch": None, "half0": A.HALF_LIFE[0], "rate0": A.RATE[0]}
+
+    def advance(self, state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+        parts = []
+        for epoch, part in rows.groupby("epoch", sort=True):
+            if epoch != state["epoch"]:
+                state = self.fresh() | {"epoch": int(epoch)}
+            state, made = Decide.advance(self, state, part)
+            parts.append(made.astype(object))
+        return state, pd.concat(parts)
+
+
 class PriceNumbers(KeyedFold):
     """Price kernel on the stored tail plus the new rows."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import scalars as S
 from candlewick.operators import adaptive as A
+from candlewick.operators import gate as H
 from candlewick.operators import price as P
 from candlewick.operators.ingest import revision_rank
 from candlewick.operators.transitions import COMPARED
@@ -85,7 +86,8 @@ def stream_volume(bars: DataFrame) -> DataFrame:
 
 def stream_decisions(bars: DataFrame) -> DataFrame:
     """Model state, stateless return shape and score in SQL, then context and decision; one row per bar, skips included."""
-    obs = A.adaptive_observations(bars).filter(A.takeable()).select("symbol", "interval_start", "event_time", "price", "v_raw", "source_quality")
+    refused = F.when(~A.takeable(), "INVALID_INPUT")
+    obs = A.adaptive_observations(bars).select("symbol", "interval_start", "event_time", "price", "v_raw", "source_quality", refused.alias("skip_reason"))
     stepped = _fold(obs, ["symbol"], E.AdaptiveState())
     scored = A.with_capturability(A.with_return_shape(stepped))
     cols = ["symbol", "interval_start", "rn", "c", "h", "path_direction", "perturbation_magnitude", "half_gain", "half_lo", "half_hi",
@@ -93,6 +95,45 @@ def stream_decisions(bars: DataFrame) -> DataFrame:
     return _fold(scored.select(*cols), ["symbol"], E.Decide())
 
 
+def stream_gate(arrivals: DataFrame, resets: DataFrame) -> DataFrame:
+    """``gate``, ``gate_detail``, ``committed`` and ``epoch`` of every arrival, as the batch gate gives them.
+
+    Both streams have ``symbol`` and ``arrival``, the order in which they happened; a reset starts the symbol afresh.  Rows of
+    a micro-batch are put in that order, so a reset must not land in a later one than the arrivals behind it.
+    """
+    flag = lambda name, other: F.coalesce(name, F.lit(other)) if name in arrivals.columns else F.lit(other)
+    rows = arrivals.withColumns({"infer": flag("infer", True), "proven_missing": flag("proven_missing", False)})
+    rows = rows.select(
+        "symbol", "interval_start", "arrival", F.lit(1).alias("kind"), "market_snapshot_id", F.col("close").alias("price"), F.col("volume").cast("double").alias("v_raw"),
+        F.coalesce(S.model_eligible(), F.lit(False)).alias("eligible"), "infer", "proven_missing", H.may_commit().alias("may_commit"),
+    )
+    both = rows.unionByName(resets.select("symbol", "arrival", F.lit(0).alias("kind")), allowMissingColumns=True)
+    judged = _fold(both, ["symbol"], E.Gate())
+    judged = judged.withColumnsRenamed({"last_start": "_last", "step": "_class", "gap": "_gap", "latched": "_latched"})
+    return H.labelled(judged, F.col("may_commit")).drop("_last", "_class", "_gap", "_latched")
+
+
+def stream_outcomes(gated: DataFrame) -> DataFrame:
+    """One terminal outcome per arrival of ``stream_gate``: a decision or a typed skip, in the columns of the batch."""
+    refused = F.when(~F.col("committed"), F.when(F.col("gate") == "PASS", "INVALID_INPUT").otherwise(F.col("gate")))
+    obs = gated.select(
+        "symbol", "interval_start", (F.unix_micros("interval_start") / F.lit(1e6)).alias("event_time"), "price", "v_raw", F.when(F.col("eligible"), 1.0).otherwise(0.0).alias("source_quality"),
+        "arrival", "epoch", "market_snapshot_id", refused.alias("skip_reason"), F.col("gate_detail").alias("skip_detail"),
+    )
+    scored = A.with_capturability(A.with_return_shape(_fold(obs, ["symbol"], E.GatedState())))
+    cols = ["symbol", "interval_start", "rn", "c", "h", "path_direction", "perturbation_magnitude", "half_gain", "half_lo", "half_hi", "rate_shift", "rate_lo", "rate_hi",
+            "rate_min", "rate_max", "clipped", "data_gap", "block_start", "skip_reason", "skip_detail", "arrival", "epoch", "market_snapshot_id", "strength", "uncertainty"]
+    out = _fold(scored.select(*cols), ["symbol"], E.GatedDecide())
+    stepped, decided = F.col("rn").isNotNull(), F.col("side").isNotNull()
+    status = F.when(decided, "ACTIONABLE").when(stepped, "INITIALIZING")
+    names = ["symbol", "epoch", "interval_start", "market_snapshot_id", "side", "c", "path_direction", "emitter_position", "strength", "uncertainty", "skip_reason", "arrival"]
+    return out.select(
+        *names, status.alias("model_status"), A.rule_path(F.col("side")).alias("rule_path"), (F.col("rn") - 1).alias("accepted_sequence"),
+        F.when(stepped & ~decided, F.concat(F.col("rn"), F.lit(f"/{A.CONTEXT + 1}"))).otherwise(F.col("skip_detail")).alias("skip_detail"),
+        F.when(stepped, F.concat("symbol", F.lit(":evt:"), "rn")).otherwise(F.concat("symbol", F.lit(":host:"), "arrival")).alias("event_id"),
+    )
+
+
 def stream_prices(bars: DataFrame) -> DataFrame:
     """Numbers from the kernel, labels in SQL, then the two colour interpreters; one row per bar, skips included."""
     obs = P.price_observations(bars).select("symbol", "interval_start", "minutes", "close")

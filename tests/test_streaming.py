@@ -1,8 +1,10 @@
 """Stream = batch, also across a restart in the middle."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlewick.operators import adaptive as A
+from candlewick.operators import gate as H
 from candlewick.operators import volume as V
 from candlewick.streaming import flows as L
 from test_operators import bars, rows_of, walk
@@ -34,3 +36,30 @@ def test_decisions_stream_equals_batch(spark, tmp_path):
     L.run_to_parquet(L.stream_decisions(L.read_bar_stream(spark, landing, b.schema)), sink, mark)
     cols = ["rn", F.round("c", 12), "side", "emitter_position", F.round("forward_half_life", 9)]
     assert rows_of(spark.read.parquet(sink).fillna("-"), *cols) == rows_of(A.decisions(b).fillna("-"), *cols)
+
+
+def test_gated_stream_equals_batch_with_unreadable_late_repeated_and_reset_rows(spark, tmp_path):
+    L.configure(spark)
+    b = bars(spark, walk(120) + walk(70, 3, "BBB")).withColumn("arrival", F.row_number().over(Window.orderBy("interval_start", "symbol")).cast("long") * 10)
+    again = b.filter("arrival % 170 = 0").withColumn("arrival", F.col("arrival") + 5)
+    late = b.filter("arrival % 210 = 0").withColumn("arrival", F.col("arrival") + 92)
+    blind = b.filter("arrival % 130 = 0").withColumns({"arrival": F.col("arrival") + 3, "close": F.lit(float("nan")), "interval_start": F.col("interval_start") + F.expr("INTERVAL 20 SECONDS")})
+    nowhen = b.filter("arrival % 500 = 0").withColumns({"arrival": F.col("arrival") + 4, "interval_start": F.lit(None).cast("timestamp")})
+    a = b.unionByName(again).unionByName(late).unionByName(blind).unionByName(nowhen)
+    a = a.withColumns({"infer": F.col("arrival") % 90 != 0, "proven_missing": F.col("arrival").isin(*range(1300, 1480, 10))}).cache()
+    resets = spark.createDataFrame([("AAA", 700), ("BBB", 701), ("AAA", 1500)], "symbol string, arrival long")
+    paths = {n: str(tmp_path / n) for n in ("arrivals", "resets", "sink", "mark")}
+    for low, high in ((0, 605), (605, 1200), (1200, 10**6)):  # restarted twice
+        for df, n in ((a, "arrivals"), (resets, "resets")):
+            _land(df.filter((F.col("arrival") >= low) & (F.col("arrival") < high)), paths[n])
+        flow = L.stream_gate(L.read_bar_stream(spark, paths["arrivals"], a.schema), L.read_bar_stream(spark, paths["resets"], resets.schema))
+        L.run_to_parquet(L.stream_outcomes(flow), paths["sink"], paths["mark"])
+    want = H.decision_outcomes(H.gate(H.with_reset_epoch(a, resets)))
+    numbers = [F.round(c, 9).alias(c) for c in ("c", "strength", "uncertainty")]
+    cols = ["symbol", "epoch", "interval_start", "market_snapshot_id", "side", "path_direction", "emitter_position", "skip_reason", "arrival", "model_status", "rule_path",
+            "accepted_sequence", "skip_detail", "event_id"]
+    got = spark.read.parquet(paths["sink"]).select(*cols, *numbers)
+    want = want.select(*cols, *numbers)
+    assert got.count() == a.count()
+    assert [got.exceptAll(want).collect(), want.exceptAll(got).collect()] == [[], []]
+    assert {r.skip_reason for r in got.collect()} >= {"INFER_OFF", "DUPLICATE_OR_REGRESSION", "INVALID_INPUT", "INPUT_GAP", "STATE_DISCONTINUOUS", "INITIALIZING", None}
