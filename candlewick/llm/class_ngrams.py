@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -264,8 +264,8 @@ def exchanged(cls: np.ndarray, words: np.ndarray, context: np.ndarray, n: np.nda
     return cls
 
 
-def clustered(packs: DataFrame, rounds: int) -> DataFrame:
-    """(word, n, cls) by exchange.  A round reads the packs, writes them with their new classes and the sums of classes by
+def clustered(packs: DataFrame, rounds: int, forget: Callable[[], None] | None = None) -> DataFrame:
+    """(word, n, cls) by exchange; ``forget`` deletes the packs' files.  A round reads the packs, writes them with their new classes and the sums of classes by
     contexts (a table of fixed size) that the next round starts from."""
     spark = packs.sparkSession
     cells = "class binary, words binary, contexts binary, counts binary"
@@ -295,7 +295,7 @@ def clustered(packs: DataFrame, rounds: int) -> DataFrame:
         for slot, total in sums.items():
             yield slot, total.tobytes()
 
-    kind, sums, forget = f"{cells}, slot int, sums binary", None, None
+    kind, sums = f"{cells}, slot int, sums binary", None
     held = packs
     for turn in range(rounds + 1):
         held, drop = written(map_rows(held.select("class", "words", "contexts", "counts"), step(sums, turn), kind, 16))
@@ -347,7 +347,8 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     once, twice = stats["once"], stats["twice"]
     total, kinds = (stats["total"] or 0) + ends, stats["kinds"] + (ends > 0)
     frequent = [r["word"] for r in words.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
-    classes = staged(clustered(staged(contexts(read, frequent, total)), rounds))
+    packs, drop_packs = written(contexts(read, frequent, total))
+    classes = staged(clustered(packs, rounds, drop_packs))
     sizes = np.ones(KINDS)
     for r in classes.groupBy("cls").agg(F.sum("n").alias("n")).collect():
         sizes[r["cls"]] = r["n"]
@@ -361,38 +362,36 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             yield np.full(len(names), block), np.arange(len(names), dtype=np.int32), names
 
     asked = _arrays(read.select("block", "words"), places, "block long, place int, word long")
-    told = asked.join(known, "word", "left").select("block", "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(RARE)).alias("cls"))
-    none = lambda kind: F.lit(None).cast(kind)
-    texts = ["ids", "absent", "held", "lengths", "tokens"]
-    told = told.select("block", F.lit(0).alias("kind"), "place", "n", "cls", *[none("binary").alias(c) for c in texts])
-    whole = read.select("block", F.lit(1).alias("kind"), none("int").alias("place"), none("long").alias("n"), none("int").alias("cls"), *texts)
-    meet = told.unionByName(whole).repartition(width(spark), "block").sortWithinPartitions("block", "kind")
+    # one number per word: its count, and its class in the low bits
+    fact = (F.coalesce("n", F.lit(0)) * 256 + F.coalesce("cls", F.lit(RARE))).alias("fact")
+    told = asked.join(known, "word", "left").select("block", "place", fact)
+    texts = F.struct("ids", "absent", "held", "lengths", "tokens").alias("texts")
+    whole = read.select("block", texts)
+    # the words of a block come first, its texts behind them
+    meet = told.unionByName(whole, allowMissingColumns=True).repartition(width(spark), "block")
+    meet = meet.sortWithinPartitions("block", F.col("place").asc_nulls_last())
     base_of = lambda n: np.log10((n + ADDED) / (total + ADDED * (kinds + 1)))
     end_base = float(base_of(np.float64(ends)))
     kind = T.StructType.fromDDL("doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, line binary, pairs binary")
     schema = to_arrow_schema(kind)
 
     def read_blocks(batches):
-        pairs, place, n, cls = np.zeros(KINDS * KINDS, np.int64), [], [], []
+        pairs, facts = np.zeros(KINDS * KINDS, np.int64), []
         for batch in batches:
-            last = 0
-            for at in np.flatnonzero(batch.column(1).to_numpy() == 1):
-                for held, column in ((place, 2), (n, 3), (cls, 4)):
-                    held.append(batch.column(column).slice(last, at - last).to_numpy())
-                last = at + 1
-                yield scored([batch.column(5 + i)[int(at)].as_py() for i in range(5)], *(np.concatenate(x) for x in (place, n, cls)), pairs)
-                place, n, cls = [], [], []
-            for held, column in ((place, 2), (n, 3), (cls, 4)):
-                held.append(batch.column(column).slice(last).to_numpy())
+            names, last = batch.schema.names, 0
+            fact, whole = batch.column(names.index("fact")), batch.column(names.index("texts"))
+            for at in np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                facts.append(fact.slice(last, at - last).to_numpy())
+                yield scored(whole[at].as_py(), np.concatenate(facts), pairs)
+                facts, last = [], at + 1
+            facts.append(fact.slice(last).to_numpy())
         if pairs.any():
             yield pa.RecordBatch.from_pylist([{"pairs": _squeezed(pairs)}], schema=schema)
 
-    def scored(cells, place, n, cls, pairs):
+    def scored(cells, facts, pairs):
         """Rows of a block's texts with all but the transitions, whose counts are added to ``pairs``."""
-        ids, absent, held, lengths = (np.frombuffer(x, k) for x, k in zip(cells, (np.int64, np.uint8, np.uint8, np.int64)))
-        numbers = _opened(cells[4], np.uint32)
-        back = np.argsort(place)
-        n, cls = n[back].astype(np.int64), cls[back].astype(np.int64)
+        ids, absent, held, lengths = (np.frombuffer(cells[c], k) for c, k in (("ids", np.int64), ("absent", np.uint8), ("held", np.uint8), ("lengths", np.int64)))
+        numbers, n, cls = _opened(cells["tokens"], np.uint32), facts >> 8, facts & 255
         emitted = np.log10(np.where(cls != RARE, n / sizes[cls], np.where(n > 0, (1 - unseen) / max(once, 1), unseen)))
         start, sums = np.cumsum(lengths) - lengths, []
         for value in (base_of(n), emitted, (n > 0).astype(np.int64)):
