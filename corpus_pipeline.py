@@ -22,20 +22,31 @@ LAST = 2**63 - 1  # a NULL id ranks behind all others
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which becomes their ``lang``; NULL and letterless texts go."""
+    """Documents with a language, which becomes their ``lang``; NULL, empty and letterless texts go.
+
+    Ids and repeated rows play no part: every row is judged by its own text.  An empty table stays empty.
+    """
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model, ("doc_id", "text", "source", "n_chars"))
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("lang_pred", "lang").select(COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that five documents or more share; every document stays."""
+    """Texts without the lines that five documents or more share, but for the one of largest id; every document stays.
+
+    A NULL text becomes an empty one.  Rows of one id or of NULL id are documents of their own; among holders without
+    any id a line stays everywhere.  ``n_chars`` is counted anew.
+    """
     out = line_dedup.shared_line_drop(docs, carry=("lang", "source"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per component of near-duplicates the document of least id; texts without words all stay."""
+    """Per component of near-duplicates the document of least id; texts without words all stay.
+
+    A NULL id ranks behind all others; of equal ids the least hash of the text counts, and of rows that repeat a
+    document, the least source.  Texts that the line dedup has emptied have no words and stay.
+    """
     found = shingle_join.near_components(docs)
     rank = F.coalesce("doc_id", F.lit(LAST))
     chosen = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(rank.alias("id"), "text_key")).alias("first"))
@@ -49,7 +60,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, copies as rows.
+
+    Documents without words take one copy.  Rows that repeat a document (id and text) are one row with the copies of
+    all of them; a NULL source is a source of its own.  No document appears more often than twice its rows.
+    """
     copies = mixing.mix(docs).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies"))
     copies = copies.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_key", F.col("copies").cast("int").alias("copies"))
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("text_key"))
@@ -60,6 +75,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens; copies of a document are documents of their own."""
     return packing.pack(docs)
 
 
