@@ -8,7 +8,7 @@ from candlewick.catalog import host
 from candlewick.catalog.changes import beats
 from candlewick.catalog.helpers import pick, plain, r
 from candlewick.catalog.sources import scratch
-from candlewick.catalog.sqltext import adaptive_cte, bars_cte, beats_cte, confirm_cte, policy_cte, price_cte, resolved_cte, volume_cte
+from candlewick.catalog.sqltext import adaptive_cte, arrivals_cte, bars_cte, beats_cte, confirm_cte, policy_cte, price_cte, resolved_cte, volume_cte
 from candlewick.operators import adaptive as A
 from candlewick.operators import price as P
 from candlewick.operators import volume as V
@@ -66,6 +66,18 @@ def revisions(spark, d):
     return plain(last.select(*KEY, "arrival", "close", "volume", "quality_status"))
 
 
+def bar_window(limit):
+    """Every arrival's effect on the bounded window of its symbol, in slices by arrival."""
+
+    def run(spark, d):
+        a, at = feed_arrivals(spark, d), F.col("arrival")
+        low, high = a.approxQuantile("arrival", [0.3, 0.6], 0.0)
+        got = collected(spark, L.stream_window(replay(spark, a, [at < low, (at >= low) & (at < high), at >= high]), limit))
+        return plain(got.select(*KEY, "arrival", "accepted", "evicted", "held"))
+
+    return run
+
+
 def first_arrivals(spark, d):
     b = event_bars(spark, d)
     twice = b.unionByName(b)
@@ -150,6 +162,8 @@ QUERIES = {
     "stream_volume_from_ticks": volume_from_ticks,
     "stream_dedup_revisions": revisions,
     "stream_dedup_first": first_arrivals,
+    "stream_bar_window": bar_window(64),
+    "stream_bar_window_short": bar_window(2),
     "stream_models_decisions": decisions,
     "stream_models_prices": prices,
     "stream_gated_outcomes": gated_outcomes,
@@ -171,7 +185,27 @@ def _tailed(inner: str) -> str:
   SELECT symbol, interval_start, event_id, CASE WHEN interval_start < TIMESTAMP '{CUT}' THEN 0 ELSE 1 END AS phase, value FROM k {_TAIL}"""
 
 
+
+def _windowed(limit: int) -> str:
+    """Replay of the window, one arrival of every symbol a step; the held bars are a list."""
+    return f"""WITH RECURSIVE {arrivals_cte()},
+queue AS (SELECT symbol, interval_start, arrival, market_snapshot_id AS id, is_final AS fin, is_backfilled AS rep, quality_status = 'COMPLETE' AS live,
+    row_number() OVER (PARTITION BY symbol ORDER BY arrival, interval_start) AS k FROM arrivals),
+slim AS (SELECT *, {{'s': interval_start, 'id': id, 'fin': fin, 'live': live}} AS bar FROM queue),
+steps AS (
+  SELECT symbol, k, interval_start, arrival, true AS accepted, NULL::TIMESTAMP AS evicted, [bar] AS bars FROM slim WHERE k = 1
+  UNION ALL
+  SELECT symbol, k, interval_start, arrival, taken, CASE WHEN len(put) > {limit} THEN put[1].s END, CASE WHEN len(put) > {limit} THEN put[2:] ELSE put END
+  FROM (SELECT *, CASE WHEN taken THEN list_sort(list_append(list_filter(bars, x -> x.s <> interval_start), bar)) ELSE bars END AS put
+    FROM (SELECT n.symbol, n.k, n.interval_start, n.arrival, n.bar, w.bars,
+        len(list_filter(w.bars, x -> x.s = n.interval_start AND (x.id = n.id OR (x.fin AND NOT n.fin) OR (x.live AND n.rep)))) = 0 AS taken
+      FROM steps w JOIN slim n ON n.symbol = w.symbol AND n.k = w.k + 1)))
+SELECT symbol, interval_start, arrival, accepted, evicted, len(bars) AS held FROM steps"""
+
+
 ORACLE = {
+    "stream_bar_window": _windowed(64),
+    "stream_bar_window_short": _windowed(2),
     "stream_bars": f"WITH {_CLOSED} SELECT symbol, interval_start, open, high, low, close, volume, event_count FROM bars",
     "stream_volume_from_ticks": f"""WITH RECURSIVE {_CLOSED}, {volume_cte()}, {confirm_cte()} SELECT v.symbol, v.interval_start, v.rn, round(v_n, 9) AS v_n, round(interval_mean, 9) AS interval_mean, v.raw_color,
   c.color AS indicator, c.transition FROM vol v LEFT JOIN conf c ON c.symbol = v.symbol AND c.rn = v.rn""",

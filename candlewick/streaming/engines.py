@@ -109,6 +109,58 @@ def _with_skips(rows: pd.DataFrame, keep: np.ndarray, made: pd.DataFrame, names:
     return made.reindex(columns=names) if late.empty else pd.concat([made.reindex(columns=names).astype(object), late.astype(object)])
 
 
+class BarWindow(StatefulProcessor):
+    """The newest ``limit`` bars of a symbol under the revision rules, in a map state by start time.
+
+    Rows come in the order of their arrival.  A bar that the window does not hold is put in its place and
+    the oldest one goes, even if that is the new one; what has gone is forgotten, so that it may come again.
+    One that it holds is replaced unless it repeats the held one, would take finality back, or is a repair of a live one.
+    """
+
+    order = ("arrival", "interval_start")
+    held = layout("arrival long, market_snapshot_id string, is_final boolean, is_backfilled boolean, live boolean, facts string")
+    schema = layout("symbol string, interval_start timestamp, arrival long, accepted boolean, evicted timestamp, held long")
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._bars = handle.getMapState("bars", layout("start long"), self.held)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable", ignore_index=True)
+        before = {k[0]: tuple(v) for k, v in self._bars.iterator()}
+        window, names, out = dict(before), self.held.fieldNames(), []
+        starts = batch["interval_start"].astype("datetime64[us]").astype("int64")
+        for start, known, values in zip(starts.tolist(), batch["interval_start"].notna().tolist(), batch[names].itertuples(index=False, name=None)):
+            gone = None
+            accepted = known and (start not in window or self.supersedes(window[start], values))
+            if accepted:
+                window[start] = values
+                if len(window) > self.limit:
+                    gone = min(window)
+                    del window[gone]
+            out.append((accepted, gone, len(window)))
+        for start in before.keys() - window.keys():
+            self._bars.removeKey((start,))
+        for start, values in window.items():
+            if before.get(start) != values:
+                self._bars.updateValue((start,), values)
+        accepted, gone, size = zip(*out)
+        evicted = pd.to_datetime(pd.Series(gone, dtype="Int64"), unit="us")
+        yield batch.assign(accepted=accepted, evicted=evicted, held=size)[self.schema.fieldNames()]
+
+    @staticmethod
+    def supersedes(old: tuple, new: tuple) -> bool:
+        _, old_id, old_final, _, old_live, old_facts = old
+        _, new_id, new_final, new_repair, _, new_facts = new
+        same = bool(old_id) and old_id == new_id or old_facts == new_facts
+        return not (same or old_final and not new_final or old_live and new_repair)
+
+    def close(self) -> None:
+        pass
+
+
 class AdaptiveState(KeyedFold):
     """Per-row model state (same columns as the batch kernel)."""
 

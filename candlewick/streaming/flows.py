@@ -9,7 +9,7 @@ from candlewick.functions import scalars as S
 from candlewick.operators import adaptive as A
 from candlewick.operators import gate as H
 from candlewick.operators import price as P
-from candlewick.operators.ingest import revision_rank
+from candlewick.operators.ingest import _GENERATION, WINDOW_LIMIT, revision_rank
 from candlewick.operators.transitions import COMPARED
 from candlewick.operators.volume import volume_observations
 from candlewick.streaming import engines as E
@@ -74,7 +74,20 @@ def stream_first_arrivals(arrivals: DataFrame, lateness: str | None = None) -> D
     return arrivals.dropDuplicates(["symbol", "interval_start"])
 
 
-def _fold(df: DataFrame, keys: list[str], engine: E.KeyedFold) -> DataFrame:
+def stream_window(arrivals: DataFrame, limit: int = WINDOW_LIMIT) -> DataFrame:
+    """The bounded window of each symbol as arrivals change it: one row per arrival, with what it evicted.
+
+    The state of a symbol is ``limit`` bars at most, however long the stream runs.  A NULL time is never accepted.
+    """
+    facts = F.to_json(F.struct(*_GENERATION))
+    slim = arrivals.select(
+        "symbol", "interval_start", "arrival", "market_snapshot_id", F.coalesce("is_final", F.lit(False)).alias("is_final"),
+        F.coalesce("is_backfilled", F.lit(False)).alias("is_backfilled"), S.model_eligible().alias("live"), facts.alias("facts"),
+    )
+    return _fold(slim, ["symbol"], E.BarWindow(limit))
+
+
+def _fold(df: DataFrame, keys: list[str], engine: E.KeyedFold | E.BarWindow) -> DataFrame:
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=engine, outputStructType=engine.schema, outputMode="Append", timeMode="None"
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewick.operators import adaptive as A
 from candlewick.operators import gate as H
@@ -63,3 +64,22 @@ def test_gated_stream_equals_batch_with_unreadable_late_repeated_and_reset_rows(
     assert got.count() == a.count()
     assert [got.exceptAll(want).collect(), want.exceptAll(got).collect()] == [[], []]
     assert {r.skip_reason for r in got.collect()} >= {"INFER_OFF", "DUPLICATE_OR_REGRESSION", "INVALID_INPUT", "INPUT_GAP", "STATE_DISCONTINUOUS", "INITIALIZING", None}
+
+
+def test_window_forgets_what_it_evicts_also_across_a_restart(spark, tmp_path):
+    L.configure(spark)
+    b = bars(spark, [(m, 10 + m, 5) for m in (3, 4, 5, 6, 1, 1, 4, 7, 3)]).withColumn("is_backfilled", F.col("close") == 11)
+    rows = b.collect()
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([*b.schema.fields, T.StructField("arrival", T.LongType())]))
+    nowhen = numbered.filter("arrival = 2").withColumns({"interval_start": F.lit(None).cast("timestamp"), "arrival": F.lit(20).cast("long")})
+    landing, sink, mark = (str(tmp_path / n) for n in ("landing", "sink", "mark"))
+    for part in (numbered.filter("arrival < 5"), numbered.filter("arrival >= 5").unionByName(nowhen)):
+        _land(part, landing)
+        L.run_to_parquet(L.stream_window(L.read_bar_stream(spark, landing, numbered.schema), 3), sink, mark)
+    minute = lambda t: None if t is None else round((t.timestamp() - rows[0].interval_start.timestamp()) / 60) + 3
+    got = [(r.arrival, minute(r.interval_start), r.accepted, minute(r.evicted), r.held) for r in spark.read.parquet(sink).orderBy("arrival").collect()]
+    assert got == [
+        (0, 3, True, None, 1), (1, 4, True, None, 2), (2, 5, True, None, 3), (3, 6, True, 3, 3),
+        (4, 1, True, 1, 3), (5, 1, True, 1, 3),  # older than all: goes at once, and may come again
+        (6, 4, False, None, 3), (7, 7, True, 4, 3), (8, 3, True, 3, 3), (20, None, False, None, 3),
+    ]
