@@ -196,9 +196,9 @@ steps AS (
   SELECT symbol, k, interval_start, arrival, true AS accepted, NULL::TIMESTAMP AS evicted, [bar] AS bars FROM slim WHERE k = 1
   UNION ALL
   SELECT symbol, k, interval_start, arrival, taken, CASE WHEN len(put) > {limit} THEN put[1].s END, CASE WHEN len(put) > {limit} THEN put[2:] ELSE put END
-  FROM (SELECT *, CASE WHEN taken THEN list_sort(list_append(list_filter(bars, x -> x.s <> interval_start), bar)) ELSE bars END AS put
+  FROM (SELECT *, CASE WHEN taken THEN list_sort(list_append(list_filter(bars, lambda x: x.s <> interval_start), bar)) ELSE bars END AS put
     FROM (SELECT n.symbol, n.k, n.interval_start, n.arrival, n.bar, w.bars,
-        len(list_filter(w.bars, x -> x.s = n.interval_start AND (x.id = n.id OR (x.fin AND NOT n.fin) OR (x.live AND n.rep)))) = 0 AS taken
+        len(list_filter(w.bars, lambda x: x.s = n.interval_start AND (x.id = n.id OR (x.fin AND NOT n.fin) OR (x.live AND n.rep)))) = 0 AS taken
       FROM steps w JOIN slim n ON n.symbol = w.symbol AND n.k = w.k + 1)))
 SELECT symbol, interval_start, arrival, accepted, evicted, len(bars) AS held FROM steps"""
 
