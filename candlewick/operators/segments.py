@@ -80,14 +80,14 @@ def in_ranges(df: DataFrame, layout: Layout, first_of_each: bool = False) -> Dat
 
 def number_rows(df: DataFrame, layout: Layout, first_of_each: bool = False) -> DataFrame:
     """Exact 1-based position ``rn`` of every row within its key, and the key as ``_k``."""
-    placed = in_ranges(df, layout, first_of_each).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = in_ranges(df, layout, first_of_each).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
     held = stage(placed.withColumn("_k", F.struct(*layout.keys)))
-    along = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = held.groupBy("_k", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = held.groupBy("_k", "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(along), F.lit(0)) - F.col("_first") + 1
     # written, so that its size is known: where it is small, the join broadcasts it
-    runs = stage(runs.select("_k", "_part", before.alias("_before")))
-    return held.join(runs, ["_k", "_part"]).withColumn("rn", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    runs = stage(runs.select("_k", "_range", before.alias("_shift")))
+    return held.join(runs, ["_k", "_range"]).withColumn("rn", F.col("_place") + F.col("_shift")).drop("_range", "_place", "_shift")
 
 
 def task_count(df: DataFrame) -> int:
