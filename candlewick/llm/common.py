@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -76,6 +78,16 @@ def rows_in(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tupl
             yield from zip(*(c.to_pylist() for c in part.columns))
 
 
+def give_back() -> None:
+    """Freed memory returns to the system.  Python workers are reused, so what one stage has held in them would stand
+    against the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, rows, schema: str | T.StructType, size: int = ROWS_OUT) -> DataFrame:
     """``rows`` maps an iterator of input tuples to an iterator of output tuples, sent ``size`` at a time."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -83,5 +95,6 @@ def map_rows(df: DataFrame, rows, schema: str | T.StructType, size: int = ROWS_O
 
     def run(batches):
         yield from batches_of(rows(rows_in(batches)), arrow, size)
+        give_back()
 
     return df.mapInArrow(run, kind)
