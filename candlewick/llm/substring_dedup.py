@@ -1,7 +1,7 @@
 """Removal of repeated lines, paragraphs and passages by hashing normalised words.
 
-Every line is a unit, and so is every paragraph (lines up to a blank one); their normalised
-words give a digest.  Besides, passages that repeat inside lines: all windows of ``WINDOW_WORDS``
+Every line of at least ``unit_words`` words is a unit, and so is every paragraph (lines up to a blank one);
+their normalised words give a digest.  Besides, passages that repeat inside lines: all windows of ``WINDOW_WORDS``
 words are hashed and of each ``PICK`` windows in a row the least hashes are taken, so two
 copies of a passage give the same windows wherever they stand.  Windows taken overlap; those of a
 passage leave out less than ``PICK`` words at either end.  Digests are grouped over the corpus.  The
@@ -25,7 +25,9 @@ from candlewick.llm.common import map_rows, rows_in, table, width
 WINDOW_WORDS = 10
 PICK = 6  # at most WINDOW_WORDS, so that windows taken leave no word between them
 RUN_WORDS = 25
+UNIT_WORDS = WINDOW_WORDS  # of the query: shorter lines (headings, stock phrases, single words) are no repeats of their own
 RECORDS = 1 << 19
+BUCKET_CHARS = 1 << 23  # text per bucket; about as many records as a task holds before it settles them
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _U = np.uint64
 _RECORD = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4")])
@@ -77,8 +79,8 @@ def _picked(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(taken)
 
 
-def _units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, end word) of the lines that hold words and of the paragraphs of several, by place."""
+def _units(lines: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end word) of the lines that hold words and of the paragraphs of several, by place; those of ``least`` words or more."""
     full = np.concatenate([[0], (lines > 0).astype(np.int8), [0]])
     stops = np.cumsum(lines)
     starts = stops - lines
@@ -86,11 +88,13 @@ def _units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     several = last > first
     starts = np.concatenate([starts[lines > 0], starts[first[several]]])
     stops = np.concatenate([stops[lines > 0], stops[last[several]]])
+    long = stops - starts >= least
+    starts, stops = starts[long], stops[long]
     order = np.argsort(starts, kind="stable")
     return starts[order], stops[order]
 
 
-def windows(codes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def windows(codes: np.ndarray, lines: np.ndarray, unit_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(digest, first word, end word) of a text's units, then of its windows; the number of units."""
     n = len(codes)
     base = 0xD6E8FEB86659FD93
@@ -101,7 +105,7 @@ def windows(codes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarra
     def digest(starts, stops, salt):
         return _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(_U), salt)
 
-    starts, stops = _units(lines)
+    starts, stops = _units(lines, unit_words)
     units = digest(starts, stops, 3)
     every = np.arange(max(n - WINDOW_WORDS + 1, 0))
     grams = digest(every, every + WINDOW_WORDS, 2)
@@ -121,9 +125,9 @@ def _runs(cover: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(change[::2], change[1::2]))
 
 
-def removed(text: str, codes: np.ndarray, lines: np.ndarray, late: np.ndarray) -> list[tuple[int, int]]:
+def removed(text: str, codes: np.ndarray, lines: np.ndarray, late: np.ndarray, unit_words: int = 1) -> list[tuple[int, int]]:
     """Code point spans to remove, given the numbers of units and windows that are later occurrences."""
-    _, starts, stops, n_units = windows(codes, lines)
+    _, starts, stops, n_units = windows(codes, lines, unit_words)
     hit = np.unique(late)
     units = hit[hit < n_units]
     cover = _covered(starts[units], stops[units], len(codes))
@@ -137,11 +141,11 @@ def removed(text: str, codes: np.ndarray, lines: np.ndarray, late: np.ndarray) -
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def _emit(buckets: int):
+def _emit(buckets: int, unit_words: int):
     def rows(stream):
         words, held, n = Words(), [], 0
         for doc, key, text in stream:
-            digest = windows(*words(text))[0]
+            digest = windows(*words(text), unit_words)[0]
             if len(digest):
                 part = np.empty(len(digest), _RECORD)
                 part["digest"], part["doc"], part["key"], part["at"] = digest, doc, key, np.arange(len(digest))
@@ -181,7 +185,8 @@ def _settle(records: np.ndarray, buckets: int):
     for a, b in zip(cut, np.append(cut[1:], len(lead))):
         yield int(bucket[a]), None, None, lead[a:b].tobytes()
     for doc, key, at in _by_doc(records[late]):
-        yield int(key % buckets), doc, key, at
+        # by document, not by text: copies of one text go to many buckets
+        yield int(_mix(np.array([doc ^ key], np.int64).view(_U))[0] % _U(buckets)), doc, key, at
 
 
 def _by_doc(records: np.ndarray):
@@ -194,11 +199,15 @@ def _by_doc(records: np.ndarray):
             yield int(doc[a]), int(key[a]), np.unique(records["at"][a:b]).astype("<i4").tobytes()
 
 
-def late_windows(docs: DataFrame) -> DataFrame:
-    """(doc, key, at): per document (doc, key, text), packed numbers of units and windows that occur earlier elsewhere."""
+def late_windows(docs: DataFrame, unit_words: int = 1) -> DataFrame:
+    """(doc, key, at): per document (doc, key, text), packed numbers of units and windows that occur earlier elsewhere.
+
+    A task holds one bucket of records at a time; buckets grow in number with the text, not in size.
+    """
     spark = docs.sparkSession
-    buckets = 4 * width(spark)
-    emitted = map_rows(docs, _emit(buckets), "bucket int, doc long, key long, packed binary")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(4 * width(spark), chars // BUCKET_CHARS)
+    emitted = map_rows(docs, _emit(buckets, unit_words), "bucket int, doc long, key long, packed binary")
     dealt = emitted.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
     out = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.binary())])
 
@@ -229,24 +238,25 @@ def late_windows(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, T.StructType.fromDDL("doc long, key long, at binary"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, unit_words: int = 1) -> DataFrame:
     """(doc_id, text, removed array<struct<start, end>>), a row per row of ``docs`` (needs doc_id and text).
 
     ``text`` is what stays, ``removed`` the spans of the original.  NULL text is empty.  Rows of equal id and
     text count as one document and keep or lose the same parts; other rows of equal id are documents of their
-    own, by a hash of the text.  NULL ids rank last.  An empty table gives no rows.
+    own, by a hash of the text.  NULL ids rank last.  An empty table gives no rows.  Lines and paragraphs of fewer than
+    ``unit_words`` words go only as parts of longer repeats; at 1 every repeated line goes, even of a single word.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     no_id = F.col("doc_id").isNull()
     key = F.when(no_id, F.xxhash64("text", F.lit(NO_ID))).otherwise(F.xxhash64("text"))
     keyed = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), key.alias("key"))
-    late = late_windows(keyed.select("doc", "key", "text")).groupBy("doc", "key").agg(F.collect_list("at").alias("at"))  # a document's own
+    late = late_windows(keyed.select("doc", "key", "text"), unit_words).groupBy("doc", "key").agg(F.collect_list("at").alias("at"))  # a document's own
     both = keyed.join(late, ["doc", "key"], "left").select("doc_id", "text", "at")
 
     def rows(stream):
         words = Words()
         for doc_id, text, at in stream:
-            spans = removed(text, *words(text), np.frombuffer(b"".join(at), "<i4")) if at else []
+            spans = removed(text, *words(text), np.frombuffer(b"".join(at), "<i4"), unit_words) if at else []
             kept, done = [], 0
             for a, b in spans:
                 kept.append(text[done:a])
@@ -257,5 +267,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeats(table(spark, sf_dir, "documents"))
+    out = drop_repeats(table(spark, sf_dir, "documents"), UNIT_WORDS)
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "removed", "text")

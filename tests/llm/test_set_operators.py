@@ -263,6 +263,55 @@ def test_rows_of_no_or_equal_id_lose_only_their_own_repeats(spark, doc_id):
     assert {text.split()[-1] for text in got} == {"p59", "a59", "c59", "d8", "e8"}
 
 
+def plain_repeats(rows, least):
+    """Spans to remove by the definition: units and windows as tuples of words, the earliest of each stays."""
+    words, parts = substring_dedup.Words(), []
+    for doc, text in rows:
+        codes, lines = words(text)
+        _, starts, stops, n_units = substring_dedup.windows(codes, lines, least)
+        bare = [w.casefold().strip(".,;:!?") or w.casefold() for w in text.split()]
+        parts.append([(i < n_units, tuple(bare[a:b]), a, b) for i, (a, b) in enumerate(zip(starts, stops))])
+    first = {}
+    for (doc, text), found in sorted(zip(rows, parts), key=lambda x: x[0][0]):
+        for at, (unit, key, _, _) in enumerate(found):
+            first.setdefault((unit, key), (doc, at))
+    out = {}
+    for (doc, text), found in zip(rows, parts):
+        late = [(unit, a, b) for at, (unit, key, a, b) in enumerate(found) if first[unit, key] != (doc, at)]
+        gone = {i for unit, a, b in late if unit for i in range(a, b)}
+        covered = sorted({i for _, a, b in late for i in range(a, b)})
+        for _, run in itertools.groupby(enumerate(covered), lambda x: x[1] - x[0]):
+            run = [i for _, i in run]
+            gone |= set(run) if len(run) >= substring_dedup.RUN_WORDS else set()
+        out[doc] = [w for i, w in enumerate(text.split()) if i not in gone]
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 10])
+def test_repeats_equal_the_plain_version(spark, least):
+    random = np.random.default_rng(31)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    say = lambda n: " ".join(random.choice(vocabulary, n))
+    shared = [say(int(n)) for n in random.integers(1, 70, 40)]
+    rows = []
+    for i in random.permutation(300):
+        parts = [shared[random.integers(40)] if random.random() < 0.5 else say(int(random.integers(0, 30))) for _ in range(random.integers(1, 9))]
+        rows.append((int(i), str(random.choice(["\n", "\n\n", " "])).join(parts)))
+    rows += [(1000 + i, rows[0][1]) for i in range(200)]  # many copies
+    want = plain_repeats(rows, least)
+    assert sum(len(w) for w in want.values()) < sum(len(t.split()) for _, t in rows)
+    for r in substring_dedup.drop_repeats(documents(spark, rows).repartition(9), least).collect():
+        assert r.text.split() == want[r.doc_id], r.doc_id
+
+
+def test_short_lines_stay_where_units_have_a_least_length(spark):
+    stock = ["All rights reserved.", "x"]
+    line = " ".join(f"n{i}" for i in range(10))
+    rows = [(i, "\n".join([*stock, f"own{i}", line])) for i in range(5)]
+    got = {r.doc_id: r.text.strip() for r in substring_dedup.drop_repeats(documents(spark, rows), 10).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == "\n".join([*stock, f"own{i}"]) for i in range(1, 5))
+
+
 # n-gram Jaccard join
 
 
