@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlewick.catalog.helpers import pick, plain, r
@@ -57,6 +58,15 @@ def volume_event(spark, d):
     )
 
 
+def stretched_rank(spark, d):
+    """Whether three bars still carry a parabola when the first of their gaps grows by powers of ten."""
+    w = Window.partitionBy("symbol").orderBy("interval_start")
+    minutes = lambda n: (F.unix_micros(F.lag("interval_start", n).over(w)) - F.unix_micros("interval_start")) / F.lit(60_000_000.0)
+    b = event_bars(spark, d).select(*KEY, minutes(2).alias("tau0"), minutes(1).alias("tau1")).filter("tau0 IS NOT NULL")
+    b = b.withColumn("power", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("tau0", F.col("tau0") * F.pow(F.lit(10.0), F.col("power")))
+    return plain(b.select(*KEY, "power", V.full_rank(F.col("tau0"), F.col("tau1")).alias("full")))
+
+
 QUERIES = {
     "flagship_latest_activity": flagship,
     "volume_obs": lambda spark, d: plain(V.volume_observations(event_bars(spark, d))),
@@ -64,6 +74,7 @@ QUERIES = {
     "v_n": _features("v_n:9"),
     "interval_mean15": _features("interval_mean:9", "mean_status"),
     "v1_v2": _features("v1:9", "v2:9", "v1_status"),
+    "v1_v2_rank": stretched_rank,
     "volume_point": _features("predicted_next_vn:9"),
     "volume_phase": _features("phase"),
     "volume_raw_color": _features("raw_color"),
@@ -92,7 +103,17 @@ bars AS (
          CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, NULL AS interval_end, NULL AS source_timestamp, NULL AS market_snapshot_id
   FROM lineitem GROUP BY ALL)"""
 
+# The least root lies above the cutoff exactly where the polynomial is still negative and on its first rise there.
+_RANK = f"""WITH {bars_cte()}, t AS (SELECT symbol, interval_start, (epoch_us(lag(interval_start, 2) OVER w) - epoch_us(interval_start)) / 6e7 AS a0, (epoch_us(lag(interval_start, 1) OVER w) - epoch_us(interval_start)) / 6e7 AS b
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY interval_start)),
+p AS (SELECT symbol, interval_start, CAST(power AS INTEGER) AS power, CAST(a0 * pow(10.0, power) AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM t, range(10) AS r(power) WHERE a0 IS NOT NULL),
+e AS (SELECT *, 3 + a**2 + a**4 + b**2 + b**4 AS e1, (b - a)**2 * (1 + (a + b)**2 + (a * b)**2) + a**2 + a**4 + b**2 + b**4 AS e2, ((b - a) * a * b)**2 AS e3 FROM p),
+n AS (SELECT *, list_reduce(list_prepend(e1, list_transform(range(80), lambda i: 0.0::DOUBLE)), lambda x, y: x - (x * x * x - e1 * x * x + e2 * x - e3) / (3 * x * x - 2 * e1 * x + e2)) AS top FROM e),
+c AS (SELECT *, pow(3 * 2.220446049250313e-16, 2) * top AS x FROM n)
+SELECT symbol, interval_start, power, ((x - e1) * x + e2) * x - e3 < 0 AND (3 * x - 2 * e1) * x + e2 > 0 AND x < e1 / 3 AS "full" FROM c"""
+
 ORACLE = {
+    "v1_v2_rank": _RANK,
     "flagship_latest_activity": f"""{_BASE}, {confirm_cte()}
 SELECT v.symbol, v.interval_start, v.rn, round(v_n, 9) AS v_n, round(interval_mean, 9) AS interval_mean, v.raw_color, phase,
        c.color AS indicator, c.transition, {_STATUS} AS status
