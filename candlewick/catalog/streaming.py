@@ -9,9 +9,11 @@ from candlewick.catalog.changes import beats
 from candlewick.catalog.helpers import pick, plain, r
 from candlewick.catalog.sources import scratch
 from candlewick.catalog.sqltext import adaptive_cte, arrivals_cte, bars_cte, beats_cte, confirm_cte, policy_cte, price_cte, resolved_cte, volume_cte
+from candlewick.functions import scalars as S
 from candlewick.operators import adaptive as A
 from candlewick.operators import price as P
 from candlewick.operators import volume as V
+from candlewick.operators import ingest as I
 from candlewick.operators.ingest import latest_by
 from candlewick.operators.tails import tail
 from candlewick.plans import changes as C
@@ -157,7 +159,36 @@ def tail_limited(spark, d):
     return plain(tail(stored, live, ["click", "VIEW"], 20, str.lower).select(*KEY, "phase", "indicator"))
 
 
+def live_tail(symbols=None):
+    """Subscription at two quarters of the time; bars land in two parts and the stream is stopped between them."""
+
+    def run(spark, d):
+        b, at = event_bars(spark, d), F.unix_micros("interval_start")
+        low, high = b.agg(F.min(at), F.max(at)).first()
+        upto = lambda quarters: low + (high - low) * quarters // 4
+        event = lambda v: v.withColumn("event_id", F.concat("symbol", F.lit(":volume:"), "rn")).select(*KEY, "event_id", "indicator")
+        stored = event(V.volume_events(b.filter(at < upto(2))))
+        landing, sink = scratch(spark, "landing"), scratch(spark, "sink")
+        for part in (at < upto(3), at >= upto(3)):
+            b.filter(part).repartition(FILES).write.mode("append").parquet(landing)
+            live = event(L.stream_volume(L.read_bar_stream(L.configure(spark), landing, b.schema, FILES)))
+            L.run_to_parquet(L.stream_tail(live, stored, symbols, str.lower), sink, f"{sink}-checkpoint")
+        first = latest_by(S.symbol_filter(stored, symbols, stored=str.lower), ["symbol"], "interval_start").withColumn("phase", F.lit(0))
+        return plain(first.unionByName(spark.read.parquet(sink).withColumn("phase", F.lit(1))))
+
+    return run
+
+
+def feed_watch(spark, d):
+    """Bars as heartbeats of their symbols, one due every hour."""
+    beats = event_bars(spark, d, "1 minute").select("symbol", F.col("interval_end").alias("beat"))
+    return plain(collected(spark, L.stream_feed_watch(replay(spark, beats, day="beat"), 3600, "90 seconds")))
+
+
 QUERIES = {
+    "tail_volume_live": live_tail(),
+    "tail_volume_live_chosen": live_tail(["click", "VIEW"]),
+    "stream_feed_watch": feed_watch,
     "stream_bars": bars,
     "stream_volume_from_ticks": volume_from_ticks,
     "stream_dedup_revisions": revisions,
@@ -203,7 +234,24 @@ steps AS (
 SELECT symbol, interval_start, arrival, accepted, evicted, len(bars) AS held FROM steps"""
 
 
+def _live(where: str) -> str:
+    return f"""{_VOL}, e AS (SELECT v.symbol, v.interval_start, v.symbol || ':volume:' || v.rn AS event_id, c.color AS indicator FROM vol v LEFT JOIN conf c ON c.symbol = v.symbol AND c.rn = v.rn),
+  m AS (SELECT min(epoch_us(interval_start)) AS low, max(epoch_us(interval_start)) AS high FROM e),
+  k AS (SELECT e.*, CASE WHEN epoch_us(interval_start) < low + (high - low) * 2 // 4 THEN 0 ELSE 1 END AS phase FROM e, m WHERE {where})
+  SELECT symbol, interval_start, event_id, indicator, phase FROM k QUALIFY phase = 1 OR row_number() OVER (PARTITION BY symbol, phase ORDER BY interval_start DESC) = 1"""
+
+
+_WATCH = f"""WITH {bars_cte('b0', unit='minute')}, b AS (SELECT symbol, interval_end AS beat, lead(interval_end) OVER (PARTITION BY symbol ORDER BY interval_end) AS next FROM b0),
+  w AS (SELECT max(beat) - INTERVAL 90 SECONDS AS wm FROM b),
+  t AS (SELECT symbol, unnest(generate_series(beat, coalesce(next - INTERVAL 1 MICROSECOND, greatest(wm, beat)), INTERVAL 1 HOUR)) AS "at", beat FROM b, w),
+  n AS (SELECT symbol, "at", CAST((epoch_us("at") - epoch_us(beat)) // 3600000000 AS BIGINT) AS misses FROM t)
+  SELECT symbol, "at", misses, CASE WHEN misses >= {I.HEARTBEAT_MAX_MISSES} THEN 'FAILED' ELSE 'HEALTHY' END AS feed_state, CASE WHEN misses >= {I.HEARTBEAT_MAX_MISSES} THEN 'UNAVAILABLE' ELSE 'HEALTHY' END AS component FROM n"""
+
+
 ORACLE = {
+    "tail_volume_live": _live("true"),
+    "tail_volume_live_chosen": _live("symbol IN ('click', 'view')"),
+    "stream_feed_watch": _WATCH,
     "stream_bar_window": _windowed(64),
     "stream_bar_window_short": _windowed(2),
     "stream_bars": f"WITH {_CLOSED} SELECT symbol, interval_start, open, high, low, close, volume, event_count FROM bars",

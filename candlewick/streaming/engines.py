@@ -459,7 +459,9 @@ class VolumeActivity(KeyedFold):
             if size >= V.FIT_POINTS:
                 x0, x1 = at[:-2] - at[2:], at[1:-1] - at[2:]
                 f01, f12 = (v_n[1:-1] - v_n[:-2]) / (x1 - x0), (v_n[2:] - v_n[1:-1]) / (-x1)
-                a = np.where(x0 >= -V.MAX_GAP_MINUTES, (f12 - f01) / (-x0), np.nan)
+                design = np.stack([np.stack([np.ones(len(x0)), x, x * x], axis=1) for x in (x0, x1, np.zeros(len(x0)))], axis=1)
+                full = np.linalg.matrix_rank(design) == V.FIT_POINTS  # same cutoff: 3 * eps * largest
+                a = np.where(full, (f12 - f01) / (-x0), np.nan)
                 v1[2:], v2[2:] = f12 - a * x1, 2.0 * a
         p1, p2, labels = state["p1"], state["p2"], []
         for m in mean[-fresh_rows:].tolist():
@@ -505,3 +507,94 @@ class Changes(KeyedFold):
             out.append({**row, "sequence": n, "transition_id": f"{row['stage_id']}:{row['entity_id']}:{n}", "prev_code": s["code"]})
             s = {"n": n, "compared": row["compared"], "code": row["code"]}
         return s, pd.DataFrame(out, columns=[*rows.columns, "sequence", "transition_id", "prev_code"])
+
+
+def _micros(column: pd.Series) -> np.ndarray:
+    return column.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+class Tail(StatefulProcessor):
+    """Live events behind a stored snapshot: what the snapshot or an earlier event already told is not told again.
+
+    State of a symbol: the time of its newest event and the ids told at that time.  It begins as the snapshot's row.
+    """
+
+    def __init__(self, names: list[str], schema: T.StructType):
+        self.names, self.schema = names, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._told = handle.getValueState("told", "at long, ids string")
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._told.update((int(_micros(initialState["interval_start"])[0]), json.dumps(initialState["event_id"].tolist())))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        at, ids = None, []
+        if self._told.exists():
+            at, ids = self._told.get()[0], json.loads(self._told.get()[1])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["interval_start", "event_id"], kind="stable", ignore_index=True)
+        batch = batch[batch["interval_start"].notna()].drop_duplicates(["interval_start", "event_id"])
+        start = _micros(batch["interval_start"])
+        new = np.ones(len(batch), bool) if at is None else (start > at) | ((start == at) & ~batch["event_id"].isin(ids).to_numpy())
+        batch, start = batch[new], start[new]
+        if len(batch):
+            newest = int(start[-1])
+            told = batch["event_id"][start == newest].tolist()
+            self._told.update((newest, json.dumps(told + (ids if newest == at else []))))
+            yield batch[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+class FeedWatch(StatefulProcessor):
+    """A row per heartbeat and per moment at which one was due; the timer speaks where no row comes.
+
+    ``misses`` counts the moments missed since the last beat.  Which rows result depends on the beats and the
+    last watermark only, not on how beats fall into micro-batches.
+    """
+
+    schema = layout("symbol string, at timestamp, misses long")
+
+    def __init__(self, every_seconds: int):
+        self.every = every_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._seen = handle.getValueState("seen", "beat long, misses long")
+
+    def _row(self, key: Any, at: np.ndarray, misses: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"symbol": key[0], "at": pd.to_datetime(at, unit="us"), "misses": misses})
+
+    def _missed(self, key: Any, beat: int, misses: int, before: int) -> tuple[int, pd.DataFrame]:
+        """Moments due after ``beat`` and before ``before`` that were not told yet."""
+        due = max((before - beat - 1) // self.every, misses)
+        numbers = np.arange(misses + 1, due + 1)
+        return due, self._row(key, beat + numbers * self.every, numbers)
+
+    def _wait(self, beat: int, misses: int) -> None:
+        self._seen.update((beat, misses))
+        self._handle.registerTimer(-(-(beat + (misses + 1) * self.every) // 1000))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        beats = np.unique(_micros(pd.concat([r["beat"].dropna() for r in rows])))
+        last, misses = self._seen.get() if self._seen.exists() else (None, 0)
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        for beat in beats.tolist():
+            if last is None or beat > last + misses * self.every:
+                if last is not None:
+                    yield self._missed(key, last, misses, beat)[1]
+                yield self._row(key, np.array([beat]), np.array([0]))
+                last, misses = beat, 0
+        if last is not None:
+            self._wait(last, misses)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        last, misses = self._seen.get()
+        misses, missed = self._missed(key, last, misses, timerValues.getCurrentWatermarkInMs() * 1000 + 1)
+        self._wait(last, misses)
+        yield missed
+
+    def close(self) -> None:
+        pass

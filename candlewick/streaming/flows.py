@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from candlewick.functions import scalars as S
 from candlewick.operators import adaptive as A
 from candlewick.operators import gate as H
+from candlewick.operators import health as U
+from candlewick.operators import ingest as I
 from candlewick.operators import price as P
 from candlewick.operators.ingest import _GENERATION, WINDOW_LIMIT, revision_rank
 from candlewick.operators.transitions import COMPARED
@@ -166,6 +168,36 @@ def stream_transitions(events: DataFrame) -> DataFrame:
     return _fold(rows, ["stage_id", "entity_id"], E.Changes())
 
 
+def stream_tail(live: DataFrame, stored: DataFrame, symbols: list[str] | None = None, form=str.upper) -> DataFrame:
+    """The live part of a subscription: events newer than each symbol's latest stored one, each once.
+
+    ``live`` is a stream of events (symbol, interval_start, event_id and more), ``stored`` a batch of them.  The
+    latest stored event of a symbol is the state the stream starts from; a subscriber gets those rows first, from
+    ``latest_by(stored)``.  A restart goes on from the checkpoint and takes no second snapshot.
+    """
+    chosen = S.symbol_filter(live, symbols, stored=form)
+    told = I.latest_by(S.symbol_filter(stored, symbols, stored=form), ["symbol"], "interval_start").select("symbol", "interval_start", "event_id")
+    engine = E.Tail(chosen.columns, chosen.schema)
+    return chosen.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=engine, outputStructType=engine.schema, outputMode="Append", timeMode="None", initialState=told.groupBy("symbol")
+    )
+
+
+def stream_feed_watch(beats: DataFrame, every_seconds: int, lateness: str = LATENESS) -> DataFrame:
+    """State of each feed at every beat (symbol, beat) and at every moment ``every_seconds`` apart that passed without one.
+
+    Missing beats are told by an event-time timer, so they count without any row of that feed arriving, as soon as
+    the other feeds' beats carry the watermark past them.
+    """
+    engine = E.FeedWatch(every_seconds)
+    seen = (
+        beats.select("symbol", "beat").withWatermark("beat", lateness).groupBy("symbol")
+        .transformWithStateInPandas(statefulProcessor=engine, outputStructType=engine.schema, outputMode="Append", timeMode="EventTime")
+    )
+    state = I.feed_state(F.lit(None).cast("string"), F.lit(None).cast("double"), F.col("misses"))
+    return seen.withColumn("feed_state", state).withColumn("component", U.feed_component(F.col("feed_state")))
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available, then stop; restarting continues where it ended."""
     query = (

@@ -1,5 +1,7 @@
 """Stream = batch, also across a restart in the middle."""
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +85,26 @@ def test_window_forgets_what_it_evicts_also_across_a_restart(spark, tmp_path):
         (4, 1, True, 1, 3), (5, 1, True, 1, 3),  # older than all: goes at once, and may come again
         (6, 4, False, None, 3), (7, 7, True, 4, 3), (8, 3, True, 3, 3), (20, None, False, None, 3),
     ]
+
+
+def test_missing_beats_count_without_a_row(spark, tmp_path):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    beat = lambda name, m: (name, start + timedelta(minutes=m))
+    slices = [[beat("a", 0), beat("b", 0), beat("a", 1)], [beat("b", m) for m in range(1, 8)], [beat("a", 9), beat("b", 9), beat("b", 9), (None, start)]]
+    schema = "symbol string, beat timestamp"
+
+    def run(parts, name):
+        path = str(tmp_path / name)
+        L.configure(spark)
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            flow = L.stream_feed_watch(L.read_bar_stream(spark, f"{path}/in", T.StructType.fromDDL(schema)), 120, "30 seconds")
+            L.run_to_parquet(flow, f"{path}/out", f"{path}/checkpoint")
+        got = spark.read.parquet(f"{path}/out").filter("symbol IS NOT NULL").collect()
+        return sorted((r.symbol, int((r["at"] - start.replace(tzinfo=None)).total_seconds() // 60), r.misses, r.component) for r in got)
+
+    whole = run([sum(slices, [])], "one")
+    assert run(slices, "three") == whole
+    assert [x[1:3] for x in whole if x[0] == "a"] == [(0, 0), (1, 0), (3, 1), (5, 2), (7, 3), (9, 0)]
+    assert [x[1:3] for x in whole if x[0] == "b"] == [*((m, 0) for m in range(8)), (9, 0)]
+    assert {x[3] for x in whole if x[2] >= 3} == {"UNAVAILABLE"}
