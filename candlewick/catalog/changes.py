@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from candlewick.catalog.helpers import plain, r
@@ -10,7 +12,9 @@ from candlewick.operators import audit as U
 from candlewick.operators import ingest as I
 from candlewick.operators import transitions as T
 from candlewick.plans import changes as C
-from candlewick.session import stage
+from candlewick.session import shared_dir, stage
+from candlewick.sources import transition_sink as K
+from candlewick.sources import transition_text as X
 from candlewick.sources.arrivals import heartbeats
 from candlewick.sources.ticks import event_bars
 
@@ -36,6 +40,33 @@ def damaged(spark, d):
     return c.unionByName(twice).withColumn("sequence", jumped)
 
 
+def by_day(spark, d):
+    path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    K.write_by_day(T.transitions(C.all_events(event_bars(spark, d), beats(spark, d))), path)
+    return path
+
+
+def logged(spark, d):
+    """Every seventh transition comes without an id, so the log drops it and says so."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    c = T.transitions(C.all_events(event_bars(spark, d), beats(spark, d)))
+    K.write_log(c.withColumn("transition_id", F.when(F.col("sequence") % 7 != 0, F.col("transition_id"))), path)
+    return path
+
+
+def log_agrees(lost):
+    """The log's own footer against what is read back; ``lost`` blocks went missing after it was written."""
+
+    def run(spark, d):
+        path = logged(spark, d)
+        found = X.parse_transitions_text(spark, f"{path}/blocks")
+        found = found.filter(~lost) if lost is not None else found
+        counts = X.parse_footer(spark, f"{path}/footer")
+        return U.log_report(found, counts)
+
+    return run
+
+
 def all_transitions(spark, d):
     c = changes(spark, d)
     return plain(
@@ -82,7 +113,9 @@ QUERIES = {
     "audit_warmup": lambda s, d: U.warmup(changes(s, d)),
     "audit_codes_in_order": lambda s, d: U.codes_in_order(changes(s, d)),
     "audit_sparsity": lambda s, d: U.sparsity(changes(s, d)).select("entity_id", "accepted", "p03_transitions", "p04_transitions", r("p03_ratio"), r("p04_ratio")),
-    "audit_time_slice": lambda s, d: plain(U.time_slice(changes(s, d), F.lit("2024-01-30 19:59:00").cast("timestamp")).select(*KEY, "transition_id", "effective_time", "current.code")),
+    "audit_time_slice": lambda s, d: plain(K.read_slice(s, by_day(s, d), F.lit("2024-01-30 19:59:00").cast("timestamp")).select(*KEY, "transition_id", "effective_time", "current.code")),
+    "audit_run_log": log_agrees(None),
+    "audit_run_log_torn": log_agrees(F.col("stage_id") == "P04_PRICE_ENGINE"),
     "audit_run_duration": lambda s, d: U.run_duration(changes(s, d), F.count("transition_id")),
 }
 
@@ -93,6 +126,13 @@ _LOST = f"""{_BASE}, logged AS (SELECT * REPLACE (CASE WHEN sequence >= 40 THEN
 lost AS (SELECT *, lag(sequence) OVER w AS seq0, lag(code) OVER w AS code0, lag(transition_id) OVER w AS id0,
   lag(({_FIELDS})) OVER w AS state0, ({_FIELDS}) AS state1
   FROM logged WINDOW w AS (PARTITION BY stage_id, entity_id ORDER BY position))"""
+def _log_report(kept: str) -> str:
+    return f"""{_BASE}, l AS (SELECT *, row_number() OVER (PARTITION BY stage_id, entity_id ORDER BY position) % 7 <> 0 AS known FROM chg),
+  t AS (SELECT CAST(epoch(max(effective_time) FILTER (known AND {kept})) - epoch(min(effective_time) FILTER (known AND {kept})) AS BIGINT) AS seconds,
+    count(*) FILTER (known AND {kept}) AS found, count(*) FILTER (known) AS recorded, count(*) FILTER (NOT known) AS dropped FROM l)
+  SELECT seconds, printf('%02d:%02d:%02d', seconds // 3600, seconds % 3600 // 60, seconds % 60) AS hms, found, recorded, dropped, 0::BIGINT AS write_errors, found = recorded AS agree FROM t"""
+
+
 _NAMES = "CASE stage_id WHEN 'P01_MARKET_FEED' THEN 'Market Feed' WHEN 'P02_INGESTION' THEN 'Ingestion' WHEN 'P03_ADAPTIVE' THEN 'Adaptive Model' ELSE 'Price Engine' END"
 _LABELS = [(label, name) for label, name in T._LINES]
 _PRICE_CHANGED = " UNION ALL ".join(
@@ -141,6 +181,8 @@ ORACLE = {
   FROM chg WHERE stage_id IN ('P03_ADAPTIVE', 'P04_PRICE_ENGINE') GROUP BY entity_id)
   SELECT *, round(p03_transitions / accepted, 9) AS p03_ratio, round(p04_transitions / accepted, 9) AS p04_ratio FROM p""",
     "audit_time_slice": f"{_BASE} SELECT stage_id, entity_id, transition_id, effective_time, code FROM chg WHERE effective_time >= TIMESTAMP '2024-01-30 19:59:00'",
+    "audit_run_log": _log_report("true"),
+    "audit_run_log_torn": _log_report("stage_id <> 'P04_PRICE_ENGINE'"),
     "audit_run_duration": f"""{_BASE}, t AS (SELECT CAST(epoch(max(effective_time)) - epoch(min(effective_time)) AS BIGINT) AS seconds, count(*) AS found FROM chg)
   SELECT seconds, printf('%02d:%02d:%02d', seconds // 3600, seconds % 3600 // 60, seconds % 60) AS hms, found, found AS recorded, true AS agree FROM t""",
 }

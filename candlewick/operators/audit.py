@@ -216,3 +216,13 @@ def run_duration(changes: DataFrame, recorded: Column) -> DataFrame:
         F.count("*").alias("found"),
         recorded.alias("recorded"),
     ).withColumn("agree", F.col("found") == F.col("recorded"))
+
+
+def log_report(found: DataFrame, footer: DataFrame) -> DataFrame:
+    """Run length, rows read back, and the footer's own counts; ``footer`` is the one row of ``parse_footer``."""
+    recorded = F.first("written").alias("recorded"), F.first("dropped").alias("dropped"), F.first("write_errors").alias("write_errors")
+    seconds = run_duration(found, F.lit(0)).drop("recorded", "agree")
+    both = seconds.unionByName(footer.agg(*recorded), allowMissingColumns=True)
+    names = ["seconds", "hms", "found", "recorded", "dropped", "write_errors"]
+    one = both.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return one.withColumn("agree", F.col("found").eqNullSafe(F.col("recorded")))

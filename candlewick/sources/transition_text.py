@@ -55,8 +55,8 @@ def _bar_lines() -> Column:
     return F.when(b.isNull(), f"{INDENT}N/A").otherwise(lines)
 
 
-def blocks(changes: DataFrame) -> DataFrame:
-    """One text block per transition, in the single column ``value``."""
+def blocks(changes: DataFrame, keep: Column | None = None) -> DataFrame:
+    """One text block per transition, in the single column ``value``; NULL where ``keep`` is false."""
     facts = F.array_join(F.transform(F.map_entries("facts"), lambda e: F.concat(F.lit(INDENT), e["key"], F.lit(": "), e["value"])), "\n")
     accepted = F.when((F.col("accepted_sequence") == 0) & F.col("source_event_id").isNull(), "N/A").otherwise(F.col("accepted_sequence").cast("string"))
     parts = [
@@ -86,7 +86,8 @@ def blocks(changes: DataFrame) -> DataFrame:
         F.concat(F.lit(INDENT), _na(F.col("reason_code"))),
         F.lit(f"\n{RULE}"),
     ]
-    return changes.select(F.concat_ws("\n", *parts).alias("value"))
+    text = F.concat_ws("\n", *parts)
+    return changes.select((text if keep is None else F.when(keep, text)).alias("value"))
 
 
 def write_transitions_text(changes: DataFrame, path: str) -> None:

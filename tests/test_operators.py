@@ -19,6 +19,8 @@ from candlewick.operators.kernels import _first_rows
 from candlewick.operators.segments import Layout
 from candlewick.sources.feeds import decode_feed_json, read_bars_csv
 from candlewick.sources.ticks import with_bar_fields
+from candlewick.sources.transition_sink import read_slice, write_by_day, write_log
+from candlewick.sources.transition_text import BLOCK_START, parse_footer, parse_transitions_text
 
 T0 = datetime(2024, 1, 2, 14, 30, tzinfo=timezone.utc)
 
@@ -264,3 +266,56 @@ def test_transitions_reset_and_numbering(spark):
 def test_symbol_requests():
     with pytest.raises(ValueError):
         S.symbol_filter(None, ["AAA", " "])
+
+
+def published(spark):
+    from candlewick.plans import changes as C
+    from candlewick.sources.ticks import event_bars
+
+    outcomes = C.decision_events(event_bars(spark, "/root/testdata/sf0.001"))
+    return T.transitions(outcomes).cache()
+
+
+def test_rank_rule_equals_singular_values(spark):
+    random = np.random.default_rng(5)
+    near, far = -(10 ** random.uniform(0, 9, 3000)), 10 ** random.uniform(0, 9, 3000)
+    rows = [(float(b - g), float(b)) for b, g in zip(near, far)]
+    rows += [(-float(t) - 1, -1.0) for t in np.geomspace(1e6, 1e8, 60)] + [(-float(t) - 1, -float(t)) for t in np.geomspace(1e6, 1e8, 60)]
+    df = spark.createDataFrame(rows, "a double, b double").select("a", "b", V.full_rank(F.col("a"), F.col("b")).alias("full"))
+    seen = set()
+    for a, b, full in df.collect():
+        sizes = np.linalg.svd(np.array([[1, a, a * a], [1, b, b * b], [1, 0, 0]]), compute_uv=False)
+        margin = sizes[2] / (3 * np.finfo(float).eps * sizes[0])
+        if not 0.2 < margin < 5:  # nearer to the border the library's own rounding decides
+            assert full == (margin > 1), (a, b)
+            seen.add(full)
+    assert seen == {True, False}
+
+
+def test_log_counts_what_it_writes_and_refuses(spark, tmp_path):
+    changes = published(spark)
+    broken = changes.withColumn("transition_id", F.when(F.col("sequence") != 2, F.col("transition_id")))
+    broken = broken.withColumn("reason_code", F.when(F.col("sequence") == 3, F.concat(F.lit("x\n"), F.lit(BLOCK_START))).otherwise(F.col("reason_code")))
+    path = str(tmp_path / "log")
+    write_log(broken.repartition(3), path)
+    want = rows_of(changes.select("transition_id", "sequence"), "transition_id", "sequence")
+    counts = parse_footer(spark, f"{path}/footer").collect()
+    refused = [sum(s == n for _, s in want) for n in (2, 3)]
+    assert [tuple(r) for r in counts] == [(len(want) - sum(refused), *refused)] and min(refused) > 0
+    read = parse_transitions_text(spark, f"{path}/blocks").select("transition_id", "sequence").collect()
+    assert sorted(tuple(r) for r in read) == sorted(t for t in want if t[1] not in (2, 3))
+    write_log(changes.limit(0), str(tmp_path / "none"))
+    assert [tuple(r) for r in parse_footer(spark, str(tmp_path / "none/footer")).collect()] == [(0, 0, 0)]
+
+
+def test_slice_opens_only_the_days_it_needs(spark, tmp_path):
+    changes, path = published(spark), str(tmp_path / "days")
+    write_by_day(changes, path)
+    first, last = changes.agg(F.min("effective_time"), F.max("effective_time")).first()
+    cut = F.lit(last)
+    got = read_slice(spark, path, cut)
+    assert sorted(r.transition_id for r in got.collect()) == sorted(r.transition_id for r in changes.filter(F.col("effective_time") >= cut).collect())
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(effective_day" in plan
+    opened = {r[0] for r in got.select("_metadata.file_path").collect()}
+    assert all(last.strftime("%Y-%m-%d") in name for name in opened) and first.date() < last.date()
