@@ -60,36 +60,29 @@ def with_activity(obs: DataFrame, layout: G.Layout) -> DataFrame:
     minutes = lambda t: (F.unix_micros(t) - F.unix_micros("interval_start")) / F.lit(60_000_000.0)
     obs = obs.withColumns({"_tau0": minutes(F.col("_t0")), "_tau1": minutes(F.col("_t1"))})
     tau0, tau1 = F.col("_tau0"), F.col("_tau1")
-    ordered = (tau0 < tau1) & (tau1 < 0)
+    obs = obs.withColumn("_full", (tau0 < tau1) & (tau1 < 0) & full_rank(tau0, tau1))
     # Newton form of the parabola through the three points, at tau = 0.
     f01 = (F.col("_y1") - F.col("_y0")) / (tau1 - tau0)
     f12 = (F.col("v_n") - F.col("_y1")) / (-tau1)
     a = (f12 - f01) / (-tau0)
-    ready = (F.col("rn") >= FIT_POINTS) & (F.col("_fit_rows") == FIT_POINTS) & ordered & full_rank(tau0, tau1)
+    ready = (F.col("rn") >= FIT_POINTS) & (F.col("_fit_rows") == FIT_POINTS) & F.col("_full")
     return obs.withColumns(
         {"v1": S.finite_or_null(F.when(ready, f12 - a * tau1)), "v2": S.finite_or_null(F.when(ready, a * 2.0))}
-    ).drop("_y1", "_y0", "_t1", "_t0", "_tau0", "_tau1", "_mean")
+    ).drop("_y1", "_y0", "_t1", "_t0", "_tau0", "_tau1", "_mean", "_full")
 
 
 def full_rank(tau0: Column, tau1: Column) -> Column:
     """Whether the parabola's design at times (tau0, tau1, 0) has three singular values above 3 * eps * the largest.
 
     Their squares are the roots of x^3 - e1 x^2 + e2 x - e3, whose coefficients are sums of squares (of entries, of
-    minors, of the determinant) and so lose nothing to cancellation.  The largest root in closed form leaves
-    a quadratic for the other two.
+    minors, of the determinant) and so lose nothing to cancellation.  Near the cutoff the least root is vanishing beside
+    the others: it is e3 / e2 there, and the largest solves x^2 - e1 x + e2.
     """
     s0, s1, d = tau0 * tau0, tau1 * tau1, tau1 - tau0
     e1 = F.lit(3.0) + s0 + s0 * s0 + s1 + s1 * s1
     e2 = d * d * (F.lit(1.0) + (tau0 + tau1) * (tau0 + tau1) + s0 * s1) + s0 + s0 * s0 + s1 + s1 * s1
-    e3 = d * d * s0 * s1
-    q = F.greatest((e1 * e1 - 3.0 * e2) / 9.0, F.lit(0.0))
-    r = (2.0 * e1 * e1 * e1 - 9.0 * e1 * e2 + 27.0 * e3) / 54.0
-    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(r, q * F.sqrt(q)))))
-    largest = e1 / 3.0 + 2.0 * F.sqrt(q) * F.cos(turn / 3.0)
-    product = e3 / largest
-    total = (e2 - product) / largest
-    middle = (total + F.sqrt(F.greatest(total * total - 4.0 * product, F.lit(0.0)))) / 2.0
-    return F.try_divide(product, middle) > F.lit((FIT_POINTS * DOUBLE_STEP) ** 2) * largest
+    largest = (e1 + F.sqrt(F.greatest(e1 * e1 - 4.0 * e2, F.lit(0.0)))) / 2.0
+    return F.try_divide(d * d * s0 * s1, e2) > F.lit((FIT_POINTS * DOUBLE_STEP) ** 2) * largest
 
 
 def _status(value: str, first_row: int) -> Column:
