@@ -1,6 +1,9 @@
 """Registered queries against their SQL.  ``CANDLEWICK_ALL=1`` runs every one."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -18,6 +21,11 @@ QUICK = {
 ALL = bool(os.environ.get("CANDLEWICK_ALL"))
 
 
+def test_queries_can_be_listed_without_a_session():
+    listing = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", listing], cwd=Path(entry.__file__).parent, check=True)
+
+
 def test_every_query_has_a_check():
     own = {name for name in entry.queries() if not name.startswith("op") and name != "pipeline"}
     assert own == set(entry.oracle_sql()) & own
