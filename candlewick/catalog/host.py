@@ -16,6 +16,7 @@ from candlewick.operators import health as L
 from candlewick.operators import price as P
 from candlewick.operators import volume as V
 from candlewick.operators.ingest import latest_by
+from candlewick.session import stage
 from candlewick.sources.arrivals import feed_arrivals
 from candlewick.sources.ticks import event_bars, read_table
 
@@ -49,12 +50,17 @@ def outcomes(spark, d):
 
 
 def joint(spark, d):
-    decided, priced, volumes = H.joint_commit(H.gate(flagged(spark, d)))
+    """Outcomes of the three models per symbol that sent anything; a symbol may have none at all."""
+    gated = stage(H.gate(flagged(spark, d)))
+    decided, priced, volumes = H.joint_commit(gated)
     counts = [
         df.groupBy("symbol").agg(F.count("*").alias(name), F.max(column).alias(f"last_{name}"))
         for df, name, column in ((decided, "decisions", "rn"), (priced, "prices", "rn"), (volumes, "volumes", "rn"))
     ]
-    return counts[0].join(counts[1], "symbol").join(counts[2], "symbol")
+    found = gated.filter(F.col("symbol").isNotNull()).select("symbol").distinct()
+    for c in counts:
+        found = found.join(c, "symbol", "left")
+    return found.na.fill(0)
 
 
 def reset_rows(spark, d):

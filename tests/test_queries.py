@@ -5,9 +5,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
-from oracle import compare
+from oracle import TABLES, compare
 
 import __spark_entry__ as entry
 
@@ -38,5 +39,21 @@ def test_query(spark, name):
     assert rows > 0
 
 
+@pytest.mark.parametrize(
+    "name, value",
+    [
+        ("joint_commit", "CASE WHEN event_type = 'click' THEN 0.1 ELSE value END"),  # a symbol that never commits
+    ],
+)
+def test_query_on_odd_values(spark, tmp_path, name, value):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    (tmp_path / "events.parquet").unlink()
+    duckdb.execute(f"COPY (SELECT * REPLACE ({value} AS value) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    problems, rows, _, _ = compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+    assert not problems
+    assert rows > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
