@@ -17,6 +17,7 @@ from candlewick.operators import ingest as I
 from candlewick.operators.ingest import latest_by
 from candlewick.operators.tails import tail
 from candlewick.plans import changes as C
+from candlewick.session import stage
 from candlewick.sources.arrivals import feed_arrivals
 from candlewick.sources.ticks import event_bars, read_table
 from candlewick.streaming import flows as L
@@ -29,7 +30,7 @@ CUTS = (11, 21)
 
 def replay(spark, df, slices=None, day="interval_start"):
     """Land a frame as files in slice order and read it back as a stream."""
-    path = scratch(spark, "landing")
+    path, df = scratch(spark, "landing"), stage(df)  # computed once, not once a slice
     d = F.dayofmonth(day)
     slices = slices or [d < CUTS[0], (d >= CUTS[0]) & (d < CUTS[1]), d >= CUTS[1]]
     for keep in slices:

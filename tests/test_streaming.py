@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 from candlewick.operators import adaptive as A
 from candlewick.operators import gate as H
 from candlewick.operators import volume as V
+from candlewick.streaming import engines as E
 from candlewick.streaming import flows as L
 from test_operators import bars, rows_of, walk
 
@@ -108,3 +110,50 @@ def test_missing_beats_count_without_a_row(spark, tmp_path):
     assert [x[1:3] for x in whole if x[0] == "a"] == [(0, 0), (1, 0), (3, 1), (5, 2), (7, 3), (9, 0)]
     assert [x[1:3] for x in whole if x[0] == "b"] == [*((m, 0) for m in range(8)), (9, 0)]
     assert {x[3] for x in whole if x[2] >= 3} == {"UNAVAILABLE"}
+
+
+class _Handle:
+    """What the feed watch asks of its state, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return self.timers
+
+    def deleteTimer(self, timer):
+        self.timers = [t for t in self.timers if t != timer]
+
+    def registerTimer(self, timer):
+        self.timers = [*self.timers, timer]
+
+
+def test_feed_watch_tells_many_beats_in_few_frames():
+    every, at, beats = 60, 0, []
+    for n in range(40_000):
+        at += (1 + n * n % 17 * 13) * 1_000_000
+        beats.append(at)
+    want, last = [], None
+    for beat in beats:
+        moments = range(last + every * 1_000_000, beat, every * 1_000_000) if last is not None else ()
+        want += [*((m, n + 1) for n, m in enumerate(moments)), (beat, 0)]
+        last = beat
+    engine, frames = E.FeedWatch(every), []
+    engine.init(_Handle())
+    for part in (beats[:7], beats[3:20_000], beats[20_000:]):  # the second repeats some of the first
+        frames += engine.handleInputRows(("a",), iter([pd.DataFrame({"beat": pd.to_datetime(part, unit="us")})]), None)
+    assert len(frames) < 10
+    got = pd.concat(frames)
+    assert sorted(zip(got["at"].astype("datetime64[us]").astype("int64"), got["misses"])) == sorted(want)
