@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candlewick.catalog import streaming as catalog
 from candlewick.operators import adaptive as A
 from candlewick.operators import gate as H
 from candlewick.operators import volume as V
@@ -157,3 +158,11 @@ def test_feed_watch_tells_many_beats_in_few_frames():
     assert len(frames) < 10
     got = pd.concat(frames)
     assert sorted(zip(got["at"].astype("datetime64[us]").astype("int64"), got["misses"])) == sorted(want)
+
+
+def test_live_tail_aggregates_the_ticks_once(spark, monkeypatch):
+    read = []
+    made = V.volume_events
+    monkeypatch.setattr(V, "volume_events", lambda b: (read.extend(b.inputFiles()), made(b))[1])
+    assert catalog.live_tail()(spark, "/root/testdata/sf0.001").count() > 0
+    assert read and not any(f.endswith("events.parquet") for f in read)
