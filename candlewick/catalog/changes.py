@@ -27,9 +27,14 @@ def beats(spark, d):
     return b.withColumn("capability", I.capability(F.col("feed_state"), F.col("n") >= 10, F.col("misses") == 1))
 
 
+def events(spark, d):
+    """Outcomes of all stages; the bars are written once, because every model and join reads them."""
+    return C.all_events(stage(event_bars(spark, d)), stage(beats(spark, d)))
+
+
 def changes(spark, d):
     """The transition table; written once, because every audit reads it several times."""
-    return stage(T.transitions(C.all_events(event_bars(spark, d), beats(spark, d))))
+    return stage(T.transitions(events(spark, d)))
 
 
 def damaged(spark, d):
@@ -42,14 +47,14 @@ def damaged(spark, d):
 
 def by_day(spark, d):
     path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
-    K.write_by_day(T.transitions(C.all_events(event_bars(spark, d), beats(spark, d))), path)
+    K.write_by_day(T.transitions(events(spark, d)), path)
     return path
 
 
 def logged(spark, d):
     """Every seventh transition comes without an id, so the log drops it and says so."""
     path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-    c = T.transitions(C.all_events(event_bars(spark, d), beats(spark, d)))
+    c = T.transitions(events(spark, d))
     K.write_log(c.withColumn("transition_id", F.when(F.col("sequence") % 7 != 0, F.col("transition_id"))), path)
     return path
 
@@ -76,8 +81,7 @@ def all_transitions(spark, d):
 
 
 def state_rows(spark, d):
-    e = C.all_events(event_bars(spark, d), beats(spark, d))
-    return plain(e.select(*KEY, "position", "state.code", "state.kind", "state.skip_reason", "state.color"))
+    return plain(events(spark, d).select(*KEY, "position", "state.code", "state.kind", "state.skip_reason", "state.color"))
 
 
 def with_epochs(spark, d):

@@ -11,6 +11,7 @@ import pytest
 from oracle import TABLES, compare
 
 import __spark_entry__ as entry
+from candlewick.catalog import changes
 
 SF = os.environ.get("CANDLEWICK_SF", "/root/testdata/sf0.001")
 QUICK = {
@@ -58,3 +59,8 @@ def test_query_on_odd_values(spark, tmp_path, name, value):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_all_stages_read_written_bars(spark):
+    read = changes.events(spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not any(f.endswith("events.parquet") for f in read)
