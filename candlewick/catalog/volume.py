@@ -38,7 +38,9 @@ def session_reset(spark, d):
 
 
 def shipments(spark, d):
-    return plain(V.volume_events(shipment_bars(spark, d)).select(*KEY, r("v_n"), r("interval_mean"), "indicator", "transition"))
+    """Volume only: without lineage, no price is aggregated or hashed, and no id is carried through the layout."""
+    bars = shipment_bars(spark, d).withColumns({"source_timestamp": F.lit(""), "market_snapshot_id": F.lit("")})
+    return plain(V.volume_events(bars).select(*KEY, r("v_n"), r("interval_mean"), "indicator", "transition"))
 
 
 def quantity_export(spark, d):

@@ -11,7 +11,7 @@ import pytest
 from oracle import TABLES, compare
 
 import __spark_entry__ as entry
-from candlewick.catalog import changes
+from candlewick.catalog import changes, volume
 
 SF = os.environ.get("CANDLEWICK_SF", "/root/testdata/sf0.001")
 QUICK = {
@@ -64,3 +64,10 @@ def test_entry(spark):
 def test_all_stages_read_written_bars(spark):
     read = changes.events(spark, "/root/testdata/sf0.001").inputFiles()
     assert read and not any(f.endswith("events.parquet") for f in read)
+
+
+def test_shipments_carry_no_lineage(spark, monkeypatch):
+    seen, made = [], volume.V.volume_events
+    monkeypatch.setattr(volume.V, "volume_events", lambda b: (seen.append(b), made(b))[1])
+    volume.shipments(spark, SF)
+    assert seen[0].select("market_snapshot_id", "source_timestamp").distinct().count() == 1
