@@ -27,6 +27,7 @@ PICK = 6  # at most WINDOW_WORDS, so that windows taken leave no word between th
 RUN_WORDS = 25
 UNIT_WORDS = WINDOW_WORDS  # of the query: shorter lines (headings, stock phrases, single words) are no repeats of their own
 RECORDS = 1 << 19
+SENT = 1 << 16  # records per Arrow batch
 BUCKET_CHARS = 1 << 23  # text per bucket; about as many records as a task holds before it settles them
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _U = np.uint64
@@ -199,43 +200,64 @@ def _by_doc(records: np.ndarray):
             yield int(doc[a]), int(key[a]), np.unique(records["at"][a:b]).astype("<i4").tobytes()
 
 
+def _each(records: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, key, at) columns, by document, equal rows once."""
+    order = np.lexsort((records["at"], records["key"], records["doc"]))
+    columns = [records[name][order] for name in ("doc", "key", "at")]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[new] for c in columns)
+
+
+def _unpacked(rows: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """The same columns from (doc, key, numbers) rows."""
+    lengths = [len(at) for _, _, at in rows]
+    doc, key = (np.repeat(np.array([r[i] for r in rows], "<i8"), lengths) for i in (0, 1))
+    return doc, key, np.concatenate([at for _, _, at in rows])
+
+
 def late_windows(docs: DataFrame, unit_words: int = 1) -> DataFrame:
-    """(doc, key, at): per document (doc, key, text), packed numbers of units and windows that occur earlier elsewhere.
+    """(doc, key, at): a row per unit or window of the documents (doc, key, text) that occurs earlier elsewhere.
 
-    A task holds one bucket of records at a time; buckets grow in number with the text, not in size.
+    A task holds one bucket of records at a time; buckets grow in number with the text, not in size.  A row is one
+    record: rows that gather a document's records per bucket would grow with documents times buckets.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(4 * width(spark), chars // BUCKET_CHARS)
     emitted = map_rows(docs, _emit(buckets, unit_words), "bucket int, doc long, key long, packed binary")
     dealt = emitted.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
-    out = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.binary())])
+    out = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int32())])
 
-    def meet(batches):
-        bucket_at, held, rows = None, [], []
+    def sent(columns):
+        for a in range(0, len(columns[0]), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + SENT]) for c in columns], schema=out)
 
+    def meet(batches):
         def close():
             records, late = _later(np.concatenate(held))
-            yield from _by_doc(records[late])
+            yield from sent(_each(records[late]))
 
+        bucket_at, held, rows, n = None, [], [], 0
         for bucket, doc, key, packed in rows_in(batches):
             if bucket != bucket_at and held:
-                rows += close()
+                yield from close()
                 held = []
             bucket_at = bucket
             if doc is None:
                 held.append(np.frombuffer(packed, _RECORD))
-            else:
-                rows.append((doc, key, packed))
-            if len(rows) > 4_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
-                rows = []
+                continue
+            rows.append((doc, key, np.frombuffer(packed, "<i4")))
+            n += len(rows[-1][2])
+            if n > SENT:
+                yield from sent(_unpacked(rows))
+                rows, n = [], 0
         if held:
-            rows += close()
+            yield from close()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+            yield from sent(_unpacked(rows))
 
-    return dealt.mapInArrow(meet, T.StructType.fromDDL("doc long, key long, at binary"))
+    return dealt.mapInArrow(meet, T.StructType.fromDDL("doc long, key long, at int"))
 
 
 def drop_repeats(docs: DataFrame, unit_words: int = 1) -> DataFrame:
@@ -250,13 +272,15 @@ def drop_repeats(docs: DataFrame, unit_words: int = 1) -> DataFrame:
     no_id = F.col("doc_id").isNull()
     key = F.when(no_id, F.xxhash64("text", F.lit(NO_ID))).otherwise(F.xxhash64("text"))
     keyed = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), key.alias("key"))
-    late = late_windows(keyed.select("doc", "key", "text"), unit_words).groupBy("doc", "key").agg(F.collect_list("at").alias("at"))  # a document's own
+    # dealt before they are grouped: partial lists of each task would grow in number with documents times tasks
+    late = late_windows(keyed.select("doc", "key", "text"), unit_words).repartition("doc", "key")
+    late = late.groupBy("doc", "key").agg(F.collect_list("at").alias("at"))  # a document's own
     both = keyed.join(late, ["doc", "key"], "left").select("doc_id", "text", "at")
 
     def rows(stream):
         words = Words()
         for doc_id, text, at in stream:
-            spans = removed(text, *words(text), np.frombuffer(b"".join(at), "<i4"), unit_words) if at else []
+            spans = removed(text, *words(text), np.array(at, np.int64), unit_words) if at else []
             kept, done = [], 0
             for a, b in spans:
                 kept.append(text[done:a])

@@ -312,6 +312,25 @@ def test_short_lines_stay_where_units_have_a_least_length(spark):
     assert got[0] == rows[0][1] and all(got[i] == "\n".join([*stock, f"own{i}"]) for i in range(1, 5))
 
 
+def test_late_records_do_not_grow_in_number_with_the_buckets(spark, monkeypatch):
+    random = np.random.default_rng(33)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    say = lambda n: " ".join(random.choice(vocabulary, n))
+    shared = [say(400) for _ in range(5)]
+    rows = [(i, f"{say(50)}\n{shared[i % 5]}") for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(40)]  # copies
+    words = substring_dedup.Words()
+    found = [substring_dedup.windows(*words(text), 10)[0] for _, text in rows]
+    want = sum(map(len, found)) - len(np.unique(np.concatenate(found)))
+    docs = documents(spark, rows).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), "text").repartition(9)
+    seen = []
+    for chars in (substring_dedup.BUCKET_CHARS, 1_000, 100):
+        monkeypatch.setattr(substring_dedup, "BUCKET_CHARS", chars)
+        seen.append(sorted(map(tuple, substring_dedup.late_windows(docs, 10).collect())))
+    assert [len(late) for late in seen] == [want] * 3
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0])) == want
+
+
 # n-gram Jaccard join
 
 
